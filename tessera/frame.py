@@ -48,3 +48,19 @@ def value_columns(df: DataFrame, key: "str | None" = None, exclude=()) -> list[s
     """Data columns: everything except the dataset column, the key and ``exclude``."""
     skip = {DATASET, key, *exclude}
     return [c for c in df.columns if c not in skip]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster when the input has fewer splits than cores.
+
+    Text scans are CPU-bound; a table stored as one large row group would run
+    as one task.  On a real cluster inputs have far more splits than cores and
+    this is a no-op, so no shuffle is added there.
+    """
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    except Exception:  # pragma: no cover - e.g. connect sessions
+        pass
+    return df

@@ -36,6 +36,7 @@ def scan_cells(df: DataFrame, key: str | None = None, columns: list[str] | None
     df, key = frame.with_row_key(df, key)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     names = columns if columns is not None else frame.value_columns(df, key)
+    df = frame.spread(df)
     kinds = {c: pii.text_kind(types[c]) for c in names}
     names = [c for c in names if kinds[c] is not None]
     if not names:
