@@ -27,7 +27,7 @@ def gold_rows(scores: DataFrame, scanned_at=None, trigger: str = "batch") -> Dat
     """Project the 15 gold columns from a scores table (one row per dataset)."""
     ts = F.current_timestamp() if scanned_at is None else scanned_at
     return scores.select(
-        ts.cast("timestamp").alias("timestamp"), F.col(DATASET).alias("filename"),
+        ts.alias("timestamp"), F.col(DATASET).alias("filename"),
         (F.col("trigger") if "trigger" in scores.columns else F.lit(trigger)).alias("trigger"),
         F.col("rows").cast("bigint").alias("rows"), F.col("columns").cast("bigint").alias("columns"),
         F.col("overall").cast("int").alias("health_score"), "grade",

@@ -184,7 +184,7 @@ def run_checks(df: DataFrame, checks: list[Check], profile="cli") -> DataFrame:
         if ch.kind == "exist":
             rows.append(F.struct(F.lit(i).alias("check_idx"), F.lit(ch.name).alias("check"),
                                  F.lit(ch.column).alias("column"), F.lit(True).alias("passed"),
-                                 F.col("n_total").alias("total"), F.lit(None).cast("bigint").alias("unexpected_count"),
+                                 F.col("n_total").alias("total"), F.lit(0).cast("bigint").alias("unexpected_count"),
                                  F.lit(None).cast("double").alias("unexpected_percent"),
                                  F.lit(None).cast("string").alias("detail")))
             continue
