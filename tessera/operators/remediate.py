@@ -86,7 +86,7 @@ def mask_frame(df: DataFrame, profile="cli", sensitivity="medium", key: str | No
     become strings (the masked form is text); every other column keeps its
     type and value.  Nulls stay null.
     """
-    df = frame.with_dataset(df)
+    df = frame.spread(frame.with_dataset(df))
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = columns if columns is not None else frame.value_columns(df, key)
     out = []

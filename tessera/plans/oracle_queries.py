@@ -441,3 +441,12 @@ SQL.update({
     "protection_status": PROTECTION,
     **GOLD_SQL,
 })
+
+STREAM_GOLD = f"""WITH s AS ({SCORES_F})
+SELECT dataset AS filename, 'blob_automatic' AS trigger, CAST(rows AS BIGINT) AS rows, CAST(columns AS BIGINT) AS columns,
+  overall AS health_score, grade, privacy AS privacy_score, quality AS quality_score,
+  completeness AS completeness_score, CAST(pii_high AS INTEGER) AS high_pii, CAST(pii_medium AS INTEGER) AS medium_pii,
+  CAST(pii_low AS INTEGER) AS low_pii, CAST(failed AS INTEGER) AS quality_failed, duplicate_pct FROM s"""
+FORMAT_ROUNDTRIP = """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
+FROM customer"""
+SQL.update({"stream_scan": STREAM_GOLD, "format_roundtrip": FORMAT_ROUNDTRIP})

@@ -444,6 +444,36 @@ def q_gold_history(spark, sf_dir):
     return J.display_history(gold_ds(spark, sf_dir))
 
 
+# ------------------------------------------------------ streaming and formats
+def q_stream_scan(spark, sf_dir):
+    """M1 + M2 + A6: documents staged as one file per source, scanned by the file stream.
+
+    Returns the gold rows the stream appended (without the wall-clock timestamp).
+    """
+    from ..session import scratch_path
+    from ..streaming.autoscan import autoscan
+    stage, out = scratch_path(spark, "stage"), scratch_path(spark, "autoscan")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang", "n_chars")
+    docs.repartition("source").write.partitionBy("source").parquet(stage)
+    q = autoscan(spark, stage, out, input_format="parquet", schema=spark.read.parquet(stage).schema,
+                 profile="function", key="doc_id", dataset=F.col("source"), sensitivity="medium",
+                 max_files_per_trigger=5, drop=["source"])
+    q.awaitTermination()
+    gold = spark.read.parquet(f"{out}/gold")
+    return gold.drop("timestamp", "batch_id")
+
+
+def q_format_roundtrip(spark, sf_dir):
+    """A1-A10: customer -> csv -> (all-string read, numeric promotion) -> parquet -> json -> read back."""
+    from ..session import scratch_path
+    cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    p_csv, p_pq, p_js = (scratch_path(spark, n) for n in ("csv", "parquet", "json"))
+    A.write_any(table(spark, sf_dir, "customer").select(*cols), p_csv, "csv")
+    A.convert(spark, p_csv, p_pq, "parquet", in_fmt="csv")
+    A.convert(spark, p_pq, p_js, "json", in_fmt="parquet")
+    return A.read_any(spark, p_js, "json").select(*cols)
+
+
 QUERIES = {
     "pii_findings": q_pii_findings,
     "pii_counts": q_pii_counts,
@@ -489,4 +519,6 @@ QUERIES = {
     "gold_dimensions": q_gold_dimensions,
     "gold_grades": q_gold_grades,
     "gold_history": q_gold_history,
+    "stream_scan": q_stream_scan,
+    "format_roundtrip": q_format_roundtrip,
 }

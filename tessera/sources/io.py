@@ -92,14 +92,21 @@ def promote_numeric(df: DataFrame, profile: dict | None = None) -> DataFrame:
                        else col(c) for c in df.columns])
 
 
-def read_any(spark: SparkSession, path, fmt: str | None = None, promote: bool = True) -> DataFrame:
-    """Read a file or folder in its format, with ``dataset`` = file name."""
+def read_any(spark: SparkSession, path, fmt: str | None = None, promote: bool = True,
+             multi_line: bool | None = None) -> DataFrame:
+    """Read a file or folder in its format, with ``dataset`` = file name.
+
+    JSON: a single ``*.json`` file is read as one document (an array of
+    records, as exported by the original tool); a folder as JSON lines (as
+    Spark writes it).  ``multi_line`` overrides the choice.
+    """
     first = path[0] if isinstance(path, (list, tuple)) else path
     fmt = fmt or format_of(first)
     if fmt == "parquet":
         return _with_file_dataset(spark.read.parquet(*([path] if isinstance(path, str) else path)))
     if fmt == "json":
-        return _with_file_dataset(spark.read.option("multiLine", True).json(path))
+        ml = first.lower().endswith(".json") if multi_line is None else multi_line
+        return _with_file_dataset(spark.read.option("multiLine", ml).json(path))
     if fmt == "excel":
         raise ValueError("excel is not supported by the Spark readers; convert the file to csv or parquet")
     df = read_csv_strings(spark, path)
