@@ -68,6 +68,10 @@ def remediate_cell(name: str, dtype: T.DataType, cell: Column, profile="cli", se
         return cell
     conf = pii.confidence_for(name, text, prof)
     matches = pii.match_structs(text, types, prof)
+    if kind == "number":
+        # a number has no typed masked form: an actionable card number is
+        # removed (null) and the column keeps its type (D-3)
+        return F.when((conf >= P.RISK_MEDIUM_AT) & (F.size(matches) > 0), F.lit(None).cast(dtype)).otherwise(cell)
     if key is None:
         repl = lambda m: m["masked"]
     else:
@@ -82,9 +86,10 @@ def mask_frame(df: DataFrame, profile="cli", sensitivity="medium", key: str | No
                columns: list[str] | None = None, encrypt_key: Column | None = None) -> DataFrame:
     """D7 (and D8 with ``encrypt_key``): the table with actionable PII replaced in place.
 
-    Text columns stay strings; numeric columns that can hold a card number
-    become strings (the masked form is text); every other column keeps its
-    type and value.  Nulls stay null.
+    Every column keeps its type.  In text columns matches are replaced by
+    their masks (or tokens); in numeric columns that can hold a 16-digit
+    card number an actionable match nulls the value, as a number has no
+    masked form.  Nulls stay null.
     """
     df = frame.spread(frame.with_dataset(df))
     fields = {f.name: f.dataType for f in df.schema.fields}

@@ -397,9 +397,9 @@ def mask_sql(profile, sensitivity, src="documents", dataset="source", cols=(("te
 
 
 MASK_DOCS = ("SELECT source AS dataset, doc_id, " + ", ".join(mask_sql("cli", "high"))
-             + ", CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
+             + ", n_chars FROM documents")
 MASK_DOCS_F = ("SELECT source AS dataset, doc_id, " + ", ".join(mask_sql("function", "high"))
-               + ", CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
+               + ", n_chars FROM documents")
 DEDUP_DOCS = """SELECT source AS dataset, min(doc_id) AS doc_id, lang, CAST(length(text) AS INTEGER) AS text_len
 FROM documents GROUP BY source, text, lang"""
 REMEDIATE_DOCS = ("WITH dd AS (SELECT source, min(doc_id) AS doc_id, text, lang FROM documents GROUP BY source, text, lang),"

@@ -45,10 +45,11 @@ def run_options(spark: SparkSession, input_format: str, sensitivity=None, output
 def process_batch(batch: DataFrame, batch_id: int, out_root: str, opts: dict, profile="function",
                   key: str | None = None, promote: bool = False, trigger: str = "blob_automatic") -> None:
     """One micro-batch: scan, remediate and write every sink for this batch id."""
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    raw = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if promote:
-            batch = A.promote_numeric(batch)
+        batch = A.promote_numeric(raw) if promote else raw
+        # the surrogate row key is fixed once, on the persisted batch
+        batch, key = frame.with_row_key(batch, key)
         res = PL.run_scan(batch, profile, opts["sensitivity"], key=key)
         # the scores feed three sinks and the findings two: keep both for this batch
         res.findings = res.findings.persist(StorageLevel.MEMORY_AND_DISK)
@@ -57,8 +58,8 @@ def process_batch(batch: DataFrame, batch_id: int, out_root: str, opts: dict, pr
         part = f"batch_id={batch_id}"
         doc = PL.scan_document(res, opts["sensitivity"], trigger=trigger)
         doc.write.mode("overwrite").json(f"{out_root}/results/{part}")                          # A12
-        clean = R.remediate(batch, profile, opts["sensitivity"], key=res.key, encrypt_key=enc_key)
-        if key is None:
+        clean = R.remediate(batch, profile, opts["sensitivity"], key=key, encrypt_key=enc_key)
+        if key == frame.ROW_KEY:
             clean = clean.drop(frame.ROW_KEY)
         A.write_any(clean, f"{out_root}/silver/{part}", opts["output_format"], mode="overwrite",
                     partition_by=[DATASET])                                                     # A11
@@ -68,7 +69,7 @@ def process_batch(batch: DataFrame, batch_id: int, out_root: str, opts: dict, pr
         for d in ("findings", "scores"):
             if "res" in locals():
                 getattr(res, d).unpersist()
-        batch.unpersist()
+        raw.unpersist()
 
 
 def autoscan(spark: SparkSession, incoming: str, out_root: str, input_format: str = "csv", schema=None,

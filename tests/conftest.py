@@ -33,6 +33,5 @@ def unit_frame(spark):
             (3.0, "Carol", "carol@test.com", 34, -50, "SN-003", "Regular customer"),
             (None, "Dave", "dave@test.com", 150, 300, "SN-004", "DOB: 03/15/1985")]
     schema = ("customer_id double, name string, email string, age bigint, revenue bigint, "
-              "serial_number string, notes string")
-    from pyspark.sql import functions as F
-    return spark.createDataFrame(rows, schema).withColumn("row_key", F.monotonically_increasing_id())
+              "serial_number string, notes string, row_key bigint")
+    return spark.createDataFrame([r + (i,) for i, r in enumerate(rows)], schema)
