@@ -169,6 +169,28 @@ def match_structs(cell: Column, types, profile: "str | Profile" = "cli",
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def prefilter_columns(cell: Column) -> dict:
+    """Cheap per-cell facts that rule patterns out before any regex runs.
+
+    Every pattern but EMAIL needs a digit; EMAIL needs an '@'.  Computing these
+    once per cell (one character-class scan, one byte search) skips the
+    regexes for the large share of text cells that hold neither.
+    """
+    return {"has_digit": cell.rlike("[0-9]"), "has_at": cell.contains("@")}
+
+
+def prefilter_guards(types, has_digit: Column, has_at: Column) -> dict:
+    """Per-type guard from the prefilter facts (exact: a guard never hides a match)."""
+    return {t: (has_at if t == "EMAIL" else has_digit) for t in types}
+
+
+def and_guards(a: dict, b: dict) -> dict:
+    out = dict(a)
+    for t, g in b.items():
+        out[t] = g if t not in out else (out[t] & g)
+    return out
+
+
 # ------------------------------------------------------------ text of a cell
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType)

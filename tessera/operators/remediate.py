@@ -53,33 +53,46 @@ def _maskable(dtype: T.DataType) -> bool:
     return False
 
 
-def remediate_cell(name: str, dtype: T.DataType, cell: Column, profile="cli", sensitivity="medium",
-                   key: Column | None = None) -> Column:
-    """D7 / D8 for one cell: actionable matches replaced by masks, or HIGH ones by tokens."""
-    prof = get_profile(profile)
+def _mask_types(name: str, dtype: T.DataType, prof, sensitivity) -> list[str]:
     types = prof.active_types(sensitivity)
-    text = pii.as_text(cell, dtype)
-    kind = pii.text_kind(dtype)
-    if kind == "number":
+    if pii.text_kind(dtype) == "number":
         types = [t for t in types if t == "CREDIT_CARD"]
     if pii.is_email_column(name, prof):
         types = [t for t in types if t != "EMAIL"]
-    if not types:
-        return cell
+    return types
+
+
+def _replacement(m: Column, conf: Column, key: Column | None) -> Column:
+    if key is None:
+        return m["masked"]
+    return F.when(conf >= P.RISK_HIGH_AT, pii.encrypt_token(m["raw_value"], key)).otherwise(m["masked"])
+
+
+def remediated(name: str, dtype: T.DataType, cell: Column, matches: Column, profile="cli",
+               key: Column | None = None) -> Column:
+    """D7 / D8 for one cell given its matches: actionable matches replaced by masks,
+    or HIGH ones by tokens.  The confidence is only evaluated for cells with matches."""
+    prof = get_profile(profile)
+    text = pii.as_text(cell, dtype)
     conf = pii.confidence_for(name, text, prof)
-    matches = pii.match_structs(text, types, prof)
-    if kind == "number":
+    if pii.text_kind(dtype) == "number":
         # a number has no typed masked form: an actionable card number is
         # removed (null) and the column keeps its type (D-3)
-        return F.when((conf >= P.RISK_MEDIUM_AT) & (F.size(matches) > 0), F.lit(None).cast(dtype)).otherwise(cell)
-    if key is None:
-        repl = lambda m: m["masked"]
-    else:
-        high = conf >= P.RISK_HIGH_AT
-        repl = lambda m: F.when(high, pii.encrypt_token(m["raw_value"], key)).otherwise(m["masked"])
-    folded = F.aggregate(matches, text, lambda acc, m: F.replace(acc, m["raw_value"], repl(m)))
+        return (F.when(F.size(matches) == 0, cell).when(conf >= P.RISK_MEDIUM_AT, F.lit(None).cast(dtype))
+                .otherwise(cell))
+    folded = F.aggregate(matches, text, lambda acc, m: F.replace(acc, m["raw_value"], _replacement(m, conf, key)))
     # LOW findings are never touched (D-5)
-    return F.when(conf >= P.RISK_MEDIUM_AT, folded).otherwise(text)
+    return F.when(F.size(matches) == 0, text).when(conf >= P.RISK_MEDIUM_AT, folded).otherwise(text)
+
+
+def remediate_cell(name: str, dtype: T.DataType, cell: Column, profile="cli", sensitivity="medium",
+                   key: Column | None = None) -> Column:
+    """D7 / D8 for one cell as a single expression (see ``mask_frame`` for the staged form)."""
+    prof = get_profile(profile)
+    types = _mask_types(name, dtype, prof, sensitivity)
+    if not types:
+        return cell
+    return remediated(name, dtype, cell, pii.match_structs(pii.as_text(cell, dtype), types, prof), prof, key)
 
 
 def mask_frame(df: DataFrame, profile="cli", sensitivity="medium", key: str | None = None,
@@ -90,17 +103,32 @@ def mask_frame(df: DataFrame, profile="cli", sensitivity="medium", key: str | No
     their masks (or tokens); in numeric columns that can hold a 16-digit
     card number an actionable match nulls the value, as a number has no
     masked form.  Nulls stay null.
+
+    Three projections, so each costly expression runs once per cell: the
+    prefilter facts, then the matches, then the fold.
     """
+    prof = get_profile(profile)
     df = frame.spread(frame.with_dataset(df))
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = columns if columns is not None else frame.value_columns(df, key)
-    out = []
-    for c in df.columns:
-        if c in names and _maskable(fields[c]):
-            out.append(remediate_cell(c, fields[c], col(c), profile, sensitivity, encrypt_key).alias(c))
-        else:
-            out.append(col(c))
-    return df.select(*out)
+    todo = [c for c in df.columns if c in names and _maskable(fields[c])
+            and _mask_types(c, fields[c], prof, sensitivity)]
+    if not todo:
+        return df
+    slot = {c: i for i, c in enumerate(todo)}
+    facts = []
+    for c in todo:
+        f = pii.prefilter_columns(pii.as_text(col(c), fields[c]))
+        facts += [f["has_digit"].alias(f"__d{slot[c]}"), f["has_at"].alias(f"__a{slot[c]}")]
+    staged = df.select("*", *facts)
+    staged = staged.select(*[col(c) for c in df.columns], *[
+        pii.match_structs(pii.as_text(col(c), fields[c]), _mask_types(c, fields[c], prof, sensitivity), prof,
+                          pii.prefilter_guards(_mask_types(c, fields[c], prof, sensitivity),
+                                               F.col(f"__d{slot[c]}"), F.col(f"__a{slot[c]}")))
+        .alias(f"__m{slot[c]}") for c in todo])
+    return staged.select(*[
+        remediated(c, fields[c], col(c), F.col(f"__m{slot[c]}"), prof, encrypt_key).alias(c) if c in slot
+        else col(c) for c in df.columns])
 
 
 def dedup(df: DataFrame, key: str | None = None) -> DataFrame:

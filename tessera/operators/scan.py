@@ -79,12 +79,15 @@ def scan_pii(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
     guards = {t: is_text for t in types if t != "CREDIT_CARD"}
     if "EMAIL" in guards:
         guards["EMAIL"] = is_text & ~is_email
+    facts = pii.prefilter_columns(F.col("cell"))
+    guards = pii.and_guards(guards, pii.prefilter_guards(types, F.col("has_digit"), F.col("has_at")))
     conf = pii.confidence(F.col("col_class"), F.col("cell"), prof)
     # posexplode_outer + a filter on the generated column: a plain explode
     # makes the optimizer infer ``size(matches) > 0`` and push it below the
     # projection, which would run every regex twice.
     out = (cells
            .withColumn("col_class", cls)
+           .withColumn("has_digit", facts["has_digit"]).withColumn("has_at", facts["has_at"])
            .withColumn("matches", pii.match_structs(F.col("cell"), types, prof, guards))
            .withColumn("confidence", F.when(F.size("matches") > 0, conf))
            .select(DATASET, "row_key", "column", "col_class", "confidence",
