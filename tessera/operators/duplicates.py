@@ -1,13 +1,15 @@
 """Duplicate analysis (rows G1-G3).
 
-Exact duplicates come from one aggregation on the full row (map-side partial
-aggregation collapses a hot repeated row inside each task).  Near duplicates
-re-aggregate the *exact groups* on the normalised string columns, so the
-second shuffle only moves distinct rows, never the base table again.
+By default only row hashes are shuffled; the rows whose hash repeats are then
+regrouped on their real values, so counts stay exact while the big shuffle
+carries 16 bytes per row instead of the row.  Every aggregation is a hash
+aggregate with map-side partial aggregation, so a value repeated in a third of
+all rows collapses inside each map task before the shuffle.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,37 +17,147 @@ from pyspark.sql import types as T
 from .. import frame
 from ..frame import DATASET, col
 
-# whitespace that Python's str.strip removes (ASCII, separators, Unicode spaces)
-STRIP = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# FIXED VALUES -- the characters Python's str.strip() removes (str.isspace()):
+# ASCII \t \n \v \f \r, the separators U+001C-U+001F, space, U+0085, U+00A0,
+# U+1680, U+2000-U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def normalize(c) -> "F.Column":
-    """G2 normalisation: null -> '', lower case, strip surrounding whitespace."""
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"^{STRIP}+|{STRIP}+$", "")
+    """G2 normalisation: null -> '', lower case, strip surrounding whitespace.
 
+    ``trim`` with an explicit character set works on the ends only (cost of
+    the whitespace run), unlike an anchored regex tried at every position.
+    """
+    return F.trim(F.lower(F.coalesce(c, F.lit(""))), F.lit(WHITESPACE))
+
+
+# Largest number of repeated row hashes broadcast for the verification pass
+# (each entry is (dataset, h1, h2): ~40 bytes, so 1M keys stay near 40 MB).
+MAX_CANDIDATE_KEYS = 1_000_000
+SEED2 = "tessera-h2"
+
+
+def _hashable(c, dtype: T.DataType):
+    return F.to_json(c) if dtype.simpleString().find("map<") >= 0 else c
+
+
+def row_hash(df: DataFrame, cols: list[str], prefix: str = "_h") -> tuple:
+    """Two independent 64-bit hashes of the values of ``cols`` (null-aware), as Columns.
+
+    Each value is hashed together with its null flag, so ``(a, null)`` and
+    ``(null, a)`` differ; Spark's hash treats -0.0 / 0.0 and NaNs like
+    grouping does.
+    """
+    parts = []
+    for c in cols:
+        v = _hashable(col(c), df.schema[c].dataType)
+        parts += [col(c).isNull(), v]
+    if not parts:
+        parts = [F.lit(0)]
+    return F.xxhash64(*parts).alias(prefix + "1"), F.xxhash64(F.lit(SEED2), *parts).alias(prefix + "2")
+
+
+def _norm_hash(strings: list[str]) -> tuple:
+    parts = [normalize(col(c)) for c in strings] or [F.lit("")]
+    return F.xxhash64(*parts).alias("_n1"), F.xxhash64(F.lit(SEED2), *parts).alias("_n2")
+
+
+def repeated_hashes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(dataset, _h1, _h2, n) for row hashes seen more than once."""
+    h1, h2 = row_hash(df, cols)
+    return (df.select(DATASET, h1, h2).groupBy(DATASET, "_h1", "_h2").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > 1))
 
-def duplicates(df: DataFrame, key: str | None = None, near: bool = True) -> DataFrame:
+
+def _bounded(keys: DataFrame, limit: int) -> int | None:
+    """Number of keys if it is at most ``limit`` (one small count job), else None."""
+    n = keys.limit(limit + 1).count()
+    return n if n <= limit else None
+
+
+def wide_rows(df: DataFrame, cols: list[str]) -> bool:
+    """Rows that may be wide (text, binary or nested values): worth hashing before a shuffle."""
+    return any(isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType,
+                                                   T.StructType)) for c in cols)
+
+
+def choose_method(df: DataFrame, cols: list[str], method: str) -> str:
+    if method != "auto":
+        return method
+    return "hashed" if wide_rows(df, cols) else "values"
+
+
+def duplicates(df: DataFrame, key: str | None = None, near: bool = True, method: str = "auto",
+               max_candidates: int = MAX_CANDIDATE_KEYS) -> DataFrame:
     """G1-G3 per dataset: total_rows, exact_duplicates, near_duplicates, duplicate_pct.
 
     Rows are compared on every column except the dataset and ``key`` (nulls
     compare equal, as in a grouping).  Near duplicates use only string
-    columns; with none, every row is "equal" on the empty key, which matches
-    counting zero only when there are no rows -- so it is reported as 0.
+    columns (null -> '', lower case, stripped); with none they are 0.
+
+    ``method="hashed"`` (default) shuffles only two 64-bit hashes per row,
+    then recounts exactly, on the real values, the rows whose hash repeats:
+    they are picked with a broadcast semi-join whose key count is checked
+    first.  Rows with a unique hash are unique by value, so the result is
+    exact.  When the repeated keys exceed ``max_candidates`` the count falls
+    back to grouping on the values (``method="values"``), which moves the
+    full rows through the shuffle.  ``auto`` hashes when a row holds text or
+    nested values and groups narrow rows directly.  The hash groups (one
+    small row per distinct row) are persisted: the size check and the counts
+    read them without recomputing the first shuffle.
     """
     df = frame.with_dataset(df)
     vals = frame.value_columns(df, key)
-    strings = [c for c in vals if isinstance(df.schema[c].dataType, T.StringType)]
+    strings = [c for c in vals if isinstance(df.schema[c].dataType, T.StringType)] if near else []
+    if choose_method(df, vals, method) == "values":
+        return _by_values(df, vals, strings)
+    h1, h2 = row_hash(df, vals)
+    n1, n2 = _norm_hash(strings)
+    hashed = df.select(DATASET, h1, h2, n1, n2)
+    groups = (hashed.groupBy(DATASET, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"),
+                                                         F.first("_n1").alias("_n1"), F.first("_n2").alias("_n2"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    totals = groups.groupBy(DATASET).agg(F.sum("_n").alias("total_rows"))
+    cand = groups.where(F.col("_n") > 1).select(DATASET, "_h1", "_h2")
+    if _bounded(cand, max_candidates) is None:
+        return _by_values(df, vals, strings)
+    keyed = df.select("*", h1, h2)
+    dup_rows = keyed.join(F.broadcast(cand), [DATASET, "_h1", "_h2"], "left_semi")
+    exact = (dup_rows.groupBy(DATASET, *[col(c) for c in vals]).agg(F.count(F.lit(1)).alias("_n"))
+             .groupBy(DATASET).agg(F.sum(F.col("_n") - 1).alias("exact_duplicates")))
+    out = totals.join(exact, DATASET, "left")
+    if strings:
+        ncand = (groups.groupBy(DATASET, "_n1", "_n2").agg(F.sum("_n").alias("_m")).where(F.col("_m") > 1)
+                 .select(DATASET, "_n1", "_n2"))
+        if _bounded(ncand, max_candidates) is None:
+            return _by_values(df, vals, strings)
+        nkeyed = df.select(DATASET, *[col(c) for c in strings], n1, n2)
+        nrows = nkeyed.join(F.broadcast(ncand), [DATASET, "_n1", "_n2"], "left_semi")
+        nd = (nrows.groupBy(DATASET, *[normalize(col(c)).alias(f"n{i}") for i, c in enumerate(strings)])
+              .agg(F.count(F.lit(1)).alias("_m"))
+              .groupBy(DATASET).agg(F.sum(F.col("_m") - 1).alias("near_duplicates")))
+        out = out.join(nd, DATASET, "left")
+    return _finish(out.fillna(0, ["exact_duplicates"]))
+
+
+def _by_values(df: DataFrame, vals: list[str], strings: list[str]) -> DataFrame:
+    """G1-G2 by grouping on the values themselves (exact groups, then near groups of them)."""
     groups = df.groupBy(DATASET, *[col(c) for c in vals]).agg(F.count(F.lit(1)).alias("_n"))
-    exact = groups.groupBy(DATASET).agg(F.sum("_n").alias("total_rows"),
-                                        F.sum(F.col("_n") - 1).alias("exact_duplicates"))
-    if near and strings:
+    out = groups.groupBy(DATASET).agg(F.sum("_n").alias("total_rows"),
+                                      F.sum(F.col("_n") - 1).alias("exact_duplicates"))
+    if strings:
         ng = (groups.groupBy(DATASET, *[normalize(col(c)).alias(f"n{i}") for i, c in enumerate(strings)])
               .agg(F.sum("_n").alias("_m")))
-        nd = ng.groupBy(DATASET).agg(F.sum(F.col("_m") - 1).alias("near_duplicates"))
-        exact = exact.join(nd, DATASET, "left")
-    else:
-        exact = exact.withColumn("near_duplicates", F.lit(0).cast("bigint"))
-    return exact.select(
+        out = out.join(ng.groupBy(DATASET).agg(F.sum(F.col("_m") - 1).alias("near_duplicates")), DATASET, "left")
+    return _finish(out)
+
+
+def _finish(out: DataFrame) -> DataFrame:
+    if "near_duplicates" not in out.columns:
+        out = out.withColumn("near_duplicates", F.lit(0).cast("bigint"))
+    return out.select(
         DATASET, F.col("total_rows").cast("bigint").alias("total_rows"),
         F.col("exact_duplicates").cast("bigint").alias("exact_duplicates"),
         F.coalesce(F.col("near_duplicates"), F.lit(0)).cast("bigint").alias("near_duplicates"),

@@ -46,7 +46,7 @@ def run_scan(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
     df = frame.with_dataset(df)
     df, key = frame.with_row_key(df, key)
     findings = S.scan_pii(df, prof, sensitivity, key=key)
-    risk = S.risk_counts(findings, df)
+    risk = S.risk_counts(findings)          # datasets without findings get zeros in the scores join
     quality = Q.run_quality(df, prof, rules, key)
     qsum = Q.summarize(quality)
     dups = G.duplicates(df, key, near=prof.near_duplicates)
