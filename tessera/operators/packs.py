@@ -170,17 +170,18 @@ def pack_rules(df: DataFrame, pack: str, **opts) -> list[Rule]:
     return PACKS[pack](frame.with_dataset(df), **opts)
 
 
-def run_pack(df: DataFrame, pack: str, **opts) -> DataFrame:
-    """one result row per (dataset, rule): passed, bad-row count, detail."""
-    df = frame.with_dataset(df)
-    rules = pack_rules(df, pack, **opts)
+def pack_aggs(rules: list[Rule], prefix: str = "b") -> list[Column]:
+    """Violation counts of every rule, to run inside one ``groupBy(dataset).agg``."""
+    return [F.count_if(F.coalesce(r.bad, F.lit(False))).alias(f"{prefix}{i}") for i, r in enumerate(rules)]
+
+
+def pack_rows(agg: DataFrame, rules: list[Rule], pack: str, prefix: str = "b") -> DataFrame:
+    """F11 result rows from the aggregate row of each dataset."""
     if not rules:
-        return df.sparkSession.createDataFrame([], RESULT_SCHEMA)
-    agg = df.groupBy(DATASET).agg(*[F.count_if(F.coalesce(r.bad, F.lit(False))).alias(f"b{i}")
-                                    for i, r in enumerate(rules)])
+        return agg.sparkSession.createDataFrame([], RESULT_SCHEMA)
     rows = []
     for i, r in enumerate(rules):
-        b = F.col(f"b{i}")
+        b = F.col(f"{prefix}{i}")
         head, tail = r.detail.split("{n}")
         rows.append(F.struct(F.lit(pack).alias("pack"), F.lit(i).alias("rule_idx"), F.lit(r.rule).alias("rule"),
                              F.lit(r.check).alias("check"), (b == 0).alias("passed"), b.alias("bad_count"),
@@ -189,6 +190,15 @@ def run_pack(df: DataFrame, pack: str, **opts) -> DataFrame:
     return agg.select(DATASET, F.explode(F.array(*rows)).alias("r")).select(DATASET, "r.*")
 
 
+def run_pack(df: DataFrame, pack: str, **opts) -> DataFrame:
+    """one result row per (dataset, rule): passed, bad-row count, detail."""
+    df = frame.with_dataset(df)
+    rules = pack_rules(df, pack, **opts)
+    if not rules:
+        return df.sparkSession.createDataFrame([], RESULT_SCHEMA)
+    return pack_rows(df.groupBy(DATASET).agg(*pack_aggs(rules)), rules, pack)
+
+
 def violations(df: DataFrame, pack: str, rule: str, **opts) -> DataFrame:
     """The rows that fail one rule of a pack (all columns kept, keys included)."""
     df = frame.with_dataset(df)

@@ -160,25 +160,32 @@ def _unexpected(ch: Check, dtype: T.DataType) -> Column:
     raise ValueError(ch.kind)
 
 
-def run_checks(df: DataFrame, checks: list[Check], profile="cli") -> DataFrame:
-    """E13 + E14: one result row per (dataset, check), all counts from one aggregate."""
-    prof = get_profile(profile)
-    df = frame.with_dataset(df)
+def check_aggs(df: DataFrame, checks: list[Check]) -> list[Column]:
+    """Conditional counts of every non-unique check, to run inside one ``groupBy(dataset).agg``."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    aggs = [F.count(F.lit(1)).alias("n_total")]
+    aggs = []
     for i, ch in enumerate(checks):
         if ch.kind in ("exist", "unique"):
             continue
         aggs.append(F.count(col(ch.column)).alias(f"nn{i}"))
         aggs.append(F.count_if(_unexpected(ch, fields[ch.column])).alias(f"u{i}"))
-    base = df.groupBy(DATASET).agg(*aggs)
-    for i, ch in enumerate(checks):                       # E11: all members of repeated values
+    return aggs
+
+
+def with_unique_counts(base: DataFrame, df: DataFrame, checks: list[Check]) -> DataFrame:
+    """All members of repeated values, one aggregate per checked column, joined on dataset."""
+    for i, ch in enumerate(checks):
         if ch.kind != "unique":
             continue
         u = (df.where(col(ch.column).isNotNull()).groupBy(DATASET, col(ch.column)).agg(F.count(F.lit(1)).alias("n"))
              .groupBy(DATASET).agg(F.sum("n").alias(f"nn{i}"),
                                    F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias(f"u{i}")))
         base = base.join(u, DATASET, "left").fillna(0, [f"nn{i}", f"u{i}"])
+    return base
+
+
+def check_rows(base: DataFrame, checks: list[Check]) -> DataFrame:
+    """E13 + E14: one result row per (dataset, check) from the aggregate row of each dataset."""
     rows = []
     for i, ch in enumerate(checks):
         if ch.kind == "exist":
@@ -204,10 +211,17 @@ def run_checks(df: DataFrame, checks: list[Check], profile="cli") -> DataFrame:
                              u.cast("bigint").alias("unexpected_count"), pct.alias("unexpected_percent"),
                              detail.alias("detail")))
     if not rows:
-        return df.sparkSession.createDataFrame([], RESULT_SCHEMA)
+        return base.sparkSession.createDataFrame([], RESULT_SCHEMA)
     return base.select(DATASET, F.explode(F.array(*rows)).alias("r")).select(DATASET, "r.*")
 
 
+def run_checks(df: DataFrame, checks: list[Check], profile="cli") -> DataFrame:
+    """E13 + E14: one result row per (dataset, check), all counts from one aggregate."""
+    df = frame.with_dataset(df)
+    base = df.groupBy(DATASET).agg(F.count(F.lit(1)).alias("n_total"), *check_aggs(df, checks))
+    return check_rows(with_unique_counts(base, df, checks), checks)
+
+
 def run_quality(df: DataFrame, profile="cli", rules: list[dict] | None = None, key: str | None = None) -> DataFrame:
     """E12 + E13: build the suite for ``df`` and run it."""
     df = frame.with_dataset(df)

@@ -47,14 +47,21 @@ def run_scan(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
     df, key = frame.with_row_key(df, key)
     findings = S.scan_pii(df, prof, sensitivity, key=key)
     risk = S.risk_counts(findings)          # datasets without findings get zeros in the scores join
-    quality = Q.run_quality(df, prof, rules, key)
+    # one aggregate pass for row counts, every quality check and every pack rule
+    checks = Q.build_suite(df, prof, rules, key)
+    pack_rules = FP.pack_rules(df, pack, **(pack_opts or {})) if pack else []
+    base = df.groupBy(DATASET).agg(F.count(F.lit(1)).alias("n_total"), *Q.check_aggs(df, checks),
+                                   *FP.pack_aggs(pack_rules, "pk"))
+    quality = Q.check_rows(Q.with_unique_counts(base, df, checks), checks)
     qsum = Q.summarize(quality)
+    n_cols = len(frame.value_columns(df, key))
+    shape = base.select(DATASET, F.col("n_total").alias("rows"), F.lit(n_cols).alias("columns"))
     dups = G.duplicates(df, key, near=prof.near_duplicates)
     packs = penalty = None
     if pack:
-        packs = FP.run_pack(df, pack, **(pack_opts or {}))
+        packs = FP.pack_rows(base, pack_rules, pack, "pk")
         penalty = FP.pack_penalty(packs)
-    scores = I.scores(I.shape(df, key), risk, qsum, dups, penalty, prof.pack_penalty)
+    scores = I.scores(shape, risk, qsum, dups, penalty, prof.pack_penalty)
     if penalty is not None:
         scores = scores.join(penalty.select(DATASET, "pack_failed"), DATASET, "left").fillna(0, ["pack_failed"])
     drift = changes = None
