@@ -77,10 +77,30 @@ def _bounded(keys: DataFrame, limit: int) -> int | None:
     return n if n <= limit else None
 
 
+# Rows whose values average at least this many bytes are hashed before the
+# shuffle; narrower rows are grouped on their values directly.
+WIDE_ROW_BYTES = 256
+PROBE_ROWS = 1000
+
+
 def wide_rows(df: DataFrame, cols: list[str]) -> bool:
-    """Rows that may be wide (text, binary or nested values): worth hashing before a shuffle."""
-    return any(isinstance(df.schema[c].dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType,
-                                                   T.StructType)) for c in cols)
+    """Are the rows wide enough that shuffling two hashes beats shuffling the values?
+
+    Nested and binary values count as wide.  For strings, the average width is
+    measured on the first ``PROBE_ROWS`` rows (a limit read of the first
+    split, one small result) -- a planning heuristic only: both paths give the
+    same, exact result.
+    """
+    types = {c: df.schema[c].dataType for c in cols}
+    if any(isinstance(t, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for t in types.values()):
+        return True
+    strings = [c for c, t in types.items() if isinstance(t, T.StringType)]
+    if not strings:
+        return False
+    width = sum(F.coalesce(F.length(col(c)), F.lit(0)) for c in strings)
+    probe = df.select(width.alias("w")).limit(PROBE_ROWS).agg(F.avg("w").alias("w")).first()
+    fixed = 8 * (len(cols) - len(strings))
+    return probe is not None and probe.w is not None and probe.w + fixed >= WIDE_ROW_BYTES
 
 
 def choose_method(df: DataFrame, cols: list[str], method: str) -> str:
@@ -103,8 +123,8 @@ def duplicates(df: DataFrame, key: str | None = None, near: bool = True, method:
     first.  Rows with a unique hash are unique by value, so the result is
     exact.  When the repeated keys exceed ``max_candidates`` the count falls
     back to grouping on the values (``method="values"``), which moves the
-    full rows through the shuffle.  ``auto`` hashes when a row holds text or
-    nested values and groups narrow rows directly.  The hash groups (one
+    full rows through the shuffle.  ``auto`` hashes wide rows (see
+    ``wide_rows``) and groups narrow rows directly.  The hash groups (one
     small row per distinct row) are persisted: the size check and the counts
     read them without recomputing the first shuffle.
     """

@@ -36,7 +36,6 @@ def scan_cells(df: DataFrame, key: str | None = None, columns: list[str] | None
     df, key = frame.with_row_key(df, key)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     names = columns if columns is not None else frame.value_columns(df, key)
-    df = frame.spread(df)
     kinds = {c: pii.text_kind(types[c]) for c in names}
     names = [c for c in names if kinds[c] is not None]
     if not names:
@@ -44,8 +43,9 @@ def scan_cells(df: DataFrame, key: str | None = None, columns: list[str] | None
                 .withColumn("column", F.lit(None).cast("string"))
                 .withColumn("kind", F.lit(None).cast("string"))
                 .withColumn("cell", F.lit(None).cast("string")).limit(0))
-    wide = df.select(F.col(DATASET), col(key).alias("row_key"),
-                     *[pii.as_text(col(c), types[c]).alias(f"c{i}") for i, c in enumerate(names)])
+    # only the scanned columns travel when small inputs are spread over the cores
+    wide = frame.spread(df.select(F.col(DATASET), col(key).alias("row_key"),
+                                  *[pii.as_text(col(c), types[c]).alias(f"c{i}") for i, c in enumerate(names)]))
     long = wide.unpivot([DATASET, "row_key"], [f"c{i}" for i in range(len(names))], "slot", "cell")
     slot_to_name = {f"c{i}": c for i, c in enumerate(names)}
     long = (long.where(F.col("cell").isNotNull())
