@@ -96,3 +96,19 @@ def test_masks_match_reference_rules(spark):
     fdf = spark.createDataFrame([("DATE_OF_BIRTH", "03/15/1985"), ("CREDIT_CARD", "4111111111111111")], "t string, v string")
     assert [r.m for r in fdf.select(pii.mask_any(F.col("t"), F.col("v"), "function").alias("m")).collect()] == \
         ["**/*/1985", "XXXX-XXXX-XXXX-1111"]
+
+
+def test_wide_table_masks_every_column(spark):
+    """200 text columns: masking stays one constant-size expression over the row's cells."""
+    import time
+    n = 200
+    base = spark.range(50).select(F.col("id").alias("k"), F.col("id").cast("double").alias("amount"), *[
+        F.concat(F.lit(f"c{i} ssn 372-88-3412 "), F.col("id").cast("string")).alias(f"col_{i}") for i in range(n)])
+    t0 = time.time()
+    m = R.mask_frame(base, "cli", "high", key="k")
+    assert time.time() - t0 < 30
+    row = m.where("k = 7").first()
+    assert all(row[f"col_{i}"] == f"c{i} ssn XXX-XX-3412 7" for i in range(n))
+    assert dict(m.dtypes)["amount"] == "double" and row["amount"] == 7.0
+    f = S.scan_pii(base, "cli", "high", key="k")
+    assert f.count() == 50 * n
