@@ -450,3 +450,30 @@ SELECT dataset AS filename, 'blob_automatic' AS trigger, CAST(rows AS BIGINT) AS
 FORMAT_ROUNDTRIP = """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
 FROM customer"""
 SQL.update({"stream_scan": STREAM_GOLD, "format_roundtrip": FORMAT_ROUNDTRIP})
+
+EVENTS_AGG = """a AS (SELECT event_type AS dataset, count(*) AS n_total,
+  count(event_id) AS nn_e, count_if(event_id IS NULL) AS u_en,
+  count(user_id) AS nn_u, count_if(user_id IS NULL) AS u_un,
+  count(value) AS nn_v, count_if(value IS NOT NULL AND (value < 0 OR value > 400)) AS u_v,
+  count(props) AS nn_p, count_if(props IS NOT NULL AND NOT regexp_matches(props, '^[{]"k": [0-9]+[}]$')) AS u_p
+  FROM events GROUP BY event_type),
+ue AS (SELECT dataset, sum(n) AS nn_ue, coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS u_ue FROM
+  (SELECT event_type AS dataset, event_id, count(*) AS n FROM events WHERE event_id IS NOT NULL GROUP BY ALL)
+  GROUP BY dataset),
+uu AS (SELECT dataset, sum(n) AS nn_uu, coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS u_uu FROM
+  (SELECT event_type AS dataset, user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL)
+  GROUP BY dataset),
+a2 AS (SELECT * FROM a JOIN ue USING (dataset) JOIN uu USING (dataset))"""
+QUALITY_EVENTS = f"WITH {EVENTS_AGG}\n" + "\nUNION ALL ".join(
+    [check_row(i, EXIST, c, "exist") for i, c in enumerate(
+        ["event_id", "ts", "user_id", "event_type", "value", "props"])]
+    + [check_row(6, NN, "event_id", "not_null", "u_en", "nn_e"),
+       check_row(7, NN, "user_id", "not_null", "u_un", "nn_u"),
+       check_row(8, NN, "user_id", "not_null", "u_un", "nn_u"),
+       check_row(9, BT, "value", "between", "u_v", "nn_v"),
+       check_row(10, RX, "props", "regex", "u_p", "nn_p"),
+       check_row(11, UQ, "event_id", "unique", "u_ue", "nn_ue"),
+       check_row(12, UQ, "user_id", "unique", "u_uu", "nn_uu")]).replace(" FROM a", " FROM a2")
+MASK_PAGES = ("SELECT 'pages' AS dataset, page_id, "
+              + ", ".join(mask_sql("function", "medium", cols=(("url", "url"), ("html", "html")))) + " FROM pages")
+SQL.update({"mask_pages": MASK_PAGES, "quality_events": QUALITY_EVENTS})

@@ -444,6 +444,27 @@ def q_gold_history(spark, sf_dir):
     return J.display_history(gold_ds(spark, sf_dir))
 
 
+# ------------------------------------------------------------ other tables
+EVENT_RULES = [
+    {"column": "user_id", "type": "not_null"},
+    {"column": "value", "type": "between", "min": 0, "max": 400},
+    {"column": "props", "type": "regex", "pattern": '^[{]"k": [0-9]+[}]$'},
+    {"column": "event_id", "type": "unique"},
+    {"column": "user_id", "type": "unique"},
+]
+
+
+def q_mask_pages(spark, sf_dir):
+    """D7 over raw HTML pages with the function profile at medium sensitivity."""
+    return R.remediate(pages_ds(spark, sf_dir), "function", "medium", key="page_id", dedup_rows=False)
+
+
+def q_quality_events(spark, sf_dir):
+    """E1, E2, E8-E11 over the events stream table, one dataset per event type."""
+    e = table(spark, sf_dir, "events").withColumn("dataset", F.col("event_type"))
+    return Q.run_quality(e, "cli", EVENT_RULES)
+
+
 # ------------------------------------------------------ streaming and formats
 def q_stream_scan(spark, sf_dir):
     """M1 + M2 + A6: documents staged as one file per source, scanned by the file stream.
@@ -519,6 +540,8 @@ QUERIES = {
     "gold_dimensions": q_gold_dimensions,
     "gold_grades": q_gold_grades,
     "gold_history": q_gold_history,
+    "mask_pages": q_mask_pages,
+    "quality_events": q_quality_events,
     "stream_scan": q_stream_scan,
     "format_roundtrip": q_format_roundtrip,
 }
