@@ -49,9 +49,14 @@ def null_tokens(df: DataFrame, columns=None, tokens=None) -> DataFrame:
                        for c in df.columns])
 
 
-def read_csv_strings(spark: SparkSession, paths, dataset_from_file: bool = True) -> DataFrame:
-    """A1 + A2: header CSV, every column a string, NA tokens as null."""
-    r = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+def read_csv_strings(spark: SparkSession, paths, dataset_from_file: bool = True,
+                     multi_line: bool = False) -> DataFrame:
+    """A1 + A2: header CSV, every column a string, NA tokens as null.
+
+    Files are split across tasks; ``multi_line=True`` accepts quoted fields
+    with embedded newlines, at the price of reading each file in one task.
+    """
+    r = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
          .option("escape", '"').option("nullValue", None))
     df = r.csv(paths)
     data_cols = list(df.columns)
@@ -98,7 +103,8 @@ def read_any(spark: SparkSession, path, fmt: str | None = None, promote: bool =
 
     JSON: a single ``*.json`` file is read as one document (an array of
     records, as exported by the original tool); a folder as JSON lines (as
-    Spark writes it).  ``multi_line`` overrides the choice.
+    Spark writes it).  ``multi_line`` overrides the choice; for CSV it
+    enables quoted fields spanning lines (unsplittable files).
     """
     first = path[0] if isinstance(path, (list, tuple)) else path
     fmt = fmt or format_of(first)
@@ -109,7 +115,7 @@ def read_any(spark: SparkSession, path, fmt: str | None = None, promote: bool =
         return _with_file_dataset(spark.read.option("multiLine", ml).json(path))
     if fmt == "excel":
         raise ValueError("excel is not supported by the Spark readers; convert the file to csv or parquet")
-    df = read_csv_strings(spark, path)
+    df = read_csv_strings(spark, path, multi_line=bool(multi_line))
     return promote_numeric(df) if promote else df
 
 

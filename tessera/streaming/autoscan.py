@@ -76,7 +76,7 @@ def autoscan(spark: SparkSession, incoming: str, out_root: str, input_format: st
              profile="function", key: str | None = None, dataset: Column | None = None,
              sensitivity=None, output_format=None, encrypt=None, available_now: bool = True,
              processing_time: str | None = None, max_files_per_trigger: int | None = None,
-             checkpoint: str | None = None, drop: list[str] | None = None):
+             checkpoint: str | None = None, drop: list[str] | None = None, multi_line: bool = False):
     """M1: start the automatic scan stream; returns the ``StreamingQuery``.
 
     ``dataset`` defaults to the arriving file's name; ``drop`` removes columns
@@ -86,11 +86,12 @@ def autoscan(spark: SparkSession, incoming: str, out_root: str, input_format: st
     """
     opts = run_options(spark, input_format, sensitivity, output_format, encrypt)
     if schema is None:
-        schema = (A.read_csv_strings(spark, incoming, dataset_from_file=False).schema if input_format == "csv"
+        schema = (A.read_csv_strings(spark, incoming, dataset_from_file=False, multi_line=multi_line).schema
+                  if input_format == "csv"
                   else spark.read.format(input_format).load(incoming).schema)
     reader = spark.readStream.format(input_format).schema(schema).option("pathGlobFilter", GLOB)
     if input_format == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(incoming)
