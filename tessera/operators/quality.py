@@ -47,6 +47,7 @@ class Check:
     mostly: float | None = None
     search: bool = True            # regex: search anywhere (suite) vs match at start (strict)
     strict_key: str | None = None  # function-profile check id, for the detail text
+    detail_tpl: str | None = None  # detail text with {n}, for strict checks
     extra: dict = field(default_factory=dict)
 
 
@@ -86,6 +87,18 @@ def build_suite(df: DataFrame, profile="cli", rules: list[dict] | None = None,
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = [c for c in df.columns if c not in (DATASET, key)]
     checks: list[Check] = []
+    if prof.legacy_quality:
+        def legacy(kind, c, key, **kw):
+            name, tpl = P.LEGACY_CHECKS[key]
+            return Check(kind, c, name.format(col=c), strict_key=key, detail_tpl=tpl, **kw)
+        checks += [legacy("not_null", c, "not_null") for c in names if re.search(P.ID_COLUMN_REGEX, c)]
+        checks += [legacy("regex", c, "email", pattern=P.EMAIL_FORMAT_REGEX, search=False)
+                   for c in names if "email" in c.lower()]
+        checks += [legacy("between", c, "age", min=0, max=120) for c in names
+                   if "age" in c.lower() and is_numeric(fields[c])]
+        checks += [legacy("between", c, "nonneg", min=0) for c in names
+                   if any(k in c.lower() for k in prof.nonneg_words) and is_numeric(fields[c])]
+        return checks
     if prof.strict_quality:
         for c in names:
             low = c.lower()
@@ -203,7 +216,9 @@ def check_rows(base: DataFrame, checks: list[Check]) -> DataFrame:
         else:
             passed = u == 0
         if ch.strict_key:
-            detail = F.when(u > 0, F.format_string(STRICT_DETAIL[ch.strict_key].replace("{n}", "%d"), u)).otherwise("OK")
+            tpl = ch.detail_tpl or STRICT_DETAIL[ch.strict_key]
+            head, tail = tpl.split("{n}")
+            detail = F.when(u > 0, F.concat(F.lit(head), u.cast("string"), F.lit(tail))).otherwise("OK")
         else:
             detail = F.when(~passed, F.format_string("%d bad value(s)", u))
         rows.append(F.struct(F.lit(i).alias("check_idx"), F.lit(ch.name).alias("check"),

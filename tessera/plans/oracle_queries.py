@@ -477,3 +477,11 @@ QUALITY_EVENTS = f"WITH {EVENTS_AGG}\n" + "\nUNION ALL ".join(
 MASK_PAGES = ("SELECT 'pages' AS dataset, page_id, "
               + ", ".join(mask_sql("function", "medium", cols=(("url", "url"), ("html", "html")))) + " FROM pages")
 SQL.update({"mask_pages": MASK_PAGES, "quality_events": QUALITY_EVENTS})
+
+QUALITY_LEGACY = f"WITH {Q_CUSTOMER_AGG}\n" + "\nUNION ALL ".join([
+    check_row(0, "not null", "customer_id", "not_null", "u_id", "nn_id", strict=" null value(s)"),
+    check_row(1, "email format", "email", "regex", "u_email", "nn_email", strict=" invalid email(s)"),
+    check_row(2, "age range 0-120", "age", "between", "u_age", "nn_age", strict=" out-of-range age(s)"),
+    check_row(3, "non-negative (revenue)", "revenue", "between", "u_rev", "nn_rev", strict=" negative value(s)"),
+    check_row(4, "non-negative (score)", "score", "between", "u_score", "nn_score", strict=" negative value(s)")])
+SQL.update({"quality_legacy": QUALITY_LEGACY})

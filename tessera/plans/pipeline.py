@@ -43,6 +43,7 @@ def run_scan(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
              baseline: DataFrame | None = None) -> ScanResult:
     """Every check of a scan, per dataset, as lazy DataFrames."""
     prof = get_profile(profile)
+    sensitivity = prof.level(sensitivity)
     df = frame.with_dataset(df)
     df, key = frame.with_row_key(df, key)
     findings = S.scan_pii(df, prof, sensitivity, key=key)

@@ -220,6 +220,11 @@ def q_quality_strict(spark, sf_dir):
     return Q.run_quality(customer_quality_ds(spark, sf_dir), "function")
 
 
+def q_quality_legacy(spark, sf_dir):
+    """E2, E4-E6 with the legacy profile's wording, order and keyword list."""
+    return Q.run_quality(customer_quality_ds(spark, sf_dir), "legacy")
+
+
 def q_quality_summary(spark, sf_dir):
     """E13 summary + K3 pass rate."""
     return Q.pass_rate(Q.summarize(Q.run_quality(customer_quality_ds(spark, sf_dir), "cli")))
@@ -510,6 +515,7 @@ QUERIES = {
     "remediate_documents": q_remediate_documents,
     "quality_suite": q_quality_suite,
     "quality_strict": q_quality_strict,
+    "quality_legacy": q_quality_legacy,
     "quality_summary": q_quality_summary,
     "custom_rules": q_custom_rules,
     "quality_failures": q_quality_failures,

@@ -1,12 +1,14 @@
 """Detection profiles: patterns, sensitivity levels and keyword lists.
 
-Two profiles exist because the behaviour to match comes in two flavours:
+Three profiles exist because the behaviour to match comes in three flavours:
 
 * ``cli``      -- eight PII types, an expectation-style quality suite
                   (``mostly`` thresholds), near-duplicate counting and a
                   penalty for failed industry-pack rules.
 * ``function`` -- five PII types, strict zero-violation quality checks,
                   no pack penalty and no near duplicates.
+* ``legacy``   -- the older function engine: as ``function`` but a
+                  ``**/**/`` date mask and its own check wording and order.
 
 Everything in this module is plain data; the column expressions that use it
 live in :mod:`tessera.functions.pii`.  Keyword tests are *substring* tests
@@ -74,6 +76,16 @@ FUNCTION_RISKY_CONTEXT_WORDS = [
     "social security", "ssn", "identity", "date of birth", "dob", "confidential", "medical",
 ]
 
+# legacy profile (the older function engine): function patterns and words,
+# a "**/**/" date mask and its own quality wording / keyword list
+LEGACY_NONNEG_WORDS = ["revenue", "amount", "price", "quantity", "qty", "score"]
+LEGACY_CHECKS = {
+    "not_null": ("not null", "{n} null value(s)"),
+    "email": ("email format", "{n} invalid email(s)"),
+    "age": ("age range 0-120", "{n} out-of-range age(s)"),
+    "nonneg": ("non-negative ({col})", "{n} negative value(s)"),
+}
+
 # shared
 EMAIL_COLUMNS = ["email", "email_address", "contact_email", "user_email"]
 
@@ -154,6 +166,7 @@ class Profile:
     dob_mask_prefix: str = CLI_DOB_PREFIX
     pad_fallback_mask: bool = True          # 2 chars + max(4, len-2) bullets vs 2 chars + 4
     strict_quality: bool = False            # function-style checks instead of the suite
+    legacy_quality: bool = False            # older wording, checks grouped by kind
     pack_penalty: bool = True
     near_duplicates: bool = True
     with_reason: bool = True
@@ -161,6 +174,10 @@ class Profile:
     match: str = "substring"                # or "token"
     extra: dict = field(default_factory=dict)
 
+    def level(self, sensitivity: str | None) -> str:
+        """B1 whitelist: an unknown sensitivity level means medium."""
+        return sensitivity if sensitivity in self.sensitivity else "medium"
+
     def active_types(self, sensitivity: str | None) -> list[str]:
         """Types enabled at ``sensitivity`` (unknown level -> medium), in pattern order."""
         level = self.sensitivity.get((sensitivity or "medium"), self.sensitivity["medium"])
@@ -198,7 +215,10 @@ FUNCTION = Profile(
     nonneg_words=tuple(FUNCTION_NONNEG_WORDS),
 )
 
-PROFILES = {"cli": CLI, "function": FUNCTION}
+LEGACY = FUNCTION.with_options(name="legacy", dob_mask_prefix=CLI_DOB_PREFIX, legacy_quality=True,
+                               nonneg_words=tuple(LEGACY_NONNEG_WORDS))
+
+PROFILES = {"cli": CLI, "function": FUNCTION, "legacy": LEGACY}
 
 
 def get_profile(profile: "str | Profile") -> Profile:

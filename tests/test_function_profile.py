@@ -197,3 +197,17 @@ def test_remediate_encrypts_only_high(spark, unit_frame):
             assert r.masked not in v and r.raw_value not in v
         elif r.risk == "MEDIUM":
             assert r.masked in v
+
+
+# ------------------------------------------------------------- legacy profile
+def test_legacy_profile(spark, sample):
+    from tessera.plans.pipeline import run_scan as scan
+    r = scan(sample, "legacy", "whatever")            # unknown level -> medium
+    s = r.scores.first()
+    assert (s.overall, s.privacy, s.quality, s.pii_high, s.pii_medium, s.pii_low) == (42, 74, 0, 2, 2, 2)
+    checks = [(q.check, q.column, q.detail) for q in r.quality.orderBy("check_idx").collect()]
+    assert checks == [("not null", "customer_id", "1 null value(s)"), ("email format", "email", "1 invalid email(s)"),
+                      ("age range 0-120", "age", "2 out-of-range age(s)"),
+                      ("non-negative (revenue)", "revenue", "1 negative value(s)")]
+    dob = [f.masked for f in r.findings.where("pii_type = 'DATE_OF_BIRTH'").collect()]
+    assert dob == ["**/**/1985"]
