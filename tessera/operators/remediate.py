@@ -23,11 +23,11 @@ from ..frame import DATASET, col
 from ..functions import pii
 from ..profiles import get_profile
 
-KEY_CONF = "spark.tessera.encryption.key"
+KEY_CONF = "spark.tessera.encryption.secret"   # "secret": hidden by Spark's default conf redaction
 
 
 def encryption_key(spark, key: "str | bytes | None" = None) -> Column:
-    """AES key as a binary literal, from the argument or ``spark.tessera.encryption.key``.
+    """AES key as a binary literal, from the argument or ``spark.tessera.encryption.secret``.
 
     The key is base64 text of 16, 24 or 32 bytes.  A missing key is an error
     (C20), never a silent pass-through.
@@ -38,7 +38,7 @@ def encryption_key(spark, key: "str | bytes | None" = None) -> Column:
         raise ValueError(f"{KEY_CONF} not set: supply a base64 AES key (16/24/32 bytes) to encrypt or decrypt")
     raw = key if isinstance(key, bytes) else base64.b64decode(key)
     if len(raw) not in (16, 24, 32):
-        raise ValueError("encryption key must decode to 16, 24 or 32 bytes")
+        raise ValueError("encryption secret must decode to 16, 24 or 32 bytes")
     return F.unbase64(F.lit(base64.b64encode(raw).decode()))
 
 

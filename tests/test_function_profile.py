@@ -176,7 +176,7 @@ def test_encrypt_round_trip(spark):
 
 def test_missing_key_raises(spark):
     spark.conf.unset(R.KEY_CONF)
-    with pytest.raises(ValueError, match="encryption.key"):
+    with pytest.raises(ValueError, match="encryption.secret"):
         R.encryption_key(spark)
 
 
