@@ -61,3 +61,25 @@ def test_scan_document_and_history(spark, sample, tmp_path):
     assert (d.scores.overall, d.pii_by_risk.HIGH, d.quality.failed, d.duplicates.exact_duplicates) == (42, 2, 4, 1)
     assert "raw_value" not in [f.name for f in doc.schema["pii_findings_top"].dataType.elementType.fields]
     assert len(d.quality.results) == 4 and d.trigger == "http_manual"
+
+
+def test_health_check_flow(spark, tmp_path):
+    import json
+    import os
+
+    from tests.conftest import FIXTURES
+    from tessera.plans.health_check import health_check
+    src = os.path.join(FIXTURES, "sample_customers.csv")
+    base = str(tmp_path / "baseline")
+    assert health_check(spark, src, baseline=base, save_schema=True) is None
+    cfg = tmp_path / "config.json"
+    cfg.write_text(json.dumps({"custom_expectations": [{"column": "name", "type": "unique"},
+                                                       {"column": "nope", "type": "not_null"}]}))
+    res = health_check(spark, src, pack="healthcare", config=str(cfg), baseline=base,
+                       output=str(tmp_path / "results"))
+    s = res.scores.first()
+    assert (s.status, s.drift_alerts, s.pack_penalty) == ("stable", 0, 5)
+    assert res.quality.where("check = 'column values to be unique'").first().unexpected_count == 2
+    assert spark.read.json(str(tmp_path / "results")).count() == 1
+    fresh = health_check(spark, src, baseline=str(tmp_path / "missing"))
+    assert fresh.scores.first().status == "no_baseline"
