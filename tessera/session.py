@@ -56,3 +56,24 @@ def is_local_path(path: str) -> bool:
 def ensure_dir(path: str) -> None:
     if is_local_path(path):
         os.makedirs(path.replace("file://", ""), exist_ok=True)
+
+
+def cluster_conf(total_input_bytes: int | None = None, target_partition_bytes: int = 256 << 20) -> dict:
+    """Suggested settings for a large cluster (not applied automatically).
+
+    Shuffle partitions are sized so each holds about ``target_partition_bytes``
+    of the input (AQE coalesces small ones at runtime and splits skewed join
+    partitions); file splits of 512 MB keep scan tasks in the minutes range;
+    the scans here are CPU-bound regexes, so splits are not made larger.
+    """
+    parts = 2000 if not total_input_bytes else max(200, min(100_000, total_input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.session.timeZone": "UTC",
+    }
