@@ -77,6 +77,7 @@ def run_scan(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
 def scan_document(res: ScanResult, sensitivity: str, scanned_at=None, trigger: str = "batch") -> DataFrame:
     """One nested document per dataset (bounded lists only)."""
     ts = F.current_timestamp() if scanned_at is None else F.lit(scanned_at).cast("timestamp")
+    sensitivity = sensitivity if sensitivity in ("low", "medium", "high") else "medium"   # B1 whitelist
     checks = (res.quality.groupBy(DATASET).agg(F.sort_array(F.collect_list(F.struct(
         "check_idx", "check", "column", "passed", "unexpected_count", "unexpected_percent", "detail"))).alias("results")))
     top = (S.top_per_type(res.findings, 15).drop("raw_value")

@@ -62,3 +62,21 @@ def test_stream_autoscan_csv(spark, tmp_path):
     assert "372-88-3412" not in notes.replace("XXX-XX-3412", "")
     assert spark.read.parquet(f"{out}/alerts").count() == 1
     assert spark.read.json(f"{out}/results").first().scores.overall == 42
+
+
+def test_stream_processing_time_trigger(spark, tmp_path):
+    inc = tmp_path / "in"
+    inc.mkdir()
+    shutil.copy(os.path.join(FIX, "sample_customers.csv"), inc / "a.csv")
+    out = str(tmp_path / "out")
+    q = autoscan(spark, str(inc), out, input_format="csv", sensitivity="low", available_now=False,
+                 processing_time="1 second", output_format="parquet")
+    try:
+        q.processAllAvailable()
+        shutil.copy(os.path.join(FIX, "sample_customers.csv"), inc / "b.csv")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    gold = {r.filename: r for r in spark.read.parquet(f"{out}/gold").collect()}
+    assert set(gold) == {"a.csv", "b.csv"} and gold["b.csv"].health_score == 47
+    assert spark.read.parquet(f"{out}/silver").count() == 20
