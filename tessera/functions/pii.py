@@ -19,6 +19,15 @@ from ..profiles import Profile, get_profile
 
 SAFE, RISKY, FREE = "safe", "risky", "free"
 
+# Python's str patterns are Unicode-aware (\d, \s, \w, \b); Java's are not by
+# default, and Java's \b changed meaning between JDK 17 and 19.  Compiling with
+# UNICODE_CHARACTER_CLASS gives the same classes on every JDK.
+UNICODE = "(?U)"
+
+
+def java_regex(pattern: str) -> str:
+    return UNICODE + pattern
+
 MATCH_TYPE = T.StructType([
     T.StructField("pii_type", T.StringType(), False),
     T.StructField("raw_value", T.StringType(), True),
@@ -104,20 +113,20 @@ def mask(pii_type: str, v: Column, profile: "str | Profile" = "cli") -> Column:
     """Partial mask of one matched value of a known type."""
     prof = get_profile(profile)
     if pii_type == "SSN":
-        return F.regexp_replace(v, r"^\d{3}-\d{2}-", P.MASK_SSN_PREFIX)
+        return F.regexp_replace(v, java_regex(r"^\d{3}-\d{2}-"), P.MASK_SSN_PREFIX)
     if pii_type == "CREDIT_CARD":
-        digits = F.regexp_replace(v, r"[^0-9]", "")
+        digits = F.regexp_replace(v, java_regex(r"[^\d]"), "")
         return (F.when(F.length(digits) >= 4, F.concat(F.lit(P.MASK_CARD_PREFIX), F.substring(digits, -4, 4)))
                 .otherwise(F.lit(P.MASK_CARD_NO_DIGITS)))
     if pii_type == "PHONE":
-        return F.regexp_replace(v, r"^\+?1?[\-.\s]?\(?\d{3}\)?[\-.\s]\d{3}", P.MASK_PHONE_PREFIX)
+        return F.regexp_replace(v, java_regex(r"^\+?1?[\-.\s]?\(?\d{3}\)?[\-.\s]\d{3}"), P.MASK_PHONE_PREFIX)
     if pii_type == "EMAIL":
         parts = F.split(v, "@")
         return (F.when(F.size(parts) == 2,
                        F.concat(F.substring(parts.getItem(0), 1, 2), F.lit("***@"), parts.getItem(1)))
                 .otherwise(F.lit(P.MASK_EMAIL_BAD)))
     if pii_type == "DATE_OF_BIRTH":
-        return F.regexp_replace(v, r"^\d{1,2}[\/\-]\d{1,2}[\/\-]", F.lit(prof.dob_mask_prefix))
+        return F.regexp_replace(v, java_regex(r"^\d{1,2}[\/\-]\d{1,2}[\/\-]"), F.lit(prof.dob_mask_prefix))
     if pii_type == "PASSPORT":
         return F.concat(F.substring(v, 1, 2), F.lit(P.MASK_PASSPORT_SUFFIX))
     if prof.pad_fallback_mask:
@@ -138,7 +147,7 @@ def mask_any(pii_type: Column, v: Column, profile: "str | Profile" = "cli") -> C
 # ---------------------------------------------------------------- detection
 def detect(cell: Column, pii_type: str, profile: "str | Profile" = "cli") -> Column:
     """All matches of one type in a cell, ``array<string>``."""
-    return F.regexp_extract_all(cell, F.lit(get_profile(profile).pattern(pii_type)), 0)
+    return F.regexp_extract_all(cell, F.lit(java_regex(get_profile(profile).pattern(pii_type))), 0)
 
 
 def _finding_of(t: str, prof: Profile):
@@ -176,7 +185,7 @@ def prefilter_columns(cell: Column) -> dict:
     once per cell (one character-class scan, one byte search) skips the
     regexes for the large share of text cells that hold neither.
     """
-    return {"has_digit": cell.rlike("[0-9]"), "has_at": cell.contains("@")}
+    return {"has_digit": cell.rlike(java_regex(r"\d")), "has_at": cell.contains("@")}
 
 
 def prefilter_guards(types, has_digit: Column, has_at: Column) -> dict:

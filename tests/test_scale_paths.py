@@ -65,7 +65,8 @@ def test_scan_runs_each_pattern_once(spark):
     assert "Exchange" not in plan or "RoundRobinPartitioning" in plan
 
 
-ALPHABET = list("0123456789") * 4 + list("-./@ ()+") * 2 + list("abcXYZDEe") + ["\n", "é", "SSN ", "DE89"]
+ALPHABET = (list("0123456789") * 4 + list("-./@ ()+") * 2 + list("abcXYZDEe")
+            + ["\n", "é", "SSN ", "DE89", "\u0663", "\u0665", "\u00a0", "\u2007", "\u3000", "_"])
 
 
 def _random_text(rng):
@@ -74,9 +75,10 @@ def _random_text(rng):
 
 def test_patterns_match_python_re(spark):
     rng = random.Random(7)
-    texts = [_random_text(rng) for _ in range(400)]
+    texts = [_random_text(rng) for _ in range(600)]
     texts += ["372-88-3412", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000", "4111 1111 1111 1111",
-              "+1 (415) 555-0199", "a.b@c.de", "10.0.0.1", "03/15/1985", "AB1234567", "DE89370400440532013000"]
+              "+1 (415) 555-0199", "a.b@c.de", "10.0.0.1", "03/15/1985", "AB1234567", "DE89370400440532013000",
+              "\u0663\u0667\u0662-\u0668\u0668-\u0663\u0664\u0661\u0662", "415\u00a0555\u00a00199"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
     got = {r.id: r for r in df.select("id", *[pii.detect(F.col("t"), t, CLI).alias(t) for t, _ in PATTERNS_ALL])
            .collect()}
