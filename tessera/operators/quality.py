@@ -153,13 +153,21 @@ def _text(c: str, dtype: T.DataType) -> Column:
     return col(c) if isinstance(dtype, T.StringType) else col(c).cast("string")
 
 
+def python_regex_to_java(pattern: str) -> str:
+    """A user rule written for Python's ``re``: named groups / back-references in Java syntax,
+    Unicode character classes as in Python."""
+    p = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
+    p = re.sub(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>", p)
+    return "(?U)" + p
+
+
 def _unexpected(ch: Check, dtype: T.DataType) -> Column:
     """Condition for an unexpected value (nulls never unexpected except for not_null)."""
     if ch.kind == "not_null":
         return col(ch.column).isNull()
     if ch.kind == "regex":
         pat = ch.pattern if ch.search else "^(?:" + ch.pattern + ")"
-        return col(ch.column).isNotNull() & ~_text(ch.column, dtype).rlike(pat)
+        return col(ch.column).isNotNull() & ~_text(ch.column, dtype).rlike(python_regex_to_java(pat))
     if ch.kind == "between":
         v = _value(ch.column, dtype)
         cond = F.lit(False)

@@ -83,3 +83,12 @@ def test_health_check_flow(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "results")).count() == 1
     fresh = health_check(spark, src, baseline=str(tmp_path / "missing"))
     assert fresh.scores.first().status == "no_baseline"
+
+
+def test_python_regex_rules(spark):
+    from tessera.operators.quality import python_regex_to_java, run_quality
+    assert python_regex_to_java(r"^(?P<a>\d)(?P=a)$") == r"(?U)^(?<a>\d)\k<a>$"
+    df = spark.createDataFrame([("11",), ("12",), ("٣٣",)], "code string")
+    r = run_quality(df, "cli", [{"column": "code", "type": "regex", "pattern": r"^(?P<d>\d)(?P=d)$"}])
+    row = r.where("check = 'column values to match regex'").first()
+    assert row.unexpected_count == 1          # "12"; Arabic-Indic digits count as digits, as in Python
