@@ -166,7 +166,7 @@ def q_mask_documents(spark, sf_dir):
 
 
 def q_mask_documents_function(spark, sf_dir):
-    """D7 with the function profile's masks (DOB prefix, fixed bullets), medium sensitivity."""
+    """D7 with the function profile's masks (DOB prefix, fixed bullets), high sensitivity."""
     return R.remediate(documents_ds(spark, sf_dir), "function", "high", key="doc_id", dedup_rows=False)
 
 
