@@ -28,11 +28,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names storage every executor can reach and is
-    used as is.  Only when it is unset (tests, local runs) a folder under the
-    system temp directory is created and recorded in the session.
+    used as is (unset on a cluster is an error).  Only for a local master with
+    the setting unset (tests, local runs) a folder under the system temp
+    directory is created and recorded in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder every executor can reach "
+                             "(streaming checkpoints and staged tables are written there)")
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     try:
