@@ -230,6 +230,30 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_text_sql(name: str, dtype: T.DataType) -> str:
+    """``as_text`` as SQL text (one parse on the JVM instead of many calls per column)."""
+    c = sql_ident(name)
+    if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
+        return c
+    if isinstance(dtype, NESTED_TYPES):
+        return f"to_json({c})"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        d = f"CAST({c} AS DOUBLE)"
+        plain = f"concat(regexp_replace(CAST(CAST({d} AS DECIMAL(38,6)) AS STRING), '\\\\.?0+$', ''), '.0')"
+        return (f"CASE WHEN abs({d}) >= 1e7 AND abs({d}) < 1e16 AND {d} = floor({d}) THEN {plain} "
+                f"ELSE CAST({d} AS STRING) END")
+    return f"CAST({c} AS STRING)"
+
+
 # --------------------------------------------------------------- encryption
 def encrypt_token(v: Column, key: Column) -> Column:
     """Recoverable token, base64 of AES-GCM (random IV, authenticated)."""

@@ -139,13 +139,13 @@ def mask_frame(df: DataFrame, profile="cli", sensitivity="medium", key: str | No
 
 def _mask_cells(cols: list[str], fields: dict, prof, sensitivity, key: Column | None, numeric: bool) -> Column:
     """Array expression over the cells of ``cols``: masked texts, or (numeric) "null this value" flags."""
-    lit_arr = lambda xs: F.array(*[F.lit(x) for x in xs])
-    classes = lit_arr([pii.column_class(c, prof) for c in cols])
-    emails = lit_arr([pii.is_email_column(c, prof) for c in cols])
+    # literal arrays and the packed cells as SQL text: one JVM-side parse, however many columns
+    classes = F.expr("array(" + ", ".join(pii.sql_str(pii.column_class(c, prof)) for c in cols) + ")")
+    emails = F.expr("array(" + ", ".join("true" if pii.is_email_column(c, prof) else "false" for c in cols) + ")")
     types = prof.active_types(sensitivity)
     if numeric:
         types = [t for t in types if t == "CREDIT_CARD"]
-    cells = F.array(*[pii.as_text(col(c), fields[c]) for c in cols])
+    cells = F.expr("array(" + ", ".join(pii.as_text_sql(c, fields[c]) for c in cols) + ")")
 
     def facts(cell, i):
         f = pii.prefilter_columns(cell)

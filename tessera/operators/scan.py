@@ -4,13 +4,14 @@ The scan is one narrow pass: the table is unpivoted into
 ``(dataset, key, column, cell)`` (an ``Expand``, no shuffle), every active
 pattern is applied to each cell with ``regexp_extract_all`` and the matches are
 exploded into one finding per match.  Column rules (safe / risky / e-mail /
-numeric) are metadata and enter the plan as small literal maps, so the
-expression stays the same size however wide the table is.
+numeric) are metadata and travel as literals inside each cell's struct, so
+no per-row lookup is needed and the expression stays the same size however
+wide the table is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import frame
@@ -22,36 +23,44 @@ FINDING_COLUMNS = ["dataset", "row_key", "column", "pii_type", "match_idx", "raw
                    "masked", "confidence", "risk", "reason"]
 
 
-def _lookup(mapping: dict, key: Column, default=None) -> Column:
-    """Literal map lookup; ``default`` when the key is absent."""
-    if not mapping:
-        return F.lit(default)
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return F.coalesce(F.element_at(m, key), F.lit(default)) if default is not None else F.element_at(m, key)
+def scan_cells(df: DataFrame, key: str | None = None, columns: list[str] | None = None,
+               attrs: dict | None = None) -> DataFrame:
+    """Long form ``(dataset, row_key, column, kind, [attrs...], cell)`` of every scannable, non-null cell (B2).
 
-
-def scan_cells(df: DataFrame, key: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Long form ``(dataset, row_key, column, kind, cell)`` of every scannable, non-null cell (B2)."""
+    Each cell travels as one struct with its column's name, kind and any extra
+    per-column ``attrs`` (``{attr: {column: value}}``) as literals, so no
+    per-row lookup by column name is needed however wide the table is.
+    """
     df = frame.with_dataset(df)
     df, key = frame.with_row_key(df, key)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     names = columns if columns is not None else frame.value_columns(df, key)
     kinds = {c: pii.text_kind(types[c]) for c in names}
     names = [c for c in names if kinds[c] is not None]
+    extra = list((attrs or {}).items())
+    fields = ["column", "kind"] + [a for a, _ in extra] + ["cell"]
     if not names:
         return (df.select(F.col(DATASET), col(key).alias("row_key"))
-                .withColumn("column", F.lit(None).cast("string"))
-                .withColumn("kind", F.lit(None).cast("string"))
-                .withColumn("cell", F.lit(None).cast("string")).limit(0))
+                .select(DATASET, "row_key", *[F.lit(None).cast("string").alias(f) for f in fields]).limit(0))
+
+    def lit_sql(v):
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        return "CAST(NULL AS STRING)" if v is None else pii.sql_str(str(v))
+
+    def cell_struct(i, c):
+        vals = [f"'column', {pii.sql_str(c)}", f"'kind', {pii.sql_str(kinds[c])}"]
+        vals += [f"{pii.sql_str(a)}, {lit_sql(per_col.get(c))}" for a, per_col in extra]
+        vals.append(f"'cell', {pii.as_text_sql(c, types[c])}")
+        return f"named_struct({', '.join(vals)}) AS c{i}"
+
+    # one SQL expression per column, parsed JVM-side: plan building stays fast for thousands of columns;
     # only the scanned columns travel when small inputs are spread over the cores
-    wide = frame.spread(df.select(F.col(DATASET), col(key).alias("row_key"),
-                                  *[pii.as_text(col(c), types[c]).alias(f"c{i}") for i, c in enumerate(names)]))
-    long = wide.unpivot([DATASET, "row_key"], [f"c{i}" for i in range(len(names))], "slot", "cell")
-    slot_to_name = {f"c{i}": c for i, c in enumerate(names)}
-    long = (long.where(F.col("cell").isNotNull())
-            .withColumn("column", _lookup(slot_to_name, F.col("slot")))
-            .withColumn("kind", _lookup({f"c{i}": kinds[c] for i, c in enumerate(names)}, F.col("slot"))))
-    return long.select(DATASET, "row_key", "column", "kind", "cell")
+    wide = frame.spread(df.select(F.col(DATASET), col(key).alias("row_key"), *[col(c) for c in names])
+                        .selectExpr(DATASET, "row_key", *[cell_struct(i, c) for i, c in enumerate(names)]))
+    long = wide.unpivot([DATASET, "row_key"], [f"c{i}" for i in range(len(names))], "slot", "v")
+    return (long.select(DATASET, "row_key", *[F.col("v").getField(f).alias(f) for f in fields])
+            .where(F.col("cell").isNotNull()))
 
 
 def scan_pii(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str | None = None,
@@ -64,21 +73,19 @@ def scan_pii(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
     """
     prof = get_profile(profile)
     types = prof.active_types(sensitivity)                       # B1
-    cells = scan_cells(df, key, columns)
     names = columns
     if names is None:
         d = frame.with_dataset(df)
         d, k = frame.with_row_key(d, key)
         names = frame.value_columns(d, k)
-    classes = {c: pii.column_class(c, prof) for c in names}
-    email_cols = {c: True for c in names if pii.is_email_column(c, prof)}
-    cls = _lookup(classes, F.col("column"), pii.FREE)
-    is_email = _lookup(email_cols, F.col("column"), False)
+    attrs = {"col_class": {c: pii.column_class(c, prof) for c in names},
+             "is_email": {c: pii.is_email_column(c, prof) for c in names}}
+    cells = scan_cells(df, key, columns, attrs)
     is_text = F.col("kind") == "text"
     # B3 e-mail exemption; numeric cells can only ever hold a card number
     guards = {t: is_text for t in types if t != "CREDIT_CARD"}
     if "EMAIL" in guards:
-        guards["EMAIL"] = is_text & ~is_email
+        guards["EMAIL"] = is_text & ~F.col("is_email")
     facts = pii.prefilter_columns(F.col("cell"))
     guards = pii.and_guards(guards, pii.prefilter_guards(types, F.col("has_digit"), F.col("has_at")))
     conf = pii.confidence(F.col("col_class"), F.col("cell"), prof)
@@ -86,7 +93,6 @@ def scan_pii(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
     # makes the optimizer infer ``size(matches) > 0`` and push it below the
     # projection, which would run every regex twice.
     out = (cells
-           .withColumn("col_class", cls)
            .withColumn("has_digit", facts["has_digit"]).withColumn("has_at", facts["has_at"])
            .withColumn("matches", pii.match_structs(F.col("cell"), types, prof, guards))
            .withColumn("confidence", F.when(F.size("matches") > 0, conf))
