@@ -472,18 +472,23 @@ def q_quality_events(spark, sf_dir):
 
 # ------------------------------------------------------ streaming and formats
 def q_stream_scan(spark, sf_dir):
-    """M1 + M2 + A6: documents staged as one file per source, scanned by the file stream.
+    """M1 + M2 + A6: documents staged as one folder per source, scanned by the file stream.
 
+    Every task writes its own files into each source folder (no shuffle on the
+    source, so a source holding a third of all rows is still written by all
+    tasks).  A dataset must land whole in one micro-batch, so the stream takes
+    every staged file in one ``availableNow`` batch; multi-batch runs and
+    replays are covered by the streaming tests.
     Returns the gold rows the stream appended (without the wall-clock timestamp).
     """
     from ..session import scratch_path
     from ..streaming.autoscan import autoscan
     stage, out = scratch_path(spark, "stage"), scratch_path(spark, "autoscan")
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang", "n_chars")
-    docs.repartition("source").write.partitionBy("source").parquet(stage)
+    docs.write.partitionBy("source").parquet(stage)
     q = autoscan(spark, stage, out, input_format="parquet", schema=spark.read.parquet(stage).schema,
                  profile="function", key="doc_id", dataset=F.col("source"), sensitivity="medium",
-                 max_files_per_trigger=5, drop=["source"])
+                 drop=["source"])
     q.awaitTermination()
     gold = spark.read.parquet(f"{out}/gold")
     return gold.drop("timestamp", "batch_id")
