@@ -51,7 +51,7 @@ def main():
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             dt = time.time() - t0
             best = dt if best is None else min(best, dt)
-        spark.catalog.clearCache()
+            spark.catalog.clearCache()      # every run starts without cached data
         times[name] = round(best, 3)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -92,3 +92,29 @@ def test_python_regex_rules(spark):
     r = run_quality(df, "cli", [{"column": "code", "type": "regex", "pattern": r"^(?P<d>\d)(?P=d)$"}])
     row = r.where("check = 'column values to match regex'").first()
     assert row.unexpected_count == 1          # "12"; Arabic-Indic digits count as digits, as in Python
+
+
+def test_check_rows_schema_and_values(spark):
+    """Quality result rows (built as one SQL expression): schema, mostly, strict detail, empty denominator."""
+    from pyspark.sql import types as T
+
+    from tessera.operators import quality as Q
+    df = spark.createDataFrame(
+        [("a", 1, "x@y.com"), ("a", None, "bad"), ("a", 200, None), ("b", None, None)],
+        "dataset string, age int, email string")
+    checks = [Q.Check("exist", "age", "column to exist"),
+              Q.Check("not_null", "age", "column values to not be null", mostly=0.5),
+              Q.Check("between", "age", "age 0-120", min=0, max=120, strict_key="age"),
+              Q.Check("regex", "email", "column values to match regex", pattern="@")]
+    out = Q.run_checks(df, checks)
+    assert out.schema.simpleString() == T._parse_datatype_string(Q.RESULT_SCHEMA).simpleString()
+    got = {(r.dataset, r.check_idx): r for r in out.collect()}
+    assert len(got) == 8
+    nn_a = got[("a", 1)]
+    assert (nn_a.passed, nn_a.total, nn_a.unexpected_count) == (True, 3, 1)
+    assert abs(nn_a.unexpected_percent - 100.0 / 3) < 1e-9
+    assert got[("a", 2)].detail == "1 out-of-range" and got[("a", 2)].passed is False
+    assert got[("b", 2)].detail == "OK" and got[("b", 2)].unexpected_percent is None
+    assert got[("a", 3)].detail == "1 bad value(s)" and got[("b", 3)].detail is None
+    # mostly: no non-null value to judge -> passed (as before the SQL form)
+    assert got[("b", 1)].passed is True and got[("b", 1)].unexpected_count == 1 and got[("b", 0)].passed is True
