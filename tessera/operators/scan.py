@@ -89,24 +89,26 @@ def scan_pii(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
     facts = pii.prefilter_columns(F.col("cell"))
     guards = pii.and_guards(guards, pii.prefilter_guards(types, F.col("has_digit"), F.col("has_at")))
     conf = pii.confidence(F.col("col_class"), F.col("cell"), prof)
-    # posexplode_outer + a filter on the generated column: a plain explode
-    # makes the optimizer infer ``size(matches) > 0`` and push it below the
-    # projection, which would run every regex twice.
+    reason = (pii.reason(F.col("col_class"), F.col("column")) if prof.with_reason
+              else F.lit(None).cast("string"))
+    # Each stage is one projection: prefilter facts, matches, confidence (per
+    # cell, before the explode), then the findings.  posexplode_outer + a
+    # filter on the generated column: a plain explode makes the optimizer
+    # infer ``size(matches) > 0`` and push it below the projection, which
+    # would run every regex twice.
     out = (cells
-           .withColumn("has_digit", facts["has_digit"]).withColumn("has_at", facts["has_at"])
-           .withColumn("matches", pii.match_structs(F.col("cell"), types, prof, guards))
-           .withColumn("confidence", F.when(F.size("matches") > 0, conf))
+           .select("*", facts["has_digit"].alias("has_digit"), facts["has_at"].alias("has_at"))
+           .select("*", pii.match_structs(F.col("cell"), types, prof, guards).alias("matches"))
+           .select("*", F.when(F.size("matches") > 0, conf).alias("confidence"))
            .select(DATASET, "row_key", "column", "col_class", "confidence",
                    *([F.col("cell")] if keep_cell else []),
                    F.posexplode_outer("matches").alias("match_idx", "m"))
-           .where(F.col("m").isNotNull())
-           .withColumn("risk", pii.risk_tier(F.col("confidence")))
-           .withColumn("reason", pii.reason(F.col("col_class"), F.col("column")) if prof.with_reason
-                       else F.lit(None).cast("string")))
+           .where(F.col("m").isNotNull()))
     return out.select(DATASET, "row_key", "column", F.col("m.pii_type").alias("pii_type"),
                       F.col("match_idx").cast("int").alias("match_idx"),
                       F.col("m.raw_value").alias("raw_value"), F.col("m.masked").alias("masked"),
-                      "confidence", "risk", "reason", *(["cell"] if keep_cell else []))
+                      "confidence", pii.risk_tier(F.col("confidence")).alias("risk"), reason.alias("reason"),
+                      *(["cell"] if keep_cell else []))
 
 
 def actionable(findings: DataFrame) -> DataFrame:
