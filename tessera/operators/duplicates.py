@@ -72,8 +72,14 @@ def repeated_hashes(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _bounded(keys: DataFrame, limit: int) -> int | None:
-    """Number of keys if it is at most ``limit`` (one small count job), else None."""
-    n = keys.limit(limit + 1).count()
+    """Number of keys if it is at most ``limit``, else None.
+
+    A plain distributed count (one partial count per task, no single-task
+    step): the keys come from persisted hash groups that the query needs in
+    full anyway.  A ``limit(n).count()`` would instead funnel up to ``n``
+    rows of every partition into one task.
+    """
+    n = keys.count()
     return n if n <= limit else None
 
 
@@ -87,9 +93,9 @@ def wide_rows(df: DataFrame, cols: list[str]) -> bool:
     """Are the rows wide enough that shuffling two hashes beats shuffling the values?
 
     Nested and binary values count as wide.  For strings, the average width is
-    measured on the first ``PROBE_ROWS`` rows (a limit read of the first
-    split, one small result) -- a planning heuristic only: both paths give the
-    same, exact result.
+    measured on the first ``PROBE_ROWS`` rows (a collect-limit read of the
+    first split: at most ``PROBE_ROWS`` integers reach the driver) -- a
+    planning heuristic only: both paths give the same, exact result.
     """
     types = {c: df.schema[c].dataType for c in cols}
     if any(isinstance(t, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for t in types.values()):
@@ -98,9 +104,14 @@ def wide_rows(df: DataFrame, cols: list[str]) -> bool:
     if not strings:
         return False
     width = sum(F.coalesce(F.length(col(c)), F.lit(0)) for c in strings)
-    probe = df.select(width.alias("w")).limit(PROBE_ROWS).agg(F.avg("w").alias("w")).first()
+    # limit + collect is planned as a collect-limit: it reads the first split
+    # and widens only if that split holds fewer rows (an aggregate over the
+    # limit would instead start a task on every split of the table)
+    widths = [r.w for r in df.select(width.alias("w")).limit(PROBE_ROWS).collect()]
+    if not widths:
+        return False
     fixed = 8 * (len(cols) - len(strings))
-    return probe is not None and probe.w is not None and probe.w + fixed >= WIDE_ROW_BYTES
+    return sum(widths) / len(widths) + fixed >= WIDE_ROW_BYTES
 
 
 def choose_method(df: DataFrame, cols: list[str], method: str) -> str:
