@@ -157,8 +157,14 @@ def _mask_cells(cols: list[str], fields: dict, prof, sensitivity, key: Column |
         return F.struct(x["cell"].alias("cell"), x["cls"].alias("cls"),
                         pii.match_structs(x["cell"], types, prof, guards).alias("m"))
 
+    def scored(x):
+        # the confidence (lower-case copy + keyword search of the cell) once per
+        # cell with matches, not once per match inside the fold
+        return F.struct(x["cell"].alias("cell"), x["m"].alias("m"),
+                        F.when(F.size(x["m"]) > 0, pii.confidence(x["cls"], x["cell"], prof)).alias("conf"))
+
     def fold(x):
-        conf = pii.confidence(x["cls"], x["cell"], prof)
+        conf = x["conf"]
         if numeric:
             return (F.size(x["m"]) > 0) & (conf >= P.RISK_MEDIUM_AT)
         folded = F.aggregate(x["m"], x["cell"],
@@ -166,7 +172,7 @@ def _mask_cells(cols: list[str], fields: dict, prof, sensitivity, key: Column |
         # LOW findings are never touched (D-5)
         return F.when(F.size(x["m"]) == 0, x["cell"]).when(conf >= P.RISK_MEDIUM_AT, folded).otherwise(x["cell"])
 
-    return F.transform(F.transform(F.transform(cells, facts), matched), fold)
+    return F.transform(F.transform(F.transform(F.transform(cells, facts), matched), scored), fold)
 
 
 def dedup(df: DataFrame, key: str | None = None, method: str = "auto",
