@@ -114,3 +114,15 @@ def test_wide_table_masks_every_column(spark):
     assert dict(m.dtypes)["amount"] == "double" and row["amount"] == 7.0
     f = S.scan_pii(base, "cli", "high", key="k")
     assert f.count() == 50 * n
+
+
+def test_wide_rows_probe(spark):
+    """The row-width probe (collect-limit read) picks hashing only for wide rows; empty input is narrow."""
+    from tessera.operators.duplicates import choose_method, wide_rows
+    wide = spark.createDataFrame([(i, "x" * 300) for i in range(50)], "id int, t string")
+    narrow = spark.createDataFrame([(i, "ab") for i in range(50)], "id int, t string")
+    nested = spark.createDataFrame([(1, [1, 2])], "id int, a array<int>")
+    assert wide_rows(wide, ["id", "t"]) and choose_method(wide, ["id", "t"], "auto") == "hashed"
+    assert not wide_rows(narrow, ["id", "t"]) and choose_method(narrow, ["id", "t"], "auto") == "values"
+    assert wide_rows(nested, ["id", "a"])
+    assert not wide_rows(wide.limit(0), ["id", "t"])
