@@ -81,7 +81,12 @@ def remediated(name: str, dtype: T.DataType, cell: Column, matches: Column, prof
         # removed (null) and the column keeps its type (D-3)
         return (F.when(F.size(matches) == 0, cell).when(conf >= P.RISK_MEDIUM_AT, F.lit(None).cast(dtype))
                 .otherwise(cell))
-    folded = F.aggregate(matches, text, lambda acc, m: F.replace(acc, m["raw_value"], _replacement(m, conf, key)))
+    # the confidence rides in the accumulator: evaluated once per cell, not once per match
+    folded = F.aggregate(
+        matches, F.struct(text.alias("t"), conf.alias("c")),
+        lambda acc, m: F.struct(F.replace(acc["t"], m["raw_value"], _replacement(m, acc["c"], key)).alias("t"),
+                                acc["c"].alias("c")),
+        lambda acc: acc["t"])
     # LOW findings are never touched (D-5)
     return F.when(F.size(matches) == 0, text).when(conf >= P.RISK_MEDIUM_AT, folded).otherwise(text)
 

@@ -211,3 +211,34 @@ def test_legacy_profile(spark, sample):
                       ("non-negative (revenue)", "revenue", "1 negative value(s)")]
     dob = [f.masked for f in r.findings.where("pii_type = 'DATE_OF_BIRTH'").collect()]
     assert dob == ["**/**/1985"]
+
+
+@pytest.mark.parametrize("profile,sens", [("cli", "medium"), ("function", "high")])
+def test_remediate_cell_matches_mask_frame(spark, sample, unit_frame, profile, sens):
+    """The single-expression helper gives the same cells as the staged ``mask_frame``."""
+    from tessera import frame
+    for df in (sample, unit_frame):
+        d, k = frame.with_row_key(frame.with_dataset(df))
+        fields = {f.name: f.dataType for f in d.schema.fields}
+        names = frame.value_columns(d, k)
+        staged = {r[k]: r.asDict() for r in R.mask_frame(d, profile, sens, key=k).collect()}
+        single = d.select(k, *[R.remediate_cell(c, fields[c], F.col(f"`{c}`"), profile, sens).alias(c)
+                               for c in names])
+        for r in single.collect():
+            for c in names:
+                assert r[c] == staged[r[k]][c], (c, r[c], staged[r[k]][c])
+
+
+def test_remediate_cell_encrypts_high(spark, unit_frame):
+    key = R.encryption_key(spark, _key())
+    from tessera import frame
+    d, k = frame.with_row_key(frame.with_dataset(unit_frame))
+    fields = {f.name: f.dataType for f in d.schema.fields}
+    f = findings(unit_frame)
+    out = {r[k]: r.asDict() for r in d.select(k, *[
+        R.remediate_cell(c, fields[c], F.col(f"`{c}`"), "function", "high", key=key).alias(c)
+        for c in frame.value_columns(d, k)]).collect()}
+    highs = [r for r in f if r.risk == "HIGH"]
+    assert highs
+    for r in highs:
+        assert r.raw_value not in str(out[r.row_key][r.column])
