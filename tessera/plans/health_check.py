@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 from ..operators import drift as D
@@ -51,5 +52,8 @@ def health_check(spark: SparkSession, path, fmt: str | None = None, profile: str
     res = run_scan(df, profile, sensitivity, key=key, rules=load_rules(config), pack=pack,
                    pack_opts=pack_opts, baseline=base)
     if output:
+        # the document reads the findings three times (risk counts, top 15, overflow):
+        # persisted, the regexes run once; the caller may unpersist ``res.findings``
+        res.findings = res.findings.persist(StorageLevel.MEMORY_AND_DISK)
         A.save_results(scan_document(res, sensitivity), output)
     return res
