@@ -8,7 +8,9 @@ anchors at equal places.  So only anchors (about one byte in 35) are taken, with
 can reach (its context).
 
 1. Anchors go by gram hash to tasks that sort them by (hash, context hash, document, place) and
-   stream over them.  An anchor whose whole context occurred earlier is covered as far as its context reaches.
+   stream over them.  An anchor whose whole context occurred earlier is covered as far as its context reaches;
+   within a batch of documents this is settled before the shuffle, so that of a passage in a third of all
+   documents each batch sends one anchor per context.
    The first of each context goes on, if its gram has other contexts too.
 2. Those fetch their context bytes.  The suffixes of a gram, and the reversed bytes to the left, are sorted
    deep-shallow: multikey quicksort to ``SHALLOW`` bytes, then blind tries order the groups that still
@@ -246,13 +248,20 @@ def _found(rows: DataFrame) -> DataFrame:
             at, h, c = (np.concatenate([g[k] for g in got]) for k in range(3))
             d = np.repeat(b.column(0).to_numpy(), n)
             pc = at << 32 | np.repeat(b.column(1).to_numpy(), n)
-            for k in range(0, len(d), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k:k + (1 << 16)]) for x in (h, c, d, pc)], ["h", "c", "d", "pc"])
+            # what occurred earlier in this batch is settled here and need not meet its gram's other anchors
+            order = np.lexsort((pc, d, c, h))
+            x = np.stack([h, c, d, pc])[:, order]
+            again = np.r_[False, (x[:, 1:] == x[:, :-1]).all(axis=0)]
+            done = np.r_[False, (x[:2, 1:] == x[:2, :-1]).all(axis=0)] & ~again
+            x[0] = np.where(done, x[2] * 0x9E3779B1 + x[3], x[0])
+            x = np.concatenate([x, done[None]])[:, ~again]
+            for k in range(0, x.shape[1], 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in x[:, k:k + (1 << 16)]], ["h", "c", "d", "pc", "done"])
 
     def classify(batches):
-        last = np.zeros((4, 0), np.int64)                 # the last decided row and the one that waits for the next
+        last = np.zeros((5, 0), np.int64)                 # the last decided row and the one that waits for the next
         for b in batches:
-            new = np.stack([b.column(k).to_numpy() for k in range(4)])
+            new = np.stack([b.column(k).to_numpy() for k in range(5)])
             x = np.concatenate([last, new], axis=1)
             yield from emit(x, last.shape[1], False)
             last = x[:, -2:]
@@ -265,19 +274,19 @@ def _found(rows: DataFrame) -> DataFrame:
         lo, hi = max(skip - 1, 0), n if end else n - 1
         if hi <= lo:
             return
-        h, c = x[0], x[1]
-        before_h = np.r_[False, h[1:] == h[:-1]]
+        h, c, done = x[0], x[1], x[4] > 0
+        before_h = np.r_[False, (h[1:] == h[:-1]) & ~done[1:] & ~done[:-1]]
         before_c = before_h & np.r_[False, c[1:] == c[:-1]]
-        again = before_c & np.r_[False, (x[2:, 1:] == x[2:, :-1]).all(axis=0)]        # the same occurrence once more
+        again = before_c & np.r_[False, (x[2:4, 1:] == x[2:4, :-1]).all(axis=0)]        # the same occurrence once more
         after_h = np.r_[before_h[1:], False]
-        keep = (before_h | after_h) & ~again
+        keep = (before_h | after_h | done) & ~again
         keep[:lo] = False
         keep[hi:] = False
         k = np.flatnonzero(keep)
         if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(x[2, k]), pa.array(x[3, k]), pa.array(h[k]), pa.array(before_c[k])], ["d", "pc", "h", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[2, k]), pa.array(x[3, k]), pa.array(h[k]), pa.array((before_c | done)[k])], ["d", "pc", "h", "whole"])
 
-    found = rows.mapInArrow(scan, "h bigint, c bigint, d bigint, pc bigint")
+    found = rows.mapInArrow(scan, "h bigint, c bigint, d bigint, pc bigint, done bigint")
     return (found.repartition("h").sortWithinPartitions("h", "c", "d", "pc")
             .mapInArrow(classify, "d bigint, pc bigint, h bigint, whole boolean"))
 
