@@ -4,13 +4,13 @@ A block of ids is coded on its own: all model state is reset at its start, and
 its header holds a checksum of its ids.  Ids under 65,536 are coded one by one:
 
 * order 2 and order 1 look up the id that followed the last two ids, or the last
-  one, in small hashed tables, each entry with a confidence; order 0 offers the
-  block's running majority id;
+  one, in small hashed tables, each entry with a confidence;
 * an order's chance of being right follows from the confidence, and the orders
   are mixed by adaptive weights that follow which of them has been right lately;
-  the mixture gives the probability of each offered id and of an escape;
-* an escaped id is coded by its place in a table of recent ids (order 0 again),
-  or, if it is not there, by its 16 bits; which of both is learned too.
+  what the mixture leaves goes to order 0, the ids seen lately whatever came
+  before them, kept in a table by their low bits;
+* an id that order 0 offers is coded by its place in the table, any other by its
+  16 bits; how likely order 0 is right is learned too.
 
 The probabilities drive a carry-less range coder with a 48-bit low and 16-bit
 output words.  Blocks do not depend on each other, so many of them ("lanes") are coded
@@ -101,9 +101,8 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
     rows = np.arange(lanes, dtype=np.int64) << TABLE
     one, two = np.zeros(lanes << TABLE, np.int32), np.zeros(lanes << TABLE, np.int32)     # id | confidence << 16
     recent = np.full(lanes << TABLE, -1, np.int32)
-    seen = np.full(lanes, ONE // 4, np.int32)                          # chance that an escaped id is a recent one
-    weight = np.full((3, lanes), ONE // 3, np.int32)
-    major, votes = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    chance = np.full(lanes, ONE // 4, np.int32)                        # that order 0 is right where the others are not
+    weight1, weight2 = np.full(lanes, ONE // 3, np.int32), np.full(lanes, ONE // 3, np.int32)
     p1, p2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     decoded = None if ids is not None else np.zeros((steps, lanes), "<u2")
     left = np.searchsorted(-sizes, -np.arange(steps), "left")          # lanes with more than t ids
@@ -111,40 +110,36 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
     for t in range(steps):
         n = int(left[t])
         s = slice(0, n)
-        q1, c0, row = p1[s], major[s], rows[s]
+        q1, row, w1, w2, z = p1[s], rows[s], weight1[s], weight2[s], chance[s]
         mixed = q1 * 40503
-        i1 = row + ((mixed & 0xFFFF) >> (16 - TABLE))
+        i1 = row + (mixed >> 5 & mask)
         i2 = row + ((mixed ^ (p2[s] * 30103)) >> 5 & mask)
         e1, e2 = one.take(i1), two.take(i2)
         c1, n1, c2, n2 = e1 & 0xFFFF, e1 >> 16, e2 & 0xFFFF, e2 >> 16
-        w = weight[:, s]
-        b1 = w[2] * RIGHT.take(n2) >> 8
-        b2 = b1 + (w[1] * RIGHT.take(n1) >> 8) * (c1 != c2)
-        b3 = b2 + (w[0] * RIGHT.take(np.minimum(votes[s], 15)) >> 8) * ((c0 != c2) & (c0 != c1))
-        b4 = b3 + np.maximum((65536 - b3 >> 4) * seen[s] >> 8, 1)
+        b1 = w2 * RIGHT.take(n2) >> 8
+        b2 = b1 + (w1 * RIGHT.take(n1) >> 8) * (c1 != c2)
+        b3 = b2 + np.maximum((65536 - b2 >> 4) * z >> 8, 1)
         if ids is not None:
             x = ids[t, s].astype(np.int32)
-            slot = row + (x & mask)
-            h2, h1, h0, known = c2 == x, c1 == x, c0 == x, recent.take(slot) == x
-            k0 = h2 & (b1 > 0)
-            k1 = h1 & (b2 > b1) & ~k0
-            k2 = h0 & (b3 > b2) & ~(k0 | k1)
-            k3 = known & ~(k0 | k1 | k2)
-            k4 = ~(k0 | k1 | k2 | k3)
-            inner = (x & mask) * k3
+            low = x & mask
+            slot = row + low
+            h2, h1 = c2 == x, c1 == x
+            k0, k1 = h2 & (b1 > 0), h1 & (b2 > b1)        # an order whose weight is spent offers nothing
+            k2 = (recent.take(slot) == x) & ~(k0 | k1)
+            k3 = ~(k0 | k1 | k2)
+            inner = low * k2
         else:
             v = coder.value(s, whole).astype(np.int32)
             u = v >> TABLE
-            k4, k3, k2 = u >= b4, u >= b3, u >= b2
+            k3, k2 = u >= b3, u >= b2
             k1 = (u >= b1) & ~k2
             k2 &= ~k3
-            k3 &= ~k4
-            inner = np.where(k3, (v - (b3 << TABLE)) // np.maximum(b4 - b3, 1), 0)
-            x = np.where(k3, recent.take(row + inner), np.where(k2, c0, np.where(k1, c1, c2)))
-        start = np.where(k4, b4, np.where(k3, b3, np.where(k2, b2, b1 * k1)))
-        size = np.where(k4, 65536, np.where(k3, b4, np.where(k2, b3, np.where(k1, b2, b1)))) - start
-        coder.narrow(s, ((start << TABLE) + inner * size).astype(np.uint64), np.where(k3, size, size << TABLE).astype(np.uint64), whole)
-        far = np.flatnonzero(k4)
+            inner = (v - (b2 << TABLE)) // (b3 - b2) * k2
+            x = np.where(k2, recent.take(row + inner), np.where(k1, c1, c2))
+        start = np.where(k3, b3, np.where(k2, b2, b1 * k1))
+        size = np.where(k3, 65536, np.where(k2, b3, np.where(k1, b2, b1))) - start
+        coder.narrow(s, ((start << TABLE) + inner * size).astype(np.uint64), (size << np.where(k2, 0, TABLE)).astype(np.uint64), whole)
+        far = np.flatnonzero(k3)
         if ids is not None:
             coder.narrow(far, x[far].astype(np.uint64), np.uint64(1), np.uint64(16))
         else:
@@ -153,20 +148,15 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
             x[far] = sym
             decoded[t, s] = x
             slot = row + (x & mask)
-            h2, h1, h0 = c2 == x, c1 == x, c0 == x
+            h2, h1 = c2 == x, c1 == x
         recent[slot] = x
-        seen[s] += ((k3 * 4000 - seen[s]) >> 5) * (k3 | k4)
-        hits = h2.astype(np.int32) + h1 + h0
-        share = ((ONE - 3) // np.arange(1, 5, dtype=np.int32)).take(hits - (hits > 0))
-        some = hits > 0
-        for old, h in zip(w, (h0, h1, h2), strict=True):
-            old += ((h * share - old) >> 5) * some
+        z += ((k2 * 4000 - z) >> 5) * (k2 | k3)
+        share, some = 4093 - 2047 * (h1 & h2), h1 | h2
+        w1 += ((h1 * share - w1) >> 5) * some
+        w2 += ((h2 * share - w2) >> 5) * some
         for table, i, c, m, h in ((one, i1, c1, n1, h1), (two, i2, c2, n2, h2)):
             m = np.where(h, np.minimum(m + 1, 15), m - 1)
             table[i] = np.where(m < 0, x, c | m << 16)
-        up = votes[s] + 2 * h0 - 1
-        major[s] = np.where(up < 0, x, c0)
-        votes[s] = np.abs(up)
         p2[s] = q1
         p1[s] = x
     return decoded

@@ -33,7 +33,7 @@ from . import rangecoder, tokens
 from .common import prepare
 
 END = 2
-BLOCK = 2048
+BLOCK = 1024
 #: Blocks coded or decoded in step.
 LANES = 4096
 
