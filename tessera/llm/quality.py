@@ -107,9 +107,9 @@ def statistics(docs: DataFrame) -> DataFrame:
 def vectors(stats: DataFrame) -> DataFrame:
     """The transformed statistics x0..x4 of rows that passed the base rules."""
     return stats.where("NOT base_failed").select(
-        "*", F.log("n_words").alias("x0"), F.log(F.col("word_chars") / F.col("n_words")).alias("x1"),
-        F.sqrt(F.col("n_symbols") / F.col("word_chars")).alias("x2"), F.log1p("n_dup_lines").alias("x3"),
-        (F.col("n_repeat_words") / F.col("n_words")).alias("x4"))
+        "*", F.log("n_words").alias("x0"), F.log(F.try_divide("word_chars", "n_words")).alias("x1"),
+        F.sqrt(F.try_divide("n_symbols", "word_chars")).alias("x2"), F.log1p("n_dup_lines").alias("x3"),
+        F.try_divide("n_repeat_words", "n_words").alias("x4"))
 
 
 def _levels(rows: DataFrame) -> DataFrame:
@@ -165,8 +165,7 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -
     stats = materialise(statistics(docs), "quality-stats")
     rows = vectors(stats)
     model = fit(rows).where(F.col("rows") >= min_rows)
-    out = stats.select("*", F.log("n_words").alias("x0")).drop("x0")
-    joined = out
+    joined = stats
     for k in range(3):
         m = model.where(F.col("level") == k).select(
             F.col("g_lang").alias(f"l{k}"), F.col("g_source").alias(f"s{k}"), F.struct("centre", "inverse", "scale").alias(f"model{k}"))
@@ -174,9 +173,9 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -
         joined = joined.join(m, reduce(lambda a, b: a & b, on), "left") if on else joined.join(F.broadcast(m), F.lit(True), "left")
     best = F.coalesce(*(F.col(f"model{k}") for k in range(3)))
     base = joined.select(*stats.columns, best.alias("model"))
-    vec = base.select("*", F.log("n_words").alias("x0"), F.log(F.col("word_chars") / F.col("n_words")).alias("x1"),
-                      F.sqrt(F.col("n_symbols") / F.col("word_chars")).alias("x2"), F.log1p("n_dup_lines").alias("x3"),
-                      (F.col("n_repeat_words") / F.col("n_words")).alias("x4"),
+    vec = base.select("*", F.log("n_words").alias("x0"), F.log(F.try_divide("word_chars", "n_words")).alias("x1"),
+                      F.sqrt(F.try_divide("n_symbols", "word_chars")).alias("x2"), F.log1p("n_dup_lines").alias("x3"),
+                      F.try_divide("n_repeat_words", "n_words").alias("x4"),
                       F.col("model.centre").alias("centre"), F.col("model.inverse").alias("inverse"))
     distance = F.when(~F.col("base_failed"), _distance() / F.col("model.scale"))
     return vec.select(*stats.columns, distance.alias("distance")).withColumn(
