@@ -266,7 +266,7 @@ def pass_rate(summary: DataFrame) -> DataFrame:
     """K3: integer percent of passed checks, 100 when there are none."""
     return summary.withColumn(
         "pass_rate", F.when(F.col("total_checks") > 0,
-                            F.floor(F.col("passed") * 100.0 / F.col("total_checks"))).otherwise(100).cast("int"))
+                            F.floor(F.col("passed") / F.col("total_checks") * 100.0)).otherwise(100).cast("int"))
 
 
 def failures(results: DataFrame) -> DataFrame:

@@ -69,9 +69,9 @@ def recommendations(scores: DataFrame, pack_name: str | None = None) -> DataFram
 
 def summary_table(scores: DataFrame) -> DataFrame:
     """K2: metric / value rows (8 per dataset) from the scores row."""
-    metrics = [("Overall score", "overall"), ("Grade", "grade"), ("Privacy", "privacy"), ("Quality", "quality"),
+    metrics = [("Overall score", "overall"), ("Privacy", "privacy"), ("Quality", "quality"),
                ("Completeness", "completeness"), ("HIGH PII", "pii_high"), ("MEDIUM PII", "pii_medium"),
-               ("LOW PII", "pii_low")]
+               ("Quality failures", "failed"), ("Exact duplicates", "exact_duplicates")]
     s = scores.select(DATASET, *[F.col(c).cast("string").alias(m) for m, c in metrics])
     return s.unpivot([DATASET], [m for m, _ in metrics], "metric", "value")
 

@@ -136,7 +136,7 @@ QUALITY_SUMMARY = f"""WITH r AS ({QUALITY_SUITE})
 SELECT dataset, count(*) AS total_checks, CAST(count_if(passed) AS BIGINT) AS passed,
        CAST(count_if(NOT passed) AS BIGINT) AS failed,
        count_if(NOT passed) = 0 AS overall_success,
-       CAST(CASE WHEN count(*) > 0 THEN floor(count_if(passed) * 100.0::DOUBLE / count(*)) ELSE 100 END AS INTEGER)
+       CAST(CASE WHEN count(*) > 0 THEN floor(count_if(passed)::DOUBLE / count(*) * 100.0::DOUBLE) ELSE 100 END AS INTEGER)
          AS pass_rate
 FROM r GROUP BY dataset"""
 
@@ -318,13 +318,13 @@ RECS = _on_scores("""SELECT dataset, CAST(row_number() OVER (PARTITION BY datase
     WHERE NOT (pii_high > 0 OR pii_medium > 0 OR pii_low > 0 OR failed > 0 OR exact_duplicates > 0 OR overall < 70))""")
 SUMMARY_TABLE = _on_scores("""SELECT dataset, metric, value FROM (
   SELECT dataset, 'Overall score' AS metric, CAST(overall AS VARCHAR) AS value FROM s
-  UNION ALL SELECT dataset, 'Grade', grade FROM s
   UNION ALL SELECT dataset, 'Privacy', CAST(privacy AS VARCHAR) FROM s
   UNION ALL SELECT dataset, 'Quality', CAST(quality AS VARCHAR) FROM s
   UNION ALL SELECT dataset, 'Completeness', CAST(completeness AS VARCHAR) FROM s
   UNION ALL SELECT dataset, 'HIGH PII', CAST(pii_high AS VARCHAR) FROM s
   UNION ALL SELECT dataset, 'MEDIUM PII', CAST(pii_medium AS VARCHAR) FROM s
-  UNION ALL SELECT dataset, 'LOW PII', CAST(pii_low AS VARCHAR) FROM s)""")
+  UNION ALL SELECT dataset, 'Quality failures', CAST(failed AS VARCHAR) FROM s
+  UNION ALL SELECT dataset, 'Exact duplicates', CAST(exact_duplicates AS VARCHAR) FROM s)""")
 ALERTS = _on_scores("""SELECT dataset, overall, grade, pii_high, failed AS quality_failed, exact_duplicates
 FROM s WHERE overall < 70 OR pii_high > 0""")
 DUP_BAND = _on_scores("""SELECT dataset, duplicate_pct, CASE WHEN b >= 85 THEN 'green' WHEN b >= 70 THEN 'amber'
