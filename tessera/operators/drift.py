@@ -79,7 +79,8 @@ def drift_changes(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """H1-H4: one row per added / removed / retyped column (datasets with a baseline only)."""
     cur = current.select(DATASET, "column", F.col("dtype").alias("after"))
     base = baseline.select(DATASET, "column", F.col("dtype").alias("before"))
-    has_base = baseline.select(DATASET).distinct()
+    # datasets on both sides: one only in the baseline was not scanned, its columns were not removed
+    has_base = baseline.select(DATASET).intersect(current.select(DATASET))
     j = cur.join(base, [DATASET, "column"], "full_outer").join(has_base, DATASET, "left_semi")
     crit = F.lit(False)
     low = F.lower(F.col("column"))
