@@ -9,23 +9,24 @@ write the scan documents.  Everything stays lazy except the writes.
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from ..operators import drift as D
 from ..sources import io as A
-from .pipeline import ScanResult, run_scan, scan_document
+from .pipeline import ScanResult, run_scan, scan_document, stored_findings
 
 
 def load_rules(config: "dict | str | None") -> list[dict]:
-    """``custom_expectations`` from a dict or a small JSON config file (driver-side config)."""
+    """``custom_expectations`` from a dict or a small JSON config file on the driver.
+
+    A file that cannot be opened is an error: rules are never dropped silently.
+    """
     if config is None:
         return []
     if isinstance(config, str):
-        if not os.path.exists(config):
-            return []
         with open(config) as fh:
             config = json.load(fh)
     return list(config.get("custom_expectations", []))
@@ -46,7 +47,9 @@ def health_check(spark: SparkSession, path, fmt: str | None = None, profile: str
     if baseline:
         try:
             base = D.load_baseline(spark, baseline)
-        except Exception:  # no baseline table yet -> every dataset reports no_baseline
+        except AnalysisException as missing:  # no baseline table yet -> every dataset reports no_baseline
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             base = spark.createDataFrame([], "dataset string, column string, ordinal int, dtype string, "
                                              "row_count bigint, saved_at timestamp")
     res = run_scan(df, profile, sensitivity, key=key, rules=load_rules(config), pack=pack,
@@ -55,5 +58,7 @@ def health_check(spark: SparkSession, path, fmt: str | None = None, profile: str
         # the document reads the findings three times (risk counts, top 15, overflow):
         # persisted, the regexes run once; the caller may unpersist ``res.findings``
         res.findings = res.findings.persist(StorageLevel.MEMORY_AND_DISK)
-        A.save_results(scan_document(res, sensitivity), output)
+        in_fmt = fmt or A.format_of(path[0] if isinstance(path, (list, tuple)) else path)
+        A.save_results(scan_document(res, sensitivity, input_format=in_fmt, output_format="json"), output)
+        stored_findings(res).write.mode("append").parquet(output.rstrip("/") + "-findings")
     return res

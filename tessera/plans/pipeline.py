@@ -3,8 +3,8 @@
 ``run_scan`` only builds lazy plans; nothing is collected.  Each part is a
 narrow pass or a per-dataset aggregate, and the final scores table is one row
 per dataset.  The nested scan document embeds only bounded lists (the checks
-of the suite and the first 15 findings per type); the full findings stay a
-table of their own.
+of the suite and the first 15 findings per type); every finding is written
+to a table of its own (``stored_findings``).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from ..operators import drift as D
 from ..operators import duplicates as G
 from ..operators import packs as FP
 from ..operators import quality as Q
+from ..operators import remediate as R
 from ..operators import scan as S
 from ..operators import score as I
 from ..profiles import get_profile
@@ -74,8 +75,15 @@ def run_scan(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
     return ScanResult(findings, quality, qsum, dups, packs, drift, changes, scores, key)
 
 
-def scan_document(res: ScanResult, sensitivity: str, scanned_at=None, trigger: str = "batch") -> DataFrame:
-    """One nested document per dataset (bounded lists only)."""
+def stored_findings(res: ScanResult) -> DataFrame:
+    """Every finding as it may be stored: masked, without its raw value."""
+    return res.findings.drop("raw_value")
+
+
+def scan_document(res: ScanResult, sensitivity: str, scanned_at=None, trigger: str = "batch",
+                  input_format: str | None = None, output_format: str | None = None,
+                  encrypted: bool = False) -> DataFrame:
+    """One nested document per dataset (bounded lists only), with formats and protection status."""
     ts = F.current_timestamp() if scanned_at is None else F.lit(scanned_at).cast("timestamp")
     sensitivity = sensitivity if sensitivity in ("low", "medium", "high") else "medium"   # B1 whitelist
     checks = (res.quality.groupBy(DATASET).agg(F.sort_array(F.collect_list(F.struct(
@@ -84,7 +92,8 @@ def scan_document(res: ScanResult, sensitivity: str, scanned_at=None, trigger: s
            .groupBy(DATASET).agg(F.sort_array(F.collect_list(F.struct(
                "pii_type", "rank", "risk", "column", "row_key", "match_idx", "masked", "confidence",
                "reason"))).alias("pii_findings_top")))
-    s = res.scores.join(checks, DATASET, "left").join(top, DATASET, "left")
+    s = (res.scores.join(checks, DATASET, "left").join(top, DATASET, "left")
+         .join(R.protection_status(res.scores, encrypted), DATASET, "left"))
     return s.select(
         F.col(DATASET).alias("file"), ts.alias("scanned_at"), F.lit(sensitivity).alias("sensitivity"),
         F.struct(F.col("rows").alias("rows"), F.col("columns").alias("columns")).alias("shape"),
@@ -96,4 +105,6 @@ def scan_document(res: ScanResult, sensitivity: str, scanned_at=None, trigger: s
         F.struct(F.col("total_checks").alias("total"), "passed", "failed", "results").alias("quality"),
         F.struct(F.col("rows").alias("total_rows"), "exact_duplicates", "near_duplicates",
                  "duplicate_pct").alias("duplicates"),
-        F.lit(trigger).alias("trigger"))
+        F.lit(trigger).alias("trigger"),
+        F.lit(input_format).cast("string").alias("input_format"),
+        F.lit(output_format).cast("string").alias("output_format"), "protection_status")

@@ -1,12 +1,13 @@
 """Automatic scan of arriving files (rows M1, M2, A6).
 
 A Structured Streaming file source over the incoming folder; every
-micro-batch runs the same batch plans (scan -> remediate -> results, silver,
-alerts, gold), keyed by ``dataset`` = the file the rows came from.  Each sink
+micro-batch runs the same batch plans (scan -> remediate -> results, findings,
+silver, alerts, gold), keyed by ``dataset`` = the file the rows came from.  Each sink
 writes into a ``batch_id=N`` partition with overwrite, so a replayed batch
 (after a failure, from the checkpoint) replaces its own output instead of
-appending twice.  The stream is stateless: a file always lands whole in one
-micro-batch.
+appending twice.  The checkpoint lies under the output root, so a restarted
+stream goes on counting batches and keeps what earlier runs wrote.  The stream is
+stateless: a file always lands whole in one micro-batch.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ from ..operators import gold as J
 from ..operators import remediate as R
 from ..operators import score as I
 from ..plans import pipeline as PL
-from ..session import scratch_path
 from ..sources import io as A
 
 CONF_SENSITIVITY = "spark.tessera.autoscan.sensitivity"
 CONF_OUTPUT_FORMAT = "spark.tessera.autoscan.outputFormat"
 CONF_ENCRYPT = "spark.tessera.autoscan.encryptHighRisk"
 CONF_ALERT_THRESHOLD = "spark.tessera.autoscan.alertThreshold"
-GLOB = "*.{csv,parquet,json}"
+FORMATS = ("csv", "parquet", "json")
+
+
+def glob_of(fmt: str) -> str:
+    """The files of one format, by extension in either case."""
+    return "*." + "".join(f"[{c}{c.upper()}]" for c in fmt)
 
 
 def run_options(spark: SparkSession, input_format: str, sensitivity=None, output_format=None, encrypt=None) -> dict:
@@ -43,7 +48,8 @@ def run_options(spark: SparkSession, input_format: str, sensitivity=None, output
 
 
 def process_batch(batch: DataFrame, batch_id: int, out_root: str, opts: dict, profile="function",
-                  key: str | None = None, promote: bool = False, trigger: str = "blob_automatic") -> None:
+                  key: str | None = None, promote: bool = False, trigger: str = "blob_automatic",
+                  input_format: str = "csv") -> None:
     """One micro-batch: scan, remediate and write every sink for this batch id."""
     raw = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -56,8 +62,10 @@ def process_batch(batch: DataFrame, batch_id: int, out_root: str, opts: dict, pr
         res.scores = res.scores.persist(StorageLevel.MEMORY_AND_DISK)
         enc_key: Column | None = R.encryption_key(batch.sparkSession) if opts["encrypt"] else None
         part = f"batch_id={batch_id}"
-        doc = PL.scan_document(res, opts["sensitivity"], trigger=trigger)
+        doc = PL.scan_document(res, opts["sensitivity"], trigger=trigger, input_format=input_format,
+                               output_format=opts["output_format"], encrypted=opts["encrypt"])
         doc.write.mode("overwrite").json(f"{out_root}/results/{part}")                          # A12
+        PL.stored_findings(res).write.mode("overwrite").parquet(f"{out_root}/findings/{part}")  # D1, all of them
         clean = R.remediate(batch, profile, opts["sensitivity"], key=key, encrypt_key=enc_key)
         if key == frame.ROW_KEY:
             clean = clean.drop(frame.ROW_KEY)
@@ -82,14 +90,17 @@ def autoscan(spark: SparkSession, incoming: str, out_root: str, input_format: st
     ``dataset`` defaults to the arriving file's name; ``drop`` removes columns
     (e.g. the partition column the dataset was taken from).  CSV is read all-string
     and promoted per micro-batch (A1-A3).  ``available_now`` processes what is
-    there and stops; otherwise ``processing_time`` keeps polling.
+    there and stops; otherwise ``processing_time`` keeps polling.  Only files of
+    ``input_format`` are taken (``autoscan_folder`` runs one stream per format).
     """
     opts = run_options(spark, input_format, sensitivity, output_format, encrypt)
     if schema is None:
-        schema = (A.read_csv_strings(spark, incoming, dataset_from_file=False, multi_line=multi_line).schema
+        schema = (A.read_csv_strings(spark, incoming, dataset_from_file=False, multi_line=multi_line,
+                                     glob=glob_of(input_format)).schema
                   if input_format == "csv"
-                  else spark.read.format(input_format).load(incoming).schema)
-    reader = spark.readStream.format(input_format).schema(schema).option("pathGlobFilter", GLOB)
+                  else spark.read.option("pathGlobFilter", glob_of(input_format)).format(input_format)
+                  .load(incoming).schema)
+    reader = spark.readStream.format(input_format).schema(schema).option("pathGlobFilter", glob_of(input_format))
     if input_format == "csv":
         reader = reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if max_files_per_trigger:
@@ -101,10 +112,21 @@ def autoscan(spark: SparkSession, incoming: str, out_root: str, input_format: st
         stream = stream.drop(*drop)
     if input_format == "csv":
         stream = A.null_tokens(stream, [c for c in schema.fieldNames()])
-    ckpt = checkpoint or scratch_path(spark, "autoscan-checkpoint")
+    ckpt = checkpoint or f"{out_root.rstrip('/')}/_checkpoint"
     writer = (stream.writeStream.option("checkpointLocation", ckpt)
               .foreachBatch(lambda b, i: process_batch(b, i, out_root, opts, profile, key,
-                                                       promote=input_format == "csv")))
+                                                       promote=input_format == "csv",
+                                                       input_format=input_format)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime=processing_time or "1 minute")
     return writer.start()
+
+
+def autoscan_folder(spark: SparkSession, incoming: str, out_root: str, **options) -> dict:
+    """M1 over a folder of mixed formats: one stream, and one output folder, for each format found in it."""
+    started = {}
+    for fmt in FORMATS:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", glob_of(fmt)).load(incoming)
+        if files.select("path").limit(1).collect():
+            started[fmt] = autoscan(spark, incoming, f"{out_root.rstrip('/')}/{fmt}", input_format=fmt, **options)
+    return started

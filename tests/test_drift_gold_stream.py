@@ -82,6 +82,42 @@ def test_stream_processing_time_trigger(spark, tmp_path):
     assert spark.read.parquet(f"{out}/silver").count() == 20
 
 
+def test_restart_keeps_history_and_stores_every_finding(spark, tmp_path):
+    inc, out = tmp_path / "in", str(tmp_path / "out")
+    inc.mkdir()
+    for day in ("day1", "day2"):            # a new start of the stream for each
+        rows = "".join(f"{i},SSN 372-88-{3400 + i}\n" for i in range(20))
+        (inc / f"{day}.csv").write_text("id,notes\n" + rows)
+        autoscan(spark, str(inc), out, input_format="csv", sensitivity="medium").awaitTermination()
+    assert {r.filename for r in spark.read.parquet(f"{out}/gold").collect()} == {"day1.csv", "day2.csv"}
+    found = spark.read.parquet(f"{out}/findings")
+    assert {(r.dataset, r["count"]) for r in found.groupBy("dataset").count().collect()} == {("day1.csv", 20), ("day2.csv", 20)}
+    assert "raw_value" not in found.columns
+    doc = spark.read.json(f"{out}/results").where("file = 'day2.csv'").first()
+    assert (doc.input_format, doc.output_format, doc.protection_status.high_risk_pii_masked_only) == ("csv", "csv", 20)
+
+
+def test_mixed_folder_runs_one_stream_per_format(spark, tmp_path):
+    from tessera.streaming.autoscan import autoscan_folder
+    inc, out = tmp_path / "in", str(tmp_path / "out")
+    inc.mkdir()
+    (inc / "a.csv").write_text("id,notes\n1,SSN 372-88-3412\n")
+    (inc / "b.json").write_text('{"k": 1, "remark": "call 415-555-0199", "more": 2}\n{"k": 2, "remark": "x", "more": 3}\n')
+    started = autoscan_folder(spark, str(inc), out, sensitivity="medium")
+    for q in started.values():
+        q.awaitTermination()
+    assert sorted(started) == ["csv", "json"]
+    gold = [(r.filename, r.rows, r.columns) for f in started for r in spark.read.parquet(f"{out}/{f}/gold").collect()]
+    assert sorted(gold) == [("a.csv", 1, 2), ("b.json", 2, 3)]
+
+
+def test_missing_rule_file_is_an_error(tmp_path):
+    import pytest
+    from tessera.plans.health_check import load_rules
+    with pytest.raises(FileNotFoundError):
+        load_rules(str(tmp_path / "rules.json"))
+
+
 def test_batch_replay_is_idempotent(spark, tmp_path):
     from tessera.sources.io import read_csv_strings
     from tessera.streaming.autoscan import process_batch, run_options
