@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DATASET = "dataset"
 ROW_KEY = "row_key"
@@ -20,6 +21,13 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def present(name: str, dtype: T.DataType) -> Column:
+    """The value of a column, null where it is missing: NaN counts as missing."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(col(name)), col(name))
+    return col(name)
+
+
 def with_dataset(df: DataFrame, dataset: "str | Column | None" = None) -> DataFrame:
     """Ensure a ``dataset`` column (literal name, expression, or keep the existing one)."""
     if dataset is None:
@@ -51,11 +59,11 @@ def value_columns(df: DataFrame, key: "str | None" = None, exclude=()) -> list[s
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster when the input has fewer splits than cores.
+    """Round-robin the rows of a table just read when it has fewer splits than cores.
 
     Text scans are CPU-bound; a table stored as one large row group would run
-    as one task.  On a real cluster inputs have far more splits than cores and
-    this is a no-op, so no shuffle is added there.
+    as one task.  With more splits than cores nothing is added.  Only for a
+    fresh read: counting the splits of a plan with shuffles would run them.
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,15 +1,14 @@
 """Duplicate analysis (rows G1-G3).
 
-By default only row hashes are shuffled; the rows whose hash repeats are then
-regrouped on their real values, so counts stay exact while the big shuffle
-carries 16 bytes per row instead of the row.  Every aggregation is a hash
-aggregate with map-side partial aggregation, so a value repeated in a third of
-all rows collapses inside each map task before the shuffle.
+Rows are grouped once, on their values, with long texts and binaries replaced by
+their SHA-256 digest: one read of the table, one shuffle of at most 32 bytes per
+text cell, the same plan at every size.  Every aggregation combines map-side, so
+a value repeated in a third of all rows collapses inside each map task before
+the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,156 +32,47 @@ def normalize(c) -> "F.Column":
     return F.trim(F.lower(F.coalesce(c, F.lit(""))), F.lit(WHITESPACE))
 
 
-# Largest number of repeated row hashes broadcast for the verification pass
-# (each entry is (dataset, h1, h2): ~40 bytes, so 1M keys stay near 40 MB).
-MAX_CANDIDATE_KEYS = 1_000_000
-SEED2 = "tessera-h2"
+DIGEST_BYTES = 32
 
 
-def _hashable(c, dtype: T.DataType):
-    return F.to_json(c) if dtype.simpleString().find("map<") >= 0 else c
+def compact(c, dtype: T.DataType):
+    """A grouping value equal where ``c`` is equal: texts and binaries of 32 bytes or more as their SHA-256.
 
-
-def row_hash(df: DataFrame, cols: list[str], prefix: str = "_h") -> tuple:
-    """Two independent 64-bit hashes of the values of ``cols`` (null-aware), as Columns.
-
-    Each value is hashed together with its null flag, so ``(a, null)`` and
-    ``(null, a)`` differ; Spark's hash treats -0.0 / 0.0 and NaNs like
-    grouping does.
+    Shorter ones stay as their bytes, so that the two forms differ in length.
     """
-    parts = []
-    for c in cols:
-        v = _hashable(col(c), df.schema[c].dataType)
-        parts += [col(c).isNull(), v]
-    if not parts:
-        parts = [F.lit(0)]
-    return F.xxhash64(*parts).alias(prefix + "1"), F.xxhash64(F.lit(SEED2), *parts).alias(prefix + "2")
-
-
-def _norm_hash(strings: list[str]) -> tuple:
-    parts = [normalize(col(c)) for c in strings] or [F.lit("")]
-    return F.xxhash64(*parts).alias("_n1"), F.xxhash64(F.lit(SEED2), *parts).alias("_n2")
-
+    if not isinstance(dtype, (T.StringType, T.BinaryType)):
+        return c
+    raw = c.cast("binary")
+    return F.when(F.octet_length(raw) < DIGEST_BYTES, raw).otherwise(F.unhex(F.sha2(raw, 256)))
 
-def repeated_hashes(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(dataset, _h1, _h2, n) for row hashes seen more than once."""
-    h1, h2 = row_hash(df, cols)
-    return (df.select(DATASET, h1, h2).groupBy(DATASET, "_h1", "_h2").agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") > 1))
-
-
-def _bounded(keys: DataFrame, limit: int) -> int | None:
-    """Number of keys if it is at most ``limit``, else None.
-
-    A plain distributed count (one partial count per task, no single-task
-    step): the keys come from persisted hash groups that the query needs in
-    full anyway.  A ``limit(n).count()`` would instead funnel up to ``n``
-    rows of every partition into one task.
-    """
-    n = keys.count()
-    return n if n <= limit else None
 
-
-# Rows whose values average at least this many bytes are hashed before the
-# shuffle; narrower rows are grouped on their values directly.
-WIDE_ROW_BYTES = 256
-PROBE_ROWS = 1000
-
-
-def wide_rows(df: DataFrame, cols: list[str]) -> bool:
-    """Are the rows wide enough that shuffling two hashes beats shuffling the values?
-
-    Nested and binary values count as wide.  For strings, the average width is
-    measured on the first ``PROBE_ROWS`` rows (a collect-limit read of the
-    first split: at most ``PROBE_ROWS`` integers reach the driver) -- a
-    planning heuristic only: both paths give the same, exact result.
-    """
-    types = {c: df.schema[c].dataType for c in cols}
-    if any(isinstance(t, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for t in types.values()):
-        return True
-    strings = [c for c, t in types.items() if isinstance(t, T.StringType)]
-    if not strings:
-        return False
-    width = sum(F.coalesce(F.length(col(c)), F.lit(0)) for c in strings)
-    # limit + collect is planned as a collect-limit: it reads the first split
-    # and widens only if that split holds fewer rows (an aggregate over the
-    # limit would instead start a task on every split of the table)
-    widths = [r.w for r in df.select(width.alias("w")).limit(PROBE_ROWS).collect()]
-    if not widths:
-        return False
-    fixed = 8 * (len(cols) - len(strings))
-    return sum(widths) / len(widths) + fixed >= WIDE_ROW_BYTES
-
-
-def choose_method(df: DataFrame, cols: list[str], method: str) -> str:
-    if method != "auto":
-        return method
-    return "hashed" if wide_rows(df, cols) else "values"
-
-
-def duplicates(df: DataFrame, key: str | None = None, near: bool = True, method: str = "auto",
-               max_candidates: int = MAX_CANDIDATE_KEYS) -> DataFrame:
+def duplicates(df: DataFrame, key: str | None = None, near: bool = True) -> DataFrame:
     """G1-G3 per dataset: total_rows, exact_duplicates, near_duplicates, duplicate_pct.
 
     Rows are compared on every column except the dataset and ``key`` (nulls
-    compare equal, as in a grouping).  Near duplicates use only string
-    columns (null -> '', lower case, stripped); with none they are 0.
-
-    ``method="hashed"`` (default) shuffles only two 64-bit hashes per row,
-    then recounts exactly, on the real values, the rows whose hash repeats:
-    they are picked with a broadcast semi-join whose key count is checked
-    first.  Rows with a unique hash are unique by value, so the result is
-    exact.  When the repeated keys exceed ``max_candidates`` the count falls
-    back to grouping on the values (``method="values"``), which moves the
-    full rows through the shuffle.  ``auto`` hashes wide rows (see
-    ``wide_rows``) and groups narrow rows directly.  The hash groups (one
-    small row per distinct row) are persisted: the size check and the counts
-    read them without recomputing the first shuffle.
+    compare equal, as in a grouping; maps whatever the order of their entries).
+    Near duplicates use only string columns (null -> '', lower case,
+    stripped); with none they are 0.  The exact groups carry one digest of
+    their normalised strings and are grouped again on it.
     """
     df = frame.with_dataset(df)
     vals = frame.value_columns(df, key)
     strings = [c for c in vals if isinstance(df.schema[c].dataType, T.StringType)] if near else []
-    if choose_method(df, vals, method) == "values":
-        return _by_values(df, vals, strings)
-    h1, h2 = row_hash(df, vals)
-    n1, n2 = _norm_hash(strings)
-    hashed = df.select(DATASET, h1, h2, n1, n2)
-    groups = (hashed.groupBy(DATASET, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"),
-                                                         F.first("_n1").alias("_n1"), F.first("_n2").alias("_n2"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    totals = groups.groupBy(DATASET).agg(F.sum("_n").alias("total_rows"))
-    cand = groups.where(F.col("_n") > 1).select(DATASET, "_h1", "_h2")
-    if _bounded(cand, max_candidates) is None:
-        return _by_values(df, vals, strings)
-    keyed = df.select("*", h1, h2)
-    dup_rows = keyed.join(F.broadcast(cand), [DATASET, "_h1", "_h2"], "left_semi")
-    exact = (dup_rows.groupBy(DATASET, *[col(c) for c in vals]).agg(F.count(F.lit(1)).alias("_n"))
-             .groupBy(DATASET).agg(F.sum(F.col("_n") - 1).alias("exact_duplicates")))
-    out = totals.join(exact, DATASET, "left")
+    cells = [compact(col(c), df.schema[c].dataType).alias(f"_v{i}") for i, c in enumerate(vals)]
+    # each string's length in front of it keeps ("a", "bc") apart from ("ab", "c")
+    normal = [n for c in strings for n in (F.length(normalize(col(c))).cast("string"), normalize(col(c)))]
     if strings:
-        ncand = (groups.groupBy(DATASET, "_n1", "_n2").agg(F.sum("_n").alias("_m")).where(F.col("_m") > 1)
-                 .select(DATASET, "_n1", "_n2"))
-        if _bounded(ncand, max_candidates) is None:
-            return _by_values(df, vals, strings)
-        nkeyed = df.select(DATASET, *[col(c) for c in strings], n1, n2)
-        nrows = nkeyed.join(F.broadcast(ncand), [DATASET, "_n1", "_n2"], "left_semi")
-        nd = (nrows.groupBy(DATASET, *[normalize(col(c)).alias(f"n{i}") for i, c in enumerate(strings)])
-              .agg(F.count(F.lit(1)).alias("_m"))
-              .groupBy(DATASET).agg(F.sum(F.col("_m") - 1).alias("near_duplicates")))
-        out = out.join(nd, DATASET, "left")
-    return _finish(out.fillna(0, ["exact_duplicates"]))
-
-
-def _by_values(df: DataFrame, vals: list[str], strings: list[str]) -> DataFrame:
-    """G1-G2 by grouping on the values themselves (exact groups, then near groups of them)."""
-    groups = df.groupBy(DATASET, *[col(c) for c in vals]).agg(F.count(F.lit(1)).alias("_n"))
-    out = groups.groupBy(DATASET).agg(F.sum("_n").alias("total_rows"),
-                                      F.sum(F.col("_n") - 1).alias("exact_duplicates"))
-    if strings:
-        ng = (groups.groupBy(DATASET, *[normalize(col(c)).alias(f"n{i}") for i, c in enumerate(strings)])
-              .agg(F.sum("_n").alias("_m")))
-        out = out.join(ng.groupBy(DATASET).agg(F.sum(F.col("_m") - 1).alias("near_duplicates")), DATASET, "left")
-    return _finish(out)
+        cells.append(F.unhex(F.sha2(F.concat_ws(" ", *normal), 256)).alias("_near"))
+    groups = (df.select(DATASET, *cells)
+              .groupBy(DATASET, *[f"_v{i}" for i in range(len(vals))], *(["_near"] if strings else []))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    if not strings:
+        return _finish(groups.groupBy(DATASET).agg(F.sum("_n").alias("total_rows"),
+                                                   F.sum(F.col("_n") - 1).alias("exact_duplicates")))
+    near_groups = groups.groupBy(DATASET, "_near").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") - 1).alias("_e"))
+    return _finish(near_groups.groupBy(DATASET).agg(
+        F.sum("_m").alias("total_rows"), F.sum("_e").alias("exact_duplicates"),
+        F.sum(F.col("_m") - 1).alias("near_duplicates")))
 
 
 def _finish(out: DataFrame) -> DataFrame:

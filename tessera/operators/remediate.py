@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,7 +116,7 @@ def mask_frame(df: DataFrame, profile="cli", sensitivity="medium", key: str | No
     columns and needs no shuffle.
     """
     prof = get_profile(profile)
-    df = frame.spread(frame.with_dataset(df))
+    df = frame.with_dataset(df)
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = columns if columns is not None else frame.value_columns(df, key)
     todo = [c for c in df.columns if c in names and _maskable(fields[c])
@@ -180,41 +179,19 @@ def _mask_cells(cols: list[str], fields: dict, prof, sensitivity, key: Column |
     return F.transform(F.transform(F.transform(F.transform(cells, facts), matched), scored), fold)
 
 
-def dedup(df: DataFrame, key: str | None = None, method: str = "auto",
-          max_candidates: int | None = None) -> DataFrame:
+def dedup(df: DataFrame, key: str | None = None) -> DataFrame:
     """Drop exact duplicate rows per dataset, keeping the first (lowest key).
 
-    ``method="hashed"``: a first pass counts row hashes (16 bytes per row
-    through the shuffle); rows whose hash is unique pass through untouched
-    (a broadcast anti-join on the repeated hashes, size checked first) and
-    only rows with a repeated hash are grouped on their values with
-    ``min(key)``.  Beyond the size bound, or with ``method="values"``
-    (``auto`` picks it for rows without text or nested values), every row is
-    grouped on its values.  All aggregates combine map-side, so a
-    value repeated in a third of all rows collapses before the shuffle.
+    Rows are grouped on their values with ``min(key)``: one read, one shuffle,
+    the same plan at every size.  The grouping combines map-side, so a value
+    repeated in a third of all rows collapses before the shuffle.
     """
-    from .duplicates import MAX_CANDIDATE_KEYS, _bounded, choose_method, repeated_hashes, row_hash
     df = frame.with_dataset(df)
     if key is None:
         return df.dropDuplicates()
     vals = frame.value_columns(df, key)
-    cols = df.columns
-
-    def by_values(d):
-        return d.groupBy(DATASET, *[col(c) for c in vals]).agg(F.min(col(key)).alias(key)).select(
-            *[col(c) for c in cols])
-    if choose_method(df, vals, method) == "values":
-        return by_values(df)
-    # the repeated hashes feed the size check and two joins: keep them
-    cand = repeated_hashes(df, vals).select(DATASET, "_h1", "_h2").persist(StorageLevel.MEMORY_AND_DISK)
-    if _bounded(cand, max_candidates or MAX_CANDIDATE_KEYS) is None:
-        return by_values(df)
-    h1, h2 = row_hash(df, vals)
-    keyed = df.select("*", h1, h2)
-    keys = [DATASET, "_h1", "_h2"]
-    unique = keyed.join(F.broadcast(cand), keys, "left_anti").select(*[col(c) for c in cols])
-    repeated = by_values(keyed.join(F.broadcast(cand), keys, "left_semi").select(*[col(c) for c in cols]))
-    return unique.unionByName(repeated)
+    return (df.groupBy(DATASET, *[col(c) for c in vals]).agg(F.min(col(key)).alias(key))
+            .select(*[col(c) for c in df.columns]))
 
 
 def remediate(df: DataFrame, profile="cli", sensitivity="medium", key: str | None = None,
@@ -227,7 +204,7 @@ def remediate(df: DataFrame, profile="cli", sensitivity="medium", key: str | Non
 
 
 def decrypt_column(tokens: Column, key: Column) -> Column:
-    """C20 over a column of tokens; bad tokens give null."""
+    """C20 over a column of tokens; bad tokens give null, an empty token is an error."""
     return pii.decrypt_token(tokens, key)
 
 

@@ -55,8 +55,7 @@ def scan_cells(df: DataFrame, key: str | None = None, columns: list[str] | None
         return f"named_struct({', '.join(vals)}) AS c{i}"
 
     # one SQL expression per column, parsed JVM-side: plan building stays fast for thousands of columns;
-    # only the scanned columns travel when small inputs are spread over the cores
-    wide = frame.spread(df.select(F.col(DATASET), col(key).alias("row_key"), *[col(c) for c in names])
+    wide = (df.select(F.col(DATASET), col(key).alias("row_key"), *[col(c) for c in names])
                         .selectExpr(DATASET, "row_key", *[cell_struct(i, c) for i, c in enumerate(names)]))
     long = wide.unpivot([DATASET, "row_key"], [f"c{i}" for i in range(len(names))], "slot", "v")
     return (long.select(DATASET, "row_key", *[F.col("v").getField(f).alias(f) for f in fields])

@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..frame import spread
 from ..functions import pii as P
 from ..operators import drift as D
 from ..operators import duplicates as G
@@ -32,13 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ------------------------------------------------------------------ datasets
 def documents_ds(spark, sf_dir) -> DataFrame:
     """``documents`` keyed by ``doc_id``, one dataset per ``source``."""
-    return (table(spark, sf_dir, "documents")
+    return (spread(table(spark, sf_dir, "documents"))
             .select(F.col("source").alias("dataset"), "doc_id", "text", "lang", "n_chars"))
 
 
 def pages_ds(spark, sf_dir) -> DataFrame:
     """``pages`` keyed by ``page_id``, one dataset for the whole table."""
-    return table(spark, sf_dir, "pages").select(F.lit("pages").alias("dataset"), "page_id", "url", "html")
+    return spread(table(spark, sf_dir, "pages")).select(F.lit("pages").alias("dataset"), "page_id", "url", "html")
 
 
 def doc_findings(spark, sf_dir, profile="cli", sensitivity="high") -> DataFrame:

@@ -25,18 +25,6 @@ def messy(spark):
                                  "dataset string, name string, amount double, tag string, id long")
 
 
-def _dups(df, **kw):
-    return sorted(tuple(r) for r in G.duplicates(df, key="id", **kw).collect())
-
-
-def test_hashed_equals_values(messy):
-    assert _dups(messy, method="hashed") == _dups(messy, method="values")
-
-
-def test_hashed_fallback_equals_values(messy):
-    assert _dups(messy, method="hashed", max_candidates=0) == _dups(messy, method="values")
-
-
 def test_duplicate_counts(messy):
     got = {r.dataset: r for r in G.duplicates(messy, key="id").collect()}
     assert (got["a"].exact_duplicates, got["a"].near_duplicates) == (2, 4)     # -0.0 == 0.0, null tags equal
@@ -44,11 +32,63 @@ def test_duplicate_counts(messy):
     assert got["hot"].exact_duplicates == 40 and got["hot"].duplicate_pct == round(40 / 41 * 100, 1)
 
 
-@pytest.mark.parametrize("kw", [{"method": "hashed"}, {"method": "hashed", "max_candidates": 0}])
-def test_dedup_paths_agree(messy, kw):
-    a = sorted(tuple(map(repr, r)) for r in R.dedup(messy, key="id", **kw).collect())
-    b = sorted(tuple(map(repr, r)) for r in R.dedup(messy, key="id", method="values").collect())
-    assert a == b and len(a) == 51 - 43
+def test_dedup_keeps_the_lowest_key(messy):
+    got = sorted(r.id for r in R.dedup(messy, key="id").collect())
+    assert got == [0, 1, 3, 5, 6, 8, 9, 10]
+
+
+def test_duplicates_of_long_texts_maps_and_shifted_cells(spark):
+    long = "x" * 500
+    rows = [(long + "1", "a", {"k": 1, "m": 2}), (long + "1", "a", {"m": 2, "k": 1}), (long.upper() + "1 ", "a", {"k": 1, "m": 2}),
+            (long + "2", "a", None), ("a", "bc", None), ("ab", "c", None), ("a b", "c", None), ("a", "b c", None)]
+    df = spark.createDataFrame(rows, "t string, u string, m map<string,int>")
+    got = G.duplicates(df).first()
+    assert (got.total_rows, got.exact_duplicates, got.near_duplicates) == (8, 1, 2)
+
+
+def test_building_starts_no_job_and_keeps_nothing(spark, messy):
+    """Duplicates, dedup, masking and a whole scan only build plans."""
+    from tessera.plans.pipeline import run_scan
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("build-only", "no job may start")
+    try:
+        G.duplicates(messy, key="id")
+        R.remediate(messy, "cli", "high", key="id")
+        run_scan(messy, "cli", "medium", key="id", pack="finance")
+    finally:
+        jobs = tracker.getJobIdsForGroup("build-only")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
+
+
+def test_nan_is_missing(spark):
+    from tessera.operators import packs as FP
+    from tessera.operators import quality as Q
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, nan, nan, nan), (1.0, 30.0, 5.0, 0.35), (2.0, None, nan, 0.07)],
+                               "order_id double, age double, subtotal double, tax double")
+    q = {(r.check, r.column): r for r in Q.run_quality(df, "cli", [{"column": "age", "type": "between", "min": 0, "max": 120},
+                                                                  {"column": "tax", "type": "unique"}]).collect()}
+    assert q["column values to not be null", "order_id"].unexpected_count == 1
+    assert all(r.passed for (c, k), r in q.items() if c != "column values to not be null")
+    assert {r.rule: r.bad_count for r in FP.run_pack(df, "finance").collect()}["tax_rate"] == 0
+    assert {r.rule: r.bad_count for r in FP.run_pack(df, "healthcare").collect()}["age_range"] == 0
+
+
+def test_number_suffixes_stay_text(spark):
+    from tessera.sources.io import numeric_profile
+    df = spark.createDataFrame([("12D", "1.5e3", "7"), ("14F", " -.5 ", "8")], "seat string, amount string, n string")
+    assert numeric_profile(df) == {"seat": "string", "amount": "double", "n": "bigint"}
+
+
+def test_keys_of_every_length_are_redacted():
+    import base64
+    from tessera.session import REDACTED, cluster_conf
+    for n in (16, 24, 32):
+        key = bytes(range(100, 100 + n))
+        for shown in (base64.b64encode(key).decode(), key.hex()):
+            assert re.sub(REDACTED, "", shown) == "", (n, shown)
+    assert cluster_conf()["spark.redaction.string.regex"] == REDACTED
 
 
 def test_top_k_uses_window_group_limit(spark, sample):
@@ -114,15 +154,3 @@ def test_wide_table_masks_every_column(spark):
     assert dict(m.dtypes)["amount"] == "double" and row["amount"] == 7.0
     f = S.scan_pii(base, "cli", "high", key="k")
     assert f.count() == 50 * n
-
-
-def test_wide_rows_probe(spark):
-    """The row-width probe (collect-limit read) picks hashing only for wide rows; empty input is narrow."""
-    from tessera.operators.duplicates import choose_method, wide_rows
-    wide = spark.createDataFrame([(i, "x" * 300) for i in range(50)], "id int, t string")
-    narrow = spark.createDataFrame([(i, "ab") for i in range(50)], "id int, t string")
-    nested = spark.createDataFrame([(1, [1, 2])], "id int, a array<int>")
-    assert wide_rows(wide, ["id", "t"]) and choose_method(wide, ["id", "t"], "auto") == "hashed"
-    assert not wide_rows(narrow, ["id", "t"]) and choose_method(narrow, ["id", "t"], "auto") == "values"
-    assert wide_rows(nested, ["id", "a"])
-    assert not wide_rows(wide.limit(0), ["id", "t"])
