@@ -261,8 +261,9 @@ def encrypt_token(v: Column, key: Column) -> Column:
 
 
 def decrypt_token(tok: Column, key: Column) -> Column:
-    """C20: bulk decrypt; a bad or foreign token decrypts to null."""
-    return F.try_aes_decrypt(F.unbase64(tok), key, F.lit("GCM")).cast("string")
+    """C20: bulk decrypt; a bad or foreign token decrypts to null, an empty one is an error."""
+    plain = F.try_aes_decrypt(F.unbase64(tok), key, F.lit("GCM")).cast("string")
+    return F.when(tok == "", F.raise_error(F.lit("empty token: nothing to decrypt")).cast("string")).otherwise(plain)
 
 
 def display_token(tok: Column) -> Column:

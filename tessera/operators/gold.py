@@ -73,7 +73,7 @@ def score_series(gold: DataFrame) -> DataFrame:
     """Health score over time with its grade zone."""
     zone = F.when(F.col("health_score") >= ZONES[0][0], ZONES[0][1]).when(
         F.col("health_score") >= ZONES[1][0], ZONES[1][1]).otherwise(ZONE_FLOOR)
-    return gold.select("timestamp", "filename", "health_score", zone.alias("zone"))
+    return gold.select("timestamp", "filename", "health_score", zone.alias("zone")).orderBy("timestamp", "filename")
 
 
 def pii_exposure(gold: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def quality_series(gold: DataFrame) -> DataFrame:
 
 def duplicate_series(gold: DataFrame) -> DataFrame:
     """Duplicate rate over time."""
-    return gold.select("timestamp", "filename", "duplicate_pct")
+    return gold.select("timestamp", "filename", "duplicate_pct").orderBy("timestamp", "filename")
 
 
 def dimension_scores(gold: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def grade_distribution(gold: DataFrame) -> DataFrame:
 
 
 def display_history(gold: DataFrame) -> DataFrame:
-    """Display formatting of the history table."""
-    return gold.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("timestamp"), "filename", "trigger",
-                       F.concat(F.col("health_score").cast("string"), F.lit("/100")).alias("health_score"),
-                       "grade", "quality_score", "duplicate_pct")
+    """All columns of the history table, timestamp and health score formatted."""
+    shown = {"timestamp": F.date_format("timestamp", "yyyy-MM-dd HH:mm"),
+             "health_score": F.concat(F.col("health_score").cast("string"), F.lit("/100"))}
+    return gold.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in GOLD_COLUMNS])

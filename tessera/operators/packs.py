@@ -89,6 +89,11 @@ def _num(df, c):
     return c is not None and is_numeric(dict((f.name, f.dataType) for f in df.schema.fields)[c])
 
 
+def _val(df, c) -> Column:
+    """A numeric column, NaN as null."""
+    return frame.present(c, df.schema[c].dataType)
+
+
 def ecommerce_rules(df: DataFrame, overrides: dict | None = None, as_of: Column | None = None,
                     formats: list[str] | None = None) -> list[Rule]:
     """F1-F4."""
@@ -102,13 +107,13 @@ def ecommerce_rules(df: DataFrame, overrides: dict | None = None, as_of: Column
                           ot.isNotNull() & st.isNotNull() & (st < ot), TEXTS["ship_after_order"][1]))
     p = fc("price")
     if _num(df, p):
-        rules.append(Rule("price_nonneg", TEXTS["price_nonneg"][0].format(c=p), col(p) < 0,
+        rules.append(Rule("price_nonneg", TEXTS["price_nonneg"][0].format(c=p), _val(df, p) < 0,
                           TEXTS["price_nonneg"][1]))
     q = fc("quantity")
     if _num(df, q):
         # a null quantity is invalid too (its remainder is not 0)
         rules.append(Rule("quantity_int", TEXTS["quantity_int"][0].format(c=q),
-                          (col(q) <= 0) | F.coalesce(col(q).cast("double") % 1 != 0, F.lit(True)),
+                          (_val(df, q) <= 0) | F.coalesce(_val(df, q).cast("double") % 1 != 0, F.lit(True)),
                           TEXTS["quantity_int"][1]))
     d = fc("signup")
     if d:
@@ -125,15 +130,15 @@ def finance_rules(df: DataFrame, overrides: dict | None = None, tax_rate: float
     sub, tax, tot, bal = fc("subtotal"), fc("tax"), fc("total"), fc("balance")
     rules = []
     if sub and tax and _num(df, sub) and _num(df, tax):
-        exp = round2(col(sub) * F.lit(float(tax_rate)))
+        exp = round2(_val(df, sub) * F.lit(float(tax_rate)))
         rules.append(Rule("tax_rate", TEXTS["tax_rate"][0].format(rate=int(tax_rate * 100)),
-                          F.abs(col(tax) - exp) > MONEY_TOLERANCE, TEXTS["tax_rate"][1]))
+                          F.abs(_val(df, tax) - exp) > MONEY_TOLERANCE, TEXTS["tax_rate"][1]))
     if sub and tax and tot and all(_num(df, c) for c in (sub, tax, tot)):
-        exp = round2(col(sub) + col(tax))
+        exp = round2(_val(df, sub) + _val(df, tax))
         rules.append(Rule("total_balance", TEXTS["total_balance"][0],
-                          F.abs(col(tot) - exp) > MONEY_TOLERANCE, TEXTS["total_balance"][1]))
+                          F.abs(_val(df, tot) - exp) > MONEY_TOLERANCE, TEXTS["total_balance"][1]))
     if _num(df, bal):
-        rules.append(Rule("balance_nonneg", TEXTS["balance_nonneg"][0].format(c=bal), col(bal) < 0,
+        rules.append(Rule("balance_nonneg", TEXTS["balance_nonneg"][0].format(c=bal), _val(df, bal) < 0,
                           TEXTS["balance_nonneg"][1]))
     return rules
 
@@ -147,7 +152,7 @@ def healthcare_rules(df: DataFrame, overrides: dict | None = None, formats: list
     a = fc("age")
     if _num(df, a):
         rules.append(Rule("age_range", TEXTS["age_range"][0].format(c=a),
-                          (col(a) < 0) | (col(a) > MAX_PATIENT_AGE), TEXTS["age_range"][1]))
+                          (_val(df, a) < 0) | (_val(df, a) > MAX_PATIENT_AGE), TEXTS["age_range"][1]))
     ad, di = fc("admission"), fc("discharge")
     if ad and di:
         at, dt = to_ts(ad, types[ad], formats), to_ts(di, types[di], formats)
@@ -155,7 +160,7 @@ def healthcare_rules(df: DataFrame, overrides: dict | None = None, formats: list
                           at.isNotNull() & dt.isNotNull() & (dt < at), TEXTS["discharge_after_admit"][1]))
     d = fc("dosage")
     if _num(df, d):
-        rules.append(Rule("dosage_positive", TEXTS["dosage_positive"][0].format(c=d), col(d) <= 0,
+        rules.append(Rule("dosage_positive", TEXTS["dosage_positive"][0].format(c=d), _val(df, d) <= 0,
                           TEXTS["dosage_positive"][1]))
     return rules
 

@@ -146,7 +146,7 @@ def build_suite(df: DataFrame, profile="cli", rules: list[dict] | None = None,
 
 def _value(c: str, dtype: T.DataType) -> Column:
     if is_numeric(dtype):
-        return col(c).cast("double")
+        return frame.present(c, dtype).cast("double")
     return F.expr(f"try_cast(`{c}` as double)")
 
 
@@ -163,12 +163,13 @@ def python_regex_to_java(pattern: str) -> str:
 
 
 def _unexpected(ch: Check, dtype: T.DataType) -> Column:
-    """Condition for an unexpected value (nulls never unexpected except for not_null)."""
+    """Condition for an unexpected value (nulls and NaN never unexpected except for not_null)."""
+    here = frame.present(ch.column, dtype).isNotNull()
     if ch.kind == "not_null":
-        return col(ch.column).isNull()
+        return ~here
     if ch.kind == "regex":
         pat = ch.pattern if ch.search else "^(?:" + ch.pattern + ")"
-        return col(ch.column).isNotNull() & ~_text(ch.column, dtype).rlike(python_regex_to_java(pat))
+        return here & ~_text(ch.column, dtype).rlike(python_regex_to_java(pat))
     if ch.kind == "between":
         v = _value(ch.column, dtype)
         cond = F.lit(False)
@@ -178,7 +179,7 @@ def _unexpected(ch: Check, dtype: T.DataType) -> Column:
             cond = cond | (v > F.lit(float(ch.max)))
         if not is_numeric(dtype):   # a non-numeric value cannot be in range
             cond = cond | v.isNull()
-        return col(ch.column).isNotNull() & cond
+        return here & cond
     raise ValueError(ch.kind)
 
 
@@ -189,7 +190,7 @@ def check_aggs(df: DataFrame, checks: list[Check]) -> list[Column]:
     for i, ch in enumerate(checks):
         if ch.kind in ("exist", "unique"):
             continue
-        aggs.append(F.count(col(ch.column)).alias(f"nn{i}"))
+        aggs.append(F.count(frame.present(ch.column, fields[ch.column])).alias(f"nn{i}"))
         aggs.append(F.count_if(_unexpected(ch, fields[ch.column])).alias(f"u{i}"))
     return aggs
 
@@ -199,7 +200,7 @@ def with_unique_counts(base: DataFrame, df: DataFrame, checks: list[Check]) -> D
     for i, ch in enumerate(checks):
         if ch.kind != "unique":
             continue
-        u = (df.where(col(ch.column).isNotNull()).groupBy(DATASET, col(ch.column)).agg(F.count(F.lit(1)).alias("n"))
+        u = (df.where(frame.present(ch.column, df.schema[ch.column].dataType).isNotNull()).groupBy(DATASET, col(ch.column)).agg(F.count(F.lit(1)).alias("n"))
              .groupBy(DATASET).agg(F.sum("n").alias(f"nn{i}"),
                                    F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias(f"u{i}")))
         base = base.join(u, DATASET, "left").fillna(0, [f"nn{i}", f"u{i}"])

@@ -377,7 +377,8 @@ FROM gd"""),
     "gold_grades": _on_gold("""SELECT grade, count(*) AS scans,
   round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS share FROM gd GROUP BY grade"""),
     "gold_history": _on_gold("""SELECT strftime(ts, '%Y-%m-%d %H:%M') AS "timestamp", filename, trigger,
-  CAST(health_score AS VARCHAR) || '/100' AS health_score, grade, quality_score, duplicate_pct FROM gd"""),
+  "rows", "columns", CAST(health_score AS VARCHAR) || '/100' AS health_score, grade, privacy_score, quality_score,
+  completeness_score, high_pii, medium_pii, low_pii, quality_failed, duplicate_pct FROM gd"""),
 }
 
 

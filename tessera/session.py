@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+#: AES keys of 16, 24 and 32 bytes (base64 or hex) and tokens are hidden in plan strings.
+REDACTED = "[A-Za-z0-9+/]{22}==|[A-Za-z0-9+/]{32,}={0,2}"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tessera") -> SparkSession:
     """Local session for tests and the bench (no UI, AQE on, UTC)."""
     return (SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -19,8 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
             .config("spark.sql.adaptive.skewJoin.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.driver.memory", "16g")
-            # long base64 literals (AES keys, tokens) are hidden in plan strings
-            .config("spark.redaction.string.regex", "[A-Za-z0-9+/]{40,}={0,2}")
+            .config("spark.redaction.string.regex", REDACTED)
             .getOrCreate())
 
 
@@ -32,14 +34,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     the setting unset (tests, local runs) a folder under the system temp
     directory is created and recorded in the session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         master = spark.conf.get("spark.master", "local")
         if not master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: name a folder every executor can reach "
                              "(streaming checkpoints and staged tables are written there)")
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
     try:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(root)
@@ -54,15 +56,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_dir(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.replace("file://", ""), exist_ok=True)
-
-
 def cluster_conf(total_input_bytes: int | None = None, target_partition_bytes: int = 256 << 20) -> dict:
     """Suggested settings for a large cluster (not applied automatically).
 
@@ -71,7 +64,7 @@ def cluster_conf(total_input_bytes: int | None = None, target_partition_bytes: i
     partitions); file splits of 512 MB keep scan tasks in the minutes range;
     the scans here are CPU-bound regexes, so splits are not made larger.
     """
-    parts = 2000 if not total_input_bytes else max(200, min(100_000, total_input_bytes // target_partition_bytes))
+    parts = 2000 if not total_input_bytes else max(200, total_input_bytes // target_partition_bytes)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -81,4 +74,5 @@ def cluster_conf(total_input_bytes: int | None = None, target_partition_bytes: i
         "spark.sql.files.maxPartitionBytes": str(512 << 20),
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.redaction.string.regex": REDACTED,
     }

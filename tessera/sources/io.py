@@ -18,7 +18,8 @@ from ..frame import DATASET, col
 # FIXED VALUES -- format by extension; what the automatic path accepts.
 FORMATS = {"csv": "csv", "parquet": "parquet", "json": "json", "xlsx": "excel", "xls": "excel"}
 SUPPORTED_EXTENSIONS = (".csv", ".parquet", ".json", ".xlsx", ".xls")
-EXTENSIONS = {"parquet": "parquet", "json": "json", "excel": "xlsx"}
+#: What counts as a number in text (no type suffixes such as 12D).
+NUMBER = r"(?i)^[+-]?([0-9]+[.]?[0-9]*(e[+-]?[0-9]+)?|[.][0-9]+(e[+-]?[0-9]+)?|inf|infinity)$"
 
 
 def format_of(path: str) -> str:
@@ -28,10 +29,6 @@ def format_of(path: str) -> str:
     return FORMATS.get(ext, "csv")
 
 
-def output_extension(fmt: str | None) -> str:
-    return EXTENSIONS.get((fmt or "csv").lower(), "csv")
-
-
 def is_supported(path: str) -> bool:
     """A6 skip rule of the automatic path."""
     return path.lower().endswith(SUPPORTED_EXTENSIONS)
@@ -50,7 +47,7 @@ def null_tokens(df: DataFrame, columns=None, tokens=None) -> DataFrame:
 
 
 def read_csv_strings(spark: SparkSession, paths, dataset_from_file: bool = True,
-                     multi_line: bool = False) -> DataFrame:
+                     multi_line: bool = False, glob: str | None = None) -> DataFrame:
     """A1 + A2: header CSV, every column a string, NA tokens as null.
 
     Files are split across tasks; ``multi_line=True`` accepts quoted fields
@@ -58,6 +55,8 @@ def read_csv_strings(spark: SparkSession, paths, dataset_from_file: bool = True,
     """
     r = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
          .option("escape", '"').option("nullValue", None))
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     df = r.csv(paths)
     data_cols = list(df.columns)
     if dataset_from_file:
@@ -81,7 +80,8 @@ def numeric_profile(df: DataFrame, columns=None) -> dict:
         aggs += [F.count(col(c)).alias(f"n{i}"),
                  F.count_if(s.rlike(r"^[+-]?[0-9]+$") & F.expr(f"try_cast(trim(`{c}`) as bigint)").isNotNull())
                  .alias(f"i{i}"),
-                 F.count(F.expr(f"try_cast(trim(`{c}`) as double)")).alias(f"d{i}")]
+                 F.count_if(s.rlike(NUMBER) & F.expr(f"try_cast(trim(`{c}`) as double)").isNotNull())
+                 .alias(f"d{i}")]
     row = df.agg(*aggs).collect()[0]
     out = {}
     for i, c in enumerate(cols):
