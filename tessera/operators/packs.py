@@ -57,6 +57,8 @@ ALL_OK = "All OK"
 DEFAULT_TAX_RATE = 0.07
 MONEY_TOLERANCE = 0.02
 MAX_PATIENT_AGE = 130
+# Forms of dates in text that are tried after ISO ones, month before day.
+DATE_FORMATS = ["M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy"]
 # ---------------------------------------------------------------------------
 
 RESULT_SCHEMA = ("dataset string, pack string, rule_idx int, rule string, check string, passed boolean, "
@@ -72,12 +74,12 @@ class Rule:
 
 
 def to_ts(c: str, dtype: T.DataType, formats: list[str] | None = None) -> Column:
-    """Coercing date parse: unparsable -> null."""
+    """Coercing date parse, ISO first, then ``formats``: unparsable -> null."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return col(c).cast("timestamp")
     s = col(c).cast("string")
-    parsed = [F.try_to_timestamp(s)] + [F.try_to_timestamp(s, F.lit(f)) for f in (formats or [])]
-    return F.coalesce(*parsed) if len(parsed) > 1 else parsed[0]
+    parsed = [F.try_to_timestamp(s)] + [F.try_to_timestamp(s, F.lit(f)) for f in (DATE_FORMATS if formats is None else formats)]
+    return F.coalesce(*parsed)
 
 
 def round2(x: Column) -> Column:

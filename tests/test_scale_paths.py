@@ -75,6 +75,13 @@ def test_nan_is_missing(spark):
     assert {r.rule: r.bad_count for r in FP.run_pack(df, "healthcare").collect()}["age_range"] == 0
 
 
+def test_dates_in_common_forms(spark):
+    from tessera.operators import packs as FP
+    df = spark.createDataFrame([("03/15/2024", "2024-03-14"), ("2024-03-15 10:00:00", "3/15/2024 9:59"), ("2024/3/1", "Mar 2, 2024"),
+                                ("1 Mar 2024", "not a date"), (None, "03/01/2024")], "order_date string, ship_date string")
+    assert {r.rule: r.bad_count for r in FP.run_pack(df, "ecommerce").collect()}["ship_after_order"] == 2
+
+
 def test_number_suffixes_stay_text(spark):
     from tessera.sources.io import numeric_profile
     df = spark.createDataFrame([("12D", "1.5e3", "7"), ("14F", " -.5 ", "8")], "seat string, amount string, n string")
