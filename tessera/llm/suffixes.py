@@ -236,6 +236,17 @@ def _groups(batches, chunk: int):
         yield pa.concat_batches(held)
 
 
+def _once(batches):
+    """Record batches without the rows that equal the row before in their first three columns (h, d, pc)."""
+    last = np.zeros((3, 0), np.int64)
+    for b in batches:
+        x = np.concatenate([last, np.stack([b.column(k).to_numpy() for k in range(3)])], axis=1)
+        new = np.r_[True, (x[:, 1:] != x[:, :-1]).any(axis=0)][last.shape[1]:]
+        last = x[:, -1:]
+        if new.any():
+            yield b if new.all() else b.filter(pa.array(new))
+
+
 def _found(rows: DataFrame) -> DataFrame:
     """d, pc (place << 32 | checksum), h: anchors of grams that occur again; whole is true where the whole context occurred earlier."""
 
@@ -314,7 +325,7 @@ def covered_spans(rows: DataFrame, group: int = GROUP) -> DataFrame:
                           F.substring("raw", (start + 1).cast("int"), (place - start + MATCH).cast("int")).alias("context"))
 
     def sort(batches):
-        for t in _groups(batches, CHUNK):
+        for t in _groups(_once(batches), CHUNK):          # a document that stands in several rows comes once for each
             h, d, pc = (t.column(k).to_numpy() for k in range(3))
             ctx, left = t.column(4).to_pylist(), t.column(3).to_pylist()
             bounds = np.r_[np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)]

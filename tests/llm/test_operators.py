@@ -153,6 +153,18 @@ def test_suffix_dedup(spark, docs, nothing, group):
         assert suffixes.suffix_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("group", [suffixes.GROUP, 2])
+def test_suffix_dedup_repeated_first_occurrence(spark, group):
+    rng = random.Random(5)
+    first = prose(300, rng)
+    parts = [prose(20, rng) + first[k:k + 90] + prose(20, rng) for k in range(0, 1200, 150)]       # grams in common, but no 100 bytes
+    rows = [(1, first), (1, first), (1, first), *((k + 2, t) for k, t in enumerate(parts)), (50, prose(9, rng) + first[200:500])]
+    want = brute_suffixes(rows)
+    assert want[1, first][1] == 0 < want[rows[-1]][1]
+    got = suffixes.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), group).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, *want[i, t]) for i, t in rows)
+
+
 def test_minhash_pairs(docs, nothing, spark):
     got = minhash.fingerprint_pairs(docs).collect()
     assert len(got) == len(ROWS)
