@@ -2,8 +2,10 @@
 
 Domains come from the labelled table: ``toxic`` (toxic = 1), ``low`` (quality 0)
 and ``clean``.  A classifier made of Spark aggregates gives every document a
-posterior per domain: Gaussian naive Bayes over five statistics of the text, one of them
-the number of distinct words in a learned list of telling words.
+posterior per domain: Gaussian naive Bayes over four statistics of the text, and for toxic the
+log-odds of how often each word of a learned list of telling words occurs among the words
+of the text (Poisson, with the words' rates in toxic and in other documents): a mention in a
+long text speaks against toxic, the same word in a short one for it.
 
 Every document i has a rate r_i >= 0.  With n_i tokens and posteriors p_ik the
 expected tokens of domain k are T_k = sum_i r_i n_i p_ik.  Projected-gradient least
@@ -15,8 +17,8 @@ every round of step length 1 brings T nearer.  A document's rate after any numbe
 of rounds is a fold over the short list of steps, so no round writes a table and
 only K numbers reach the driver.
 
-Targets are shares; the budget defaults to what lets ``clean`` keep all its
-expected tokens (``BOOST`` times that, so that no clean document falls below rate 1).
+Targets are shares; the budget defaults to ``BOOST`` times what lets ``clean`` keep all its
+expected tokens.  A document whose posterior mistakes it for another domain can still fall below rate 1 (see README).
 
 Defined results: null and empty texts have no tokens and rate 1; null labels and
 labels without a document are ignored, of repeated labels each counts; without labelled rows every document
@@ -26,6 +28,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,34 +46,52 @@ TRAIN_ROWS = 20_000
 TELLING = 200
 #: A telling word occurs in this many toxic training documents and this many times likelier there than elsewhere.
 LEAST_DOCS, LEAST_LIFT = 5, 30.0
-STATS = ("x0", "x1", "x2", "x3", "x4")
+STATS = ("x0", "x1", "x2", "x3")
+EVIDENCE = "x4"
 FLOOR = 1e-3               # least variance of a statistic
+#: Variance of the mean word length of a text of one word, as a share of its square: short texts say little by it.
+SPREAD = 0.2
 
 
 def _words(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1)
 
 
-def telling_words(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, size: int = TELLING) -> list[str]:
-    """The words most typical of documents labelled toxic, from the ``train_rows`` labelled rows with the smallest id hashes."""
+def telling_words(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, size: int = TELLING) -> dict[str, tuple[float, float]]:
+    """The words most typical of documents labelled toxic, from the ``train_rows`` labelled rows with the smallest id hashes,
+    with their rates among the words of toxic and of other documents."""
     chosen = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "toxic")
               .orderBy("h", "doc_id").limit(train_rows)
               .select(F.col("doc_id").alias("l_id"), "toxic"))
     rows = docs.where("text IS NOT NULL").join(chosen, F.col("doc_id") == F.col("l_id"))
-    words = rows.select("toxic", F.explode(F.array_distinct(_words(F.col("text")))).alias("w")).where("length(w) > 2")
-    by = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    all_ = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+    split = rows.select("toxic", _words(F.col("text")).alias("words"))
+    words = (split.select(F.monotonically_increasing_id().alias("row"), "toxic", F.explode("words").alias("w")).where("length(w) > 2")
+             .groupBy("row", "toxic", "w").agg(F.count("*").alias("times")))
+    by = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"),
+                                F.sum(F.col("toxic") * F.col("times")).alias("t_times"), F.sum("times").alias("n_times"))
+    all_ = split.agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), F.sum(F.col("toxic") * F.size("words")).alias("t_words"),
+                     F.sum(F.size("words")).alias("n_words")).first()
     if not all_["t"] or all_["t"] == all_["n"]:
-        return []
+        return {}
     lift = ((F.col("t") + 0.5) / all_["t"]) / ((F.col("n") - F.col("t") + 0.5) / (all_["n"] - all_["t"]))
-    return [r["w"] for r in by.where(f"t >= {LEAST_DOCS}").select("w", "t", lift.alias("lift"))
-            .where(F.col("lift") >= LEAST_LIFT).orderBy(F.desc("t"), "w").limit(size).collect()]
+    found = (by.where(f"t >= {LEAST_DOCS}").select("w", "t", lift.alias("lift"), "t_times", "n_times")
+             .where(F.col("lift") >= LEAST_LIFT).orderBy(F.desc("t"), "w").limit(size).collect())
+    return {r["w"]: ((r["t_times"] + 0.5) / all_["t_words"], (r["n_times"] - r["t_times"] + 0.5) / (all_["n_words"] - all_["t_words"])) for r in found}
 
 
-def statistics(docs: DataFrame, words: list[str]) -> DataFrame:
-    """id, th, n (tokens: words), x0..x4 of every row."""
+def _evidence(words: Column, telling: dict[str, tuple[float, float]]) -> Column:
+    """Log-odds of toxic against the rest, by how often the telling words occur among ``words``."""
+    if not telling:
+        return F.lit(0.0)
+    weight = F.create_map(*(F.lit(x) for w, (t, r) in telling.items() for x in (w, math.log(t / r))))
+    found = F.array_intersect(words, F.array(*map(F.lit, telling)))
+    seen = F.aggregate(found, F.lit(0.0), lambda sum_, w: sum_ + F.element_at(weight, w) * F.size(F.filter(words, lambda v: v == w)))
+    return seen - F.size(words) * sum(t - r for t, r in telling.values())
+
+
+def statistics(docs: DataFrame, telling: dict[str, tuple[float, float]]) -> DataFrame:
+    """id, th, n (tokens: words), x0..x3 and the evidence x4 of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tell = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), text.alias("text"), _words(text).alias("words"))
     n = F.size(F.split(F.trim("text"), r"\s+", -1)) - F.when(F.trim("text") == "", 1).otherwise(0)
     chars = F.length("text")
@@ -80,7 +101,7 @@ def statistics(docs: DataFrame, words: list[str]) -> DataFrame:
         F.log1p(chars).alias("x0"), F.log1p(chars / F.greatest(n, F.lit(1))).alias("x1"),
         F.sqrt(F.regexp_count("text", F.lit("[#*$%&|<>]")) / F.greatest(chars, F.lit(1))).alias("x2"),
         (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))).alias("x3"),
-        F.log1p(F.size(F.array_intersect(words, tell)) * 10.0).alias("x4"))
+        _evidence(words, telling).alias(EVIDENCE))
 
 
 def classifier(stats: DataFrame, labels: DataFrame) -> list[dict]:
@@ -97,7 +118,11 @@ def posteriors(stats: DataFrame, model: list[dict]) -> DataFrame:
     """``stats`` with p_clean, p_low, p_toxic, which sum to 1."""
     logs = {}
     for m in model:
-        terms = [F.pow(F.col(x) - m[f"m_{x}"], 2) / (-2.0 * (m[f"v_{x}"] + FLOOR)) - 0.5 * F.log(F.lit(m[f"v_{x}"] + FLOOR)) for x in STATS]
+        spread = {x: F.lit(m[f"v_{x}"] + FLOOR) for x in STATS}
+        spread["x1"] += SPREAD / F.greatest("n", F.lit(1))
+        terms = [F.pow(F.col(x) - m[f"m_{x}"], 2) / (-2.0 * spread[x]) - 0.5 * F.log(spread[x]) for x in STATS]
+        if m["domain"] == "toxic":
+            terms.append(F.col(EVIDENCE))
         logs[m["domain"]] = reduce(lambda a, b: a + b, terms, F.log(F.lit(float(m["rows"]))))
     if not logs:
         return stats.select("*", *(F.lit(float(d == "clean")).alias(f"p_{d}") for d in DOMAINS))
@@ -159,15 +184,20 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], rounds: int = ROUNDS,
     return _rate(steps)
 
 
+def _domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, th, n, p_clean, p_low, p_toxic of every row of ``docs``, written."""
+    prepare(docs.sparkSession)
+    stats = materialise(statistics(docs, telling_words(docs, labels)), "mixing-statistics")
+    return materialise(posteriors(stats, classifier(stats, labels)).drop(*STATS, EVIDENCE), "mixing-posteriors")
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
     """id, th, n_tokens, p_clean, p_low, p_toxic, rate for every row of ``docs`` (doc_id, text).
 
     ``targets`` are shares per domain, ``budget`` the tokens they are shares of.
     """
-    prepare(docs.sparkSession)
     shares = targets or TARGETS
-    stats = materialise(statistics(docs, telling_words(docs, labels)), "mixing-statistics")
-    rows = materialise(posteriors(stats, classifier(stats, labels)).drop(*STATS), "mixing-posteriors")
+    rows = _domains(docs, labels)
     got = rows.agg(*(F.sum(F.col("n") * F.col(f"p_{d}")) for d in DOMAINS)).first()
     there = {d: float(x or 0.0) for d, x in zip(DOMAINS, got, strict=True)}
     if budget is None:

@@ -279,6 +279,31 @@ def test_mixing_rates(spark, docs, labels, nothing):
     assert mixing.keep_mix(docs, labels).columns == docs.columns
 
 
+@pytest.fixture(scope="module")
+def domains(spark):
+    """Documents (with labels) of three domains; some clean ones mention a telling word once, some are very short."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        rows.append((k, prose(rng.randint(300, 600) if k % 20 else 4, rng) + (" scoundrel" if k % 40 == 1 else ""), 1, 0))
+    for k in range(400, 480):
+        words = prose(rng.randint(100, 400), rng).split()
+        rows.append((k, " ".join("scoundrel" if rng.random() < 0.03 else w for w in words) + " scoundrel", 1, 1))
+    for k in range(480, 600):
+        rows.append((k, " ".join(w + "$$$" for w in prose(rng.randint(100, 400), rng).split()), 0, 0))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, quality int, toxic int").repartition(4)
+    return frame.select("doc_id", "text").cache(), frame.select("doc_id", "quality", "toxic").cache()
+
+
+def test_mixing_keeps_clean_documents(domains):
+    docs, labels = domains
+    rate = {r.id: r.rate for r in mixing.mix(docs, labels).collect()}
+    assert min(rate[k] for k in range(400)) >= 1
+    assert max(rate[k] for k in range(400, 600)) < 0.5
+    kept = {r.doc_id for r in mixing.keep_mix(docs, labels).collect()}
+    assert kept >= set(range(400))
+
+
 def test_toxicity_learns_outside_the_held_out_fold(spark, docs, labels, nothing):
     rng = random.Random(6)
     rows, marks = [], []
