@@ -184,6 +184,40 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], rounds: int = ROUNDS,
     return _rate(steps)
 
 
+def fit_chances(rows: DataFrame, shares: dict[str, float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Column:
+    """The chance to stay, at most 1, as a column over ``rows`` (n, p_*: a written table), under which expected tokens have these shares.
+
+    The first domain that has tokens and a share is the base: its documents are kept (up to ``BOOST`` against the other
+    domains' steps), and the others' targets follow its tokens.  A domain with fewer tokens than its share keeps them all.
+    """
+    p = [f"p_{d}" for d in DOMAINS]
+    got = rows.agg(*(F.sum(F.col("n") * F.col(a) * F.col(b)) for a in p for b in p), *(F.sum(F.col("n") * F.col(a)) for a in p)).first()
+    got = [float(g or 0.0) for g in got]
+    k = len(p)
+    base = next((i for i, d in enumerate(DOMAINS) if got[k * k + i] and shares[d]), None)
+    if base is None:
+        return F.lit(1.0)
+    others = [i for i in range(k) if i != base and got[k * k + i]]
+    ridge = 1e-6 * max(got[i * k + i] for i in range(k))
+    m = [[got[i * k + j] + ridge * (i == j) for j in others] for i in others]
+    push = [0.0] * k
+    push[base] = 1.0 - BOOST
+
+    def chance() -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - reduce(lambda a, b: a + b, (F.col(c) * x for c, x in zip(p, push, strict=True)))))
+
+    for _ in range(rounds):
+        r = rows.select("n", *p, chance().alias("r"))
+        there = [float(g or 0.0) for g in r.agg(*(F.sum(F.col("r") * F.col("n") * F.col(c)) for c in p)).first()]
+        off = [there[i] - shares[DOMAINS[i]] / shares[DOMAINS[base]] * there[base] for i in others]
+        off = [0.0 if x < 0 and not push[i] else x for x, i in zip(off, others, strict=True)]
+        if max(map(abs, off), default=0.0) <= tolerance * there[base]:
+            break
+        for i, x in zip(others, _solve(m, off), strict=True):
+            push[i] = max(0.0, push[i] + x)
+    return chance()
+
+
 def _domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """id, th, n, p_clean, p_low, p_toxic of every row of ``docs``, written."""
     prepare(docs.sparkSession)
@@ -207,7 +241,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def keep_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` drawn once at most at their rates: rate 1 and more stays, a lower rate is the chance to stay (by a hash of the row)."""
+    """``docs`` drawn once at most, at chances that bring the kept tokens to the targets (by a hash of the row)."""
+    rows = _domains(docs, labels)
     drawn = F.pmod(F.xxhash64("id", "th", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    kept = mix(docs, labels, targets).where(drawn < F.col("rate")).select(F.col("id").alias("k_id"), F.col("th").alias("k_th")).distinct()
+    kept = rows.where(drawn < fit_chances(rows, targets or TARGETS)).select(F.col("id").alias("k_id"), F.col("th").alias("k_th")).distinct()
     return docs.join(kept, same(docs["doc_id"], F.col("k_id")) & (F.xxhash64(docs["text"]) == F.col("k_th")), "left_semi")

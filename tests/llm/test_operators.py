@@ -304,6 +304,22 @@ def test_mixing_keeps_clean_documents(domains):
     assert kept >= set(range(400))
 
 
+def test_mixing_draw_meets_the_targets(domains):
+    docs, labels = domains
+    rows = mixing._domains(docs, labels)
+    got = rows.withColumn("r", mixing.fit_chances(rows, mixing.TARGETS)).toPandas()
+    assert got.r.between(0, 1).all()
+    there = np.array([(got.r * got.n * got[f"p_{d}"]).sum() for d in mixing.DOMAINS])
+    assert there / there.sum() == pytest.approx(list(mixing.TARGETS.values()), rel=1e-3)
+    scarce = mixing.fit_chances(rows, {"clean": 0.1, "low": 0.8, "toxic": 0.1})
+    assert rows.where("p_low > 0.99").agg(F.min(scarce)).first()[0] == 1
+    sizes = {r.id: r.n for r in rows.collect()}
+    kept = [r.doc_id for r in mixing.keep_mix(docs, labels).collect()]
+    assert set(kept) >= set(range(400))
+    tokens = np.array([sum(sizes[k] for k in kept if a <= k < b) for a, b in ((0, 400), (480, 600), (400, 480))])
+    assert tokens / tokens.sum() == pytest.approx([0.97, 0.02, 0.01], abs=0.012)
+
+
 def test_toxicity_learns_outside_the_held_out_fold(spark, docs, labels, nothing):
     rng = random.Random(6)
     rows, marks = [], []
