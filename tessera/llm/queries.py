@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, packing, quality, simhash, suffixes, tokenfile, toxicity, warc
+from . import (divergence, factorisation, line_dedup, minhash, mixing, packing, prefixtrie, quality, simhash, suffixes,
+               tokenfile, toxicity, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +68,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_tokens", "p_clean", "p_low", "p_toxic", "rate")
 
 
+def op11_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the factorisation machine."""
+    return factorisation.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and the terms that set it apart."""
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations, with totals of its subtree."""
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_warc, op4_packing, op5_simhash, op6_suffix_dedup,
-                            op7_minhash, op8_token_ids, op9_quality, op10_mixing)}
+                            op7_minhash, op8_token_ids, op9_quality, op10_mixing, op11_factorisation, op12_divergence,
+                            op13_prefix_trie)}
 
-SQL = {"op1_line_dedup": line_dedup.SQL, "op3_warc": warc.SQL}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op3_warc": warc.SQL, "op12_divergence": divergence.SQL,
+       "op13_prefix_trie": prefixtrie.SQL}
