@@ -8,6 +8,8 @@ one full outer join of two catalogs on ``(dataset, column)``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,11 @@ def catalog(df: DataFrame, key: str | None = None) -> DataFrame:
             .select(DATASET, "e.column", "e.ordinal", "e.dtype", "row_count"))
 
 
+def catalogs(groups: list[DataFrame], key: str | None = None) -> DataFrame:
+    """The catalog of several frames, each with its own columns and types (``read_groups``): drift is then per file."""
+    return reduce(DataFrame.unionByName, [catalog(g, key) for g in groups])
+
+
 def with_saved_at(cat: DataFrame, saved_at=None) -> DataFrame:
     """Stamp a catalog as a baseline (``saved_at`` defaults to now)."""
     ts = F.current_timestamp() if saved_at is None else F.lit(saved_at).cast("timestamp")

@@ -1,6 +1,6 @@
 """One-call health check: the original tool's end-to-end flow on Spark.
 
-read (any format, dataset = file) -> optionally save a schema baseline and
+read (any format, dataset = file, each file by its own columns and types) -> optionally save a schema baseline and
 stop, or compare against the latest baseline -> scan (PII, quality incl.
 custom rules, duplicates, optional industry pack) -> scores -> optionally
 write the scan documents.  Everything stays lazy except the writes.
@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from ..operators import drift as D
 from ..sources import io as A
-from .pipeline import ScanResult, run_scan, scan_document, stored_findings
+from .pipeline import ScanResult, run_scans, scan_document, stored_findings
 
 
 def load_rules(config: "dict | str | None") -> list[dict]:
@@ -37,11 +37,13 @@ def health_check(spark: SparkSession, path, fmt: str | None = None, profile: str
                  baseline: str | None = None, save_schema: bool = False, output: str | None = None,
                  key: str | None = None, pack_opts: dict | None = None) -> ScanResult | None:
     """Scan ``path``; with ``save_schema`` only record the baseline at ``baseline`` and return None."""
-    df = A.read_any(spark, path, fmt)
+    groups = A.read_groups(spark, path, fmt)
+    if not groups:
+        raise ValueError(f"no rows to scan under {path}")
     if save_schema:
         if not baseline:
             raise ValueError("save_schema needs a baseline path")
-        D.save_baseline(D.catalog(df, key), baseline)
+        D.save_baseline(D.catalogs(groups, key), baseline)
         return None
     base = None
     if baseline:
@@ -52,8 +54,8 @@ def health_check(spark: SparkSession, path, fmt: str | None = None, profile: str
                 raise
             base = spark.createDataFrame([], "dataset string, column string, ordinal int, dtype string, "
                                              "row_count bigint, saved_at timestamp")
-    res = run_scan(df, profile, sensitivity, key=key, rules=load_rules(config), pack=pack,
-                   pack_opts=pack_opts, baseline=base)
+    res = run_scans(groups, profile=profile, sensitivity=sensitivity, key=key, rules=load_rules(config), pack=pack,
+                    pack_opts=pack_opts, baseline=base)
     if output:
         # the document reads the findings three times (risk counts, top 15, overflow):
         # persisted, the regexes run once; the caller may unpersist ``res.findings``

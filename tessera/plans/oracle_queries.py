@@ -251,18 +251,20 @@ DUP_DOCS = dup_sql("SELECT source AS dataset, text, lang FROM documents", ["text
 DUP_LINE = dup_sql("SELECT 'lineitem' AS dataset, l_returnflag, l_linestatus, l_quantity FROM lineitem",
                    ["l_returnflag", "l_linestatus", "l_quantity"], ["l_returnflag", "l_linestatus"])
 
-DRIFT_CHANGES = """SELECT * FROM (VALUES
-  ('orders', 'type_changed', 'o_custkey', 'WARNING', 'Column ''o_custkey'' type changed: int64 -> object', 'int64', 'object'),
-  ('orders', 'column_removed', 'o_orderstatus', 'INFO', 'Column ''o_orderstatus'' was in baseline but is now missing.', 'object', NULL),
-  ('orders', 'column_added', 'o_orderpriority', 'WARNING', 'New column ''o_orderpriority'' added since last scan.', NULL, 'object'),
-  ('orders', 'column_added', 'salary_band', 'CRITICAL', 'HIGH RISK: New column ''salary_band'' contains a sensitive keyword — immediate review required.', NULL, 'object')
-) t(dataset, type, "column", severity, message, before, after) WHERE EXISTS (SELECT 1 FROM orders)"""
-DRIFT_STATUS = """SELECT 'orders' AS dataset, 'drift_detected' AS status, '2026-01-01 00:00:00' AS baseline_date,
-  'o_orderpriority,salary_band' AS added, 'o_orderstatus' AS removed, 'o_custkey' AS type_changes, 1::BIGINT AS alerts
-  WHERE EXISTS (SELECT 1 FROM orders)"""
-TYPE_PROFILE = """SELECT 'customer' AS dataset, t.col AS "column", t.ordinal, t.dtype, (SELECT count(*) FROM customer) AS row_count
-FROM (VALUES ('c_custkey', 0, 'int64'), ('c_name', 1, 'object'), ('c_nationkey', 2, 'int64'),
-             ('c_acctbal', 3, 'float64'), ('c_mktsegment', 4, 'object')) t(col, ordinal, dtype)"""
+_DTYPE = """CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'int64' WHEN column_type IN ('DOUBLE', 'FLOAT') THEN 'float64'
+  WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'datetime64[ns]' WHEN column_type = 'VARCHAR' THEN 'object' END"""
+
+
+def described(dataset, query):
+    """Columns and types of a query's result (its schema, not its rows)."""
+    return f"SELECT '{dataset}' AS dataset, column_name AS col, {_DTYPE} AS dtype FROM (DESCRIBE {query})"
+
+
+ORDERS_BEFORE = described("orders", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderstatus FROM orders")
+ORDERS_NOW = described("orders", """SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey, o_totalprice, o_orderdate, o_orderpriority,
+  CASE WHEN o_totalprice > 200000 THEN 'high' ELSE 'low' END AS salary_band FROM orders""")
+CUSTOMER_CELLS = """SELECT 'customer' AS dataset, v.col, v.ordinal, v.val FROM customer, LATERAL (VALUES ('c_custkey', 0, c_custkey::VARCHAR),
+  ('c_name', 1, c_name), ('c_nationkey', 2, c_nationkey::VARCHAR), ('c_acctbal', 3, c_acctbal::VARCHAR), ('c_mktsegment', 4, c_mktsegment)) v(col, ordinal, val)"""
 
 
 # ------------------------------------------------------------------ scores
@@ -429,9 +431,6 @@ SQL.update({
     "pack_violations": PACK_VIOLATIONS,
     "dup_documents": DUP_DOCS,
     "dup_lineitem": DUP_LINE,
-    "drift_changes": DRIFT_CHANGES,
-    "drift_status": DRIFT_STATUS,
-    "type_profile": TYPE_PROFILE,
     "scores": SCORES,
     "scores_function": SCORES_F,
     "recommendations": RECS,

@@ -9,7 +9,8 @@ to a table of its own (``stored_findings``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,23 @@ def run_scan(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
     return ScanResult(findings, quality, qsum, dups, packs, drift, changes, scores, key)
 
 
+def run_scans(groups: list[DataFrame], **options) -> ScanResult:
+    """I7 over files of different schemas: one scan per schema (``read_groups``), the results united.
+
+    Each file is scanned by its own columns and types; every result stays keyed by dataset.
+    """
+    found = [run_scan(g, **options) for g in groups]
+    if len(found) == 1:
+        return found[0]
+
+    def united(name: str) -> DataFrame | None:
+        parts = [x for x in (getattr(r, name) for r in found) if x is not None]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    names = [f.name for f in fields(ScanResult) if f.name != "key"]
+    return ScanResult(**{n: united(n) for n in names}, key=found[0].key)
+
+
 def stored_findings(res: ScanResult) -> DataFrame:
     """Every finding as it may be stored: masked, without its raw value."""
     return res.findings.drop("raw_value")

@@ -2,24 +2,23 @@
 
 Readers add a ``dataset`` column taken from each file's name
 (``_metadata.file_name``), so a folder of many files is one DataFrame and
-every later result is keyed by file.  CSV is read all-string, NA tokens are
-nulled, then columns are promoted to numbers all-or-nothing with one
-profiling aggregate.
+every later result is keyed by file.  CSV is read all-string, each file by its
+own header, NA tokens are nulled, then columns are promoted to numbers
+all-or-nothing per file with one profiling aggregate (:mod:`.csvfiles`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import profiles as P
-from ..frame import DATASET, col
+from ..frame import DATASET
+from . import csvfiles as CSV
+from .csvfiles import null_tokens  # noqa: F401  (part of this module's interface)
 
 # FIXED VALUES -- format by extension; what the automatic path accepts.
 FORMATS = {"csv": "csv", "parquet": "parquet", "json": "json", "xlsx": "excel", "xls": "excel"}
 SUPPORTED_EXTENSIONS = (".csv", ".parquet", ".json", ".xlsx", ".xls")
-#: What counts as a number in text (no type suffixes such as 12D).
-NUMBER = r"(?i)^[+-]?([0-9]+[.]?[0-9]*(e[+-]?[0-9]+)?|[.][0-9]+(e[+-]?[0-9]+)?|inf|infinity)$"
 
 
 def format_of(path: str) -> str:
@@ -34,34 +33,18 @@ def is_supported(path: str) -> bool:
     return path.lower().endswith(SUPPORTED_EXTENSIONS)
 
 
-def _with_file_dataset(df: DataFrame) -> DataFrame:
-    return df.withColumn(DATASET, F.col("_metadata.file_name"))
+def _with_file_dataset(df: DataFrame, dataset: Column | None = None) -> DataFrame:
+    return df.withColumn(DATASET, CSV.file_name() if dataset is None else dataset)
 
 
-def null_tokens(df: DataFrame, columns=None, tokens=None) -> DataFrame:
-    """A2: the CSV reader's NA tokens become nulls (string columns only)."""
-    toks = list(tokens if tokens is not None else P.NA_TOKENS)
-    cols = columns if columns is not None else [c for c in df.columns if c != DATASET]
-    return df.select(*[F.when(col(c).isin(toks), None).otherwise(col(c)).alias(c) if c in cols else col(c)
-                       for c in df.columns])
-
-
-def read_csv_strings(spark: SparkSession, paths, dataset_from_file: bool = True,
-                     multi_line: bool = False, glob: str | None = None) -> DataFrame:
-    """A1 + A2: header CSV, every column a string, NA tokens as null.
+def read_csv_strings(spark: SparkSession, paths, multi_line: bool = False, glob: str | None = None,
+                     dataset: Column | None = None) -> DataFrame:
+    """A1 + A2: header CSV, every column a string, NA tokens as null; each file is read by its own header.
 
     Files are split across tasks; ``multi_line=True`` accepts quoted fields
     with embedded newlines, at the price of reading each file in one task.
     """
-    r = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
-         .option("escape", '"').option("nullValue", None))
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.csv(paths)
-    data_cols = list(df.columns)
-    if dataset_from_file:
-        df = _with_file_dataset(df)
-    return null_tokens(df, data_cols)
+    return CSV.string_rows(spark, CSV.header_index(spark, paths, glob, dataset), dataset, multi_line)
 
 
 def numeric_profile(df: DataFrame, columns=None) -> dict:
@@ -74,32 +57,21 @@ def numeric_profile(df: DataFrame, columns=None) -> dict:
                                                 if f.dataType.simpleString() == "string" and f.name != DATASET]
     if not cols:
         return {}
-    aggs = []
-    for i, c in enumerate(cols):
-        s = F.trim(col(c))
-        aggs += [F.count(col(c)).alias(f"n{i}"),
-                 F.count_if(s.rlike(r"^[+-]?[0-9]+$") & F.expr(f"try_cast(trim(`{c}`) as bigint)").isNotNull())
-                 .alias(f"i{i}"),
-                 F.count_if(s.rlike(NUMBER) & F.expr(f"try_cast(trim(`{c}`) as double)").isNotNull())
-                 .alias(f"d{i}")]
-    row = df.agg(*aggs).collect()[0]
-    out = {}
-    for i, c in enumerate(cols):
-        n, ni, nd = row[f"n{i}"], row[f"i{i}"], row[f"d{i}"]
-        out[c] = "bigint" if n > 0 and ni == n else "double" if n > 0 and nd == n else "string"
-    return out
+    row = df.agg(*CSV.type_counts(cols)).collect()[0]
+    return {c: CSV.type_of(row, i) for i, c in enumerate(cols)}
 
 
 def promote_numeric(df: DataFrame, profile: dict | None = None) -> DataFrame:
     """A3: whole-column numeric promotion (keep numeric only if every value parses)."""
-    prof = profile if profile is not None else numeric_profile(df)
-    return df.select(*[F.expr(f"try_cast(trim(`{c}`) as {prof[c]})").alias(c) if prof.get(c) in ("bigint", "double")
-                       else col(c) for c in df.columns])
+    return CSV.cast_to(df, profile if profile is not None else numeric_profile(df))
 
 
 def read_any(spark: SparkSession, path, fmt: str | None = None, promote: bool = True,
-             multi_line: bool | None = None) -> DataFrame:
-    """Read a file or folder in its format, with ``dataset`` = file name.
+             multi_line: bool | None = None, dataset: Column | None = None) -> DataFrame:
+    """Read a file or folder in its format, with ``dataset`` = file name (or an expression of the file's metadata).
+
+    CSV files may differ in header; a column is numeric here if it is in every
+    file that has it.  ``read_groups`` keeps the types of each file.
 
     JSON: a single ``*.json`` file is read as one document (an array of
     records, as exported by the original tool); a folder as JSON lines (as
@@ -109,14 +81,24 @@ def read_any(spark: SparkSession, path, fmt: str | None = None, promote: bool =
     first = path[0] if isinstance(path, (list, tuple)) else path
     fmt = fmt or format_of(first)
     if fmt == "parquet":
-        return _with_file_dataset(spark.read.parquet(*([path] if isinstance(path, str) else path)))
+        return _with_file_dataset(spark.read.parquet(*([path] if isinstance(path, str) else path)), dataset)
     if fmt == "json":
         ml = first.lower().endswith(".json") if multi_line is None else multi_line
-        return _with_file_dataset(spark.read.option("multiLine", ml).json(path))
+        return _with_file_dataset(spark.read.option("multiLine", ml).json(path), dataset)
     if fmt == "excel":
         raise ValueError("excel is not supported by the Spark readers; convert the file to csv or parquet")
-    df = read_csv_strings(spark, path, multi_line=bool(multi_line))
-    return promote_numeric(df) if promote else df
+    files = CSV.header_index(spark, path, dataset=dataset)
+    rows = CSV.string_rows(spark, files, dataset, bool(multi_line))
+    return CSV.cast_to(rows, CSV.united_types(CSV.signatures(spark, files, dataset, bool(multi_line)))) if promote else rows
+
+
+def read_groups(spark: SparkSession, path, fmt: str | None = None, multi_line: bool | None = None,
+                dataset: Column | None = None) -> list[DataFrame]:
+    """A1-A6 with each file's own columns and types: one DataFrame per distinct schema (CSV; other formats carry theirs)."""
+    first = path[0] if isinstance(path, (list, tuple)) else path
+    if (fmt or format_of(first)) == "csv":
+        return CSV.read_groups(spark, path, dataset, bool(multi_line))
+    return [read_any(spark, path, fmt, multi_line=multi_line, dataset=dataset)]
 
 
 def write_any(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
