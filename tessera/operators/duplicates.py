@@ -52,29 +52,46 @@ def duplicates(df: DataFrame, key: str | None = None, near: bool = True) -> Data
     Rows are compared on every column except the dataset and ``key`` (nulls
     compare equal, as in a grouping; maps whatever the order of their entries).
     Near duplicates use only string columns (null -> '', lower case,
-    stripped); with none they are 0.  The exact groups carry one digest of
-    their normalised strings and are grouped again on it.
+    stripped); with none they are 0.  Rows are grouped on their values first; the
+    exact groups, not the rows, are normalised, digested and grouped again.
     """
     df = frame.with_dataset(df)
     vals = frame.value_columns(df, key)
-    strings = [c for c in vals if isinstance(df.schema[c].dataType, T.StringType)] if near else []
+    texts = [i for i, c in enumerate(vals) if isinstance(df.schema[c].dataType, T.StringType)] if near else []
     cells = [compact(col(c), df.schema[c].dataType).alias(f"_v{i}") for i, c in enumerate(vals)]
-    # each string's length in front of it keeps ("a", "bc") apart from ("ab", "c")
-    normal = [n for c in strings for n in (F.length(normalize(col(c))).cast("string"), normalize(col(c)))]
-    if strings:
-        cells.append(F.unhex(F.sha2(F.concat_ws(" ", *normal), 256)).alias("_near"))
+    # a long text leaves only its digest in the group: the token of its normal form goes along
+    cells += [F.when(F.octet_length(col(vals[i])) >= DIGEST_BYTES, token(col(vals[i]))).alias(f"_l{i}") for i in texts]
     groups = (df.select(DATASET, *cells)
-              .groupBy(DATASET, *[f"_v{i}" for i in range(len(vals))], *(["_near"] if strings else []))
+              .groupBy(DATASET, *[f"_v{i}" for i in range(len(vals))], *[f"_l{i}" for i in texts])
               .agg(F.count(F.lit(1)).alias("_n")))
-    if not strings:
+    if not texts:
         return _finish(groups.groupBy(DATASET).agg(F.sum("_n").alias("total_rows"),
                                                    F.sum(F.col("_n") - 1).alias("exact_duplicates")))
-    near_groups = groups.groupBy(DATASET, "_near").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") - 1).alias("_e"))
+    near_groups = (groups.select(DATASET, near_digest(texts), "_n").groupBy(DATASET, "_near")
+                   .agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") - 1).alias("_e")))
     return _finish(near_groups.groupBy(DATASET).agg(
         F.sum("_m").alias("total_rows"), F.sum("_e").alias("exact_duplicates"),
         F.sum(F.col("_m") - 1).alias("near_duplicates")))
 
 
+def token(c) -> "F.Column":
+    """Stands for the normal form of a text: itself if short, else its SHA-256 (longer than any short one)."""
+    n = normalize(c)
+    return F.when(F.octet_length(n) < DIGEST_BYTES, n).otherwise(F.sha2(n, 256))
+
+
+def near_digest(texts: list[int]) -> "F.Column":
+    """``_near`` of an exact group: one digest of the normal forms of its text cells.
+
+    Each token's length in front of it keeps ("a", "bc") apart from ("ab", "c").
+    """
+    parts = []
+    for i in texts:
+        t = F.coalesce(F.col(f"_l{i}"), token(F.col(f"_v{i}").cast("string")))
+        parts += [F.length(t).cast("string"), t]
+    return F.unhex(F.sha2(F.concat_ws(" ", *parts), 256)).alias("_near")
+
+
 def _finish(out: DataFrame) -> DataFrame:
     if "near_duplicates" not in out.columns:
         out = out.withColumn("near_duplicates", F.lit(0).cast("bigint"))

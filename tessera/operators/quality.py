@@ -195,16 +195,47 @@ def check_aggs(df: DataFrame, checks: list[Check]) -> list[Column]:
     return aggs
 
 
-def with_unique_counts(base: DataFrame, df: DataFrame, checks: list[Check]) -> DataFrame:
-    """All members of repeated values, one aggregate per checked column, joined on dataset."""
+def unique_key(c: str, dtype: T.DataType) -> Column:
+    """Bytes equal where values are equal: the value's text, or the SHA-256 of a longer one; null where missing."""
+    v = frame.present(c, dtype)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        v = v + F.lit(0.0)                                     # -0.0 equals 0.0
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        v = F.to_json(F.struct(v.alias("v")))
+    raw = v if isinstance(dtype, T.BinaryType) else v.cast("string").cast("binary")
+    return F.when(F.octet_length(raw) < 32, raw).otherwise(F.unhex(F.sha2(raw, 256)))
+
+
+def unique_groups(df: DataFrame, checks: list[Check]) -> DataFrame | None:
+    """(dataset, rule, key, n) of every unique rule at once - one pass over the rows, one exchange.
+
+    Each row becomes one narrow entry per rule, counted before the shuffle; a value
+    held by a third of all rows is one entry per task.  ``rule`` is the place of the first check of that column.
+    """
+    places = {}
     for i, ch in enumerate(checks):
-        if ch.kind != "unique":
-            continue
-        u = (df.where(frame.present(ch.column, df.schema[ch.column].dataType).isNotNull()).groupBy(DATASET, col(ch.column)).agg(F.count(F.lit(1)).alias("n"))
-             .groupBy(DATASET).agg(F.sum("n").alias(f"nn{i}"),
-                                   F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias(f"u{i}")))
-        base = base.join(u, DATASET, "left").fillna(0, [f"nn{i}", f"u{i}"])
-    return base
+        if ch.kind == "unique":
+            places.setdefault(ch.column, i)
+    if not places:
+        return None
+    entries = [F.struct(F.lit(i).alias("rule"), unique_key(c, df.schema[c].dataType).alias("key")) for c, i in places.items()]
+    return (df.select(DATASET, F.explode(F.array(*entries)).alias("e")).where("e.key IS NOT NULL")
+            .groupBy(DATASET, F.col("e.rule").alias("rule"), F.col("e.key").alias("key")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def with_unique_counts(base: DataFrame, df: DataFrame, checks: list[Check], groups: DataFrame | None = None) -> DataFrame:
+    """All members of repeated values, for any number of unique rules from one grouping."""
+    groups = unique_groups(df, checks) if groups is None else groups
+    if groups is None:
+        return base
+    first, aggs = {}, []
+    for i, ch in enumerate(checks):
+        if ch.kind == "unique":
+            mine = F.col("rule") == first.setdefault(ch.column, i)
+            aggs += [F.sum(F.when(mine, F.col("n")).otherwise(0)).alias(f"nn{i}"),
+                     F.sum(F.when(mine & (F.col("n") > 1), F.col("n")).otherwise(0)).alias(f"u{i}")]
+    counts = groups.groupBy(DATASET).agg(*aggs)
+    return base.join(counts, DATASET, "left").fillna(0, [c for c in counts.columns if c != DATASET])
 
 
 def check_rows(base: DataFrame, checks: list[Check]) -> DataFrame:

@@ -130,20 +130,30 @@ def count_by_type(findings: DataFrame) -> DataFrame:
             .drop("_r"))
 
 
-def top_per_type(findings: DataFrame, k: int = 15) -> DataFrame:
-    """First ``k`` findings per type in report order, plus the overflow count.
+#: States per (dataset, type) that are merged to its first findings and their number.
+TOP_STATES = 256
 
-    ``row_number() <= k`` over a window is planned by Spark as a window-group
-    limit: each map task keeps only its own top ``k`` per type before the
-    shuffle, so a type with billions of findings moves ``k`` rows per task.
+
+def top_per_type(findings: DataFrame, k: int = 15, states: int = TOP_STATES) -> DataFrame:
+    """First ``k`` findings per type in report order, plus the overflow count, in one pass over the findings.
+
+    Findings are dealt to ``states`` states per (dataset, type) by a hash of their place; each state
+    is its ``k`` first findings and its count.  Merging them reads ``k * states`` rows per type at
+    most, whatever the number of findings, and a type that holds a third of all findings is
+    spread over as many tasks.
     """
     order = [pii.risk_rank(F.col("risk")), F.col("column"), F.col("row_key"), F.col("match_idx")]
-    w = Window.partitionBy(DATASET, "pii_type").orderBy(*order)
-    top = findings.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    counts = findings.groupBy(DATASET, "pii_type").agg(F.count(F.lit(1)).alias("instances"))
-    return (top.join(counts, [DATASET, "pii_type"])
-            .withColumn("more_instances", F.greatest(F.col("instances") - k, F.lit(0)))
-            .drop("instances"))
+    state = [DATASET, "pii_type", "_state"]
+    dealt = findings.withColumn("_state", F.pmod(F.xxhash64("row_key", "column", "match_idx"), F.lit(states)))
+    kept = (dealt.withColumn("_first", F.row_number().over(Window.partitionBy(*state).orderBy(*order)))
+            .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*state)))
+            .where(F.col("_first") <= k))
+    whole = Window.partitionBy(DATASET, "pii_type")
+    return (kept.withColumn("rank", F.row_number().over(whole.orderBy(*order)))
+            .withColumn("_all", F.sum(F.when(F.col("_first") == 1, F.col("_n"))).over(whole))
+            .where(F.col("rank") <= k)
+            .withColumn("more_instances", F.greatest(F.col("_all") - k, F.lit(0)))
+            .drop("_state", "_first", "_n", "_all"))
 
 
 def risk_counts(findings: DataFrame, datasets: DataFrame | None = None) -> DataFrame:

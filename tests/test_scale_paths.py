@@ -98,10 +98,46 @@ def test_keys_of_every_length_are_redacted():
     assert cluster_conf()["spark.redaction.string.regex"] == REDACTED
 
 
-def test_top_k_uses_window_group_limit(spark, sample):
+def test_top_k_and_overflow_read_the_findings_once(spark, sample):
     f = S.scan_pii(sample, "cli", "high")
     plan = S.top_per_type(f, 15)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    assert plan.count("regexp_extract_all(") == len(PATTERNS_ALL) and "InMemoryTableScan" not in plan
+
+
+def test_top_k_states_merge_to_the_first_findings(spark):
+    rng = random.Random(4)
+    rows = [(f"d{rng.randint(0, 1)}", rng.choice(["SSN", "IBAN"]) if k % 3 else "SSN", rng.choice(["HIGH", "LOW", "MEDIUM"]),
+             rng.choice("ab"), k // 2, k % 2) for k in range(700)]
+    f = spark.createDataFrame(rows, "dataset string, pii_type string, risk string, column string, row_key long, match_idx int")
+    order = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
+    want = set()
+    for group in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == group), key=lambda r: (order[r[2]], *r[3:]))
+        want |= {(*r, n + 1, max(len(own) - 5, 0)) for n, r in enumerate(own[:5])}
+    for states in (1, 7):
+        got = S.top_per_type(f, 5, states).select("dataset", "pii_type", "risk", "column", "row_key", "match_idx", "rank", "more_instances")
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_unique_rules_share_one_exchange(spark):
+    from tessera.operators import quality as Q
+    rows = [("a", 1, -0.0, "x" * 40, None), ("a", 1, 0.0, "x" * 40, 5), ("a", 2, float("nan"), "y", 5), ("b", 1, 1.5, "x" * 40, 5)]
+    df = spark.createDataFrame(rows, "dataset string, i long, d double, s string, m int")
+    rules = [{"column": c, "type": "unique"} for c in ("i", "d", "s", "m", "i")]
+    got = {(r.dataset, r.check_idx): r.unexpected_count for r in Q.run_quality(df, "cli", rules).where("check LIKE '%unique%'").collect()}
+    first = min(k for _, k in got)
+    assert [got["a", first + k] for k in range(5)] == [2, 2, 2, 2, 2] and [got["b", first + k] for k in range(5)] == [0] * 5
+    groups = Q.unique_groups(df, Q.build_suite(df, "cli", rules))
+    assert groups._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_near_duplicates_of_long_and_short_texts(spark):
+    from tessera.operators import duplicates as G
+    rows = [("Ab", "x"), ("ab  ", "x"), (" " * 50 + "aB", "x"), (None, "x"), ("", "x"), ("é" * 40, "q"), ("É" * 40 + "\n", "q"), ("é" * 40, "q"),
+            ("a b", ""), ("a", " b")]
+    df = spark.createDataFrame(rows, "s string, t string")
+    r = G.duplicates(df).first()
+    assert (r.total_rows, r.exact_duplicates, r.near_duplicates) == (10, 1, 5)
 
 
 def test_scan_runs_each_pattern_once(spark):
