@@ -55,7 +55,19 @@ def duplicates(df: DataFrame, key: str | None = None, near: bool = True) -> Data
     stripped); with none they are 0.  Rows are grouped on their values first; the
     exact groups, not the rows, are normalised, digested and grouped again.
     """
-    df = frame.with_dataset(df)
+    groups, texts, _ = value_groups(frame.with_dataset(df), key, near)
+    if not texts:
+        return finish(groups.groupBy(DATASET).agg(F.sum("_n").alias("total_rows"),
+                                                   F.sum(F.col("_n") - 1).alias("exact_duplicates")))
+    near_groups = (groups.select(DATASET, near_digest(texts), "_n").groupBy(DATASET, "_near")
+                   .agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") - 1).alias("_e")))
+    return finish(near_groups.groupBy(DATASET).agg(
+        F.sum("_m").alias("total_rows"), F.sum("_e").alias("exact_duplicates"),
+        F.sum(F.col("_m") - 1).alias("near_duplicates")))
+
+
+def value_groups(df: DataFrame, key: str | None, near: bool) -> tuple[DataFrame, list[int], list[str]]:
+    """Rows grouped on their values (``_v*``, ``_l*``, ``_n``), the places of text columns, and the columns compared."""
     vals = frame.value_columns(df, key)
     texts = [i for i, c in enumerate(vals) if isinstance(df.schema[c].dataType, T.StringType)] if near else []
     cells = [compact(col(c), df.schema[c].dataType).alias(f"_v{i}") for i, c in enumerate(vals)]
@@ -64,14 +76,37 @@ def duplicates(df: DataFrame, key: str | None = None, near: bool = True) -> Data
     groups = (df.select(DATASET, *cells)
               .groupBy(DATASET, *[f"_v{i}" for i in range(len(vals))], *[f"_l{i}" for i in texts])
               .agg(F.count(F.lit(1)).alias("_n")))
-    if not texts:
-        return _finish(groups.groupBy(DATASET).agg(F.sum("_n").alias("total_rows"),
-                                                   F.sum(F.col("_n") - 1).alias("exact_duplicates")))
-    near_groups = (groups.select(DATASET, near_digest(texts), "_n").groupBy(DATASET, "_near")
-                   .agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") - 1).alias("_e")))
-    return _finish(near_groups.groupBy(DATASET).agg(
-        F.sum("_m").alias("total_rows"), F.sum("_e").alias("exact_duplicates"),
-        F.sum(F.col("_m") - 1).alias("near_duplicates")))
+    return groups, texts, vals
+
+
+def cell_text(c, dtype: T.DataType) -> "F.Column":
+    """A cell as text, equal where the cells are equal; ``n`` for null."""
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        t = F.hex(compact(c, dtype))
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        t = (c + F.lit(0.0)).cast("string")                    # -0.0 equals 0.0
+    elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        t = F.to_json(F.struct(c.alias("v")))
+    else:
+        t = c.cast("string")
+    return F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("n"))
+
+
+def row_digest(df: DataFrame, key: str | None) -> "F.Column":
+    """A digest equal for rows that are exact duplicates, whichever batch they come with."""
+    cells = [cell_text(col(c), df.schema[c].dataType) for c in frame.value_columns(df, key)]
+    return F.unhex(F.sha2(F.concat(*cells) if cells else F.lit(""), 256))
+
+
+def row_states(df: DataFrame, key: str | None = None, near: bool = True) -> DataFrame:
+    """dataset, exact, near, n: one row per different row, to be merged with those of other batches."""
+    df = frame.with_dataset(df)
+    vals = frame.value_columns(df, key)
+    texts = [c for c in vals if isinstance(df.schema[c].dataType, T.StringType)] if near else []
+    parts = [p for c in texts for p in (F.length(token(col(c))).cast("string"), token(col(c)))]
+    near_key = F.unhex(F.sha2(F.concat_ws(" ", *parts), 256)) if texts else F.lit(None).cast("binary")
+    return (df.select(DATASET, row_digest(df, key).alias("exact"), near_key.alias("near"))
+            .groupBy(DATASET, "exact").agg(F.first("near").alias("near"), F.count(F.lit(1)).alias("n")))
 
 
 def token(c) -> "F.Column":
@@ -92,7 +127,7 @@ def near_digest(texts: list[int]) -> "F.Column":
     return F.unhex(F.sha2(F.concat_ws(" ", *parts), 256)).alias("_near")
 
 
-def _finish(out: DataFrame) -> DataFrame:
+def finish(out: DataFrame) -> DataFrame:
     if "near_duplicates" not in out.columns:
         out = out.withColumn("near_duplicates", F.lit(0).cast("bigint"))
     return out.select(

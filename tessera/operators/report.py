@@ -7,7 +7,7 @@ they stay distributed however many datasets there are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import DATASET
@@ -82,6 +82,13 @@ def duplicate_band(scores: DataFrame) -> DataFrame:
                          color_band(F.greatest(F.lit(0.0), 100.0 - F.col("duplicate_pct") * 5.0)).alias("band"))
 
 
-def preview(df: DataFrame, n: int = 50) -> DataFrame:
-    """K5: data preview (a row limit is the feature here)."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 50, order: str | None = None) -> DataFrame:
+    """K5: data preview (a row limit is the feature here).
+
+    With ``order`` (``read_order`` of ``read_ordered``) the first ``n`` rows of every dataset in that order, the
+    same ones under any partitioning; each task keeps its own first ``n`` before the shuffle.
+    """
+    if order is None:
+        return df.limit(n)
+    w = Window.partitionBy(DATASET).orderBy(order)
+    return df.withColumn("row", F.row_number().over(w)).where(F.col("row") <= n).drop(order)

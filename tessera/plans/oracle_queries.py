@@ -354,15 +354,18 @@ def _on_gold(body):
 
 
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"timestamp\""
-GOLD_SQL = {
-    "gold_rows": _on_gold(f"SELECT {TS}, * EXCLUDE (ts) FROM gd"),
-    "gold_summary": _on_gold("""SELECT count(*) AS total_scans, round_even(avg(health_score), 1) AS avg_health_score,
+SUMMARY = """SELECT {more}count(*) AS total_scans, round_even(avg(health_score), 1) AS avg_health_score,
   CAST(sum(high_pii) AS BIGINT) AS total_high_pii, round_even(avg(quality_score), 1) AS avg_quality_score,
   arg_max(health_score, strftime(ts, '%Y-%m-%d %H:%M:%S') || filename) AS last_score,
   CAST(CASE WHEN count(*) > 1 THEN arg_max(health_score, strftime(ts, '%Y-%m-%d %H:%M:%S') || filename)
        - arg_min(health_score, strftime(ts, '%Y-%m-%d %H:%M:%S') || filename) ELSE 0 END AS INTEGER) AS trend,
   CASE WHEN trend > 0 THEN '↑ ' || trend WHEN trend < 0 THEN '↓ ' || abs(trend) ELSE '→ stable' END AS trend_label
-FROM gd"""),
+FROM {rows}"""
+GOLD_SQL = {
+    "gold_rows": _on_gold(f"SELECT {TS}, * EXCLUDE (ts) FROM gd"),
+    "gold_summary": _on_gold(SUMMARY.format(more="", rows="gd")),
+    "gold_appends": _on_gold(SUMMARY.format(more="1 AS appends, ", rows="gd WHERE trigger = 'http_manual'") + "\nUNION ALL BY NAME "
+                             + SUMMARY.format(more="2 AS appends, ", rows="gd")),
     "gold_score_series": _on_gold(f"""SELECT {TS}, filename, health_score, CASE WHEN health_score >= 85 THEN 'A — Healthy'
   WHEN health_score >= 70 THEN 'B — Acceptable' ELSE 'Needs attention' END AS zone FROM gd"""),
     "gold_pii_exposure": _on_gold("""SELECT filename, risk, n FROM (

@@ -42,8 +42,12 @@ class ScanResult:
 
 def run_scan(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str | None = None,
              rules: list[dict] | None = None, pack: str | None = None, pack_opts: dict | None = None,
-             baseline: DataFrame | None = None) -> ScanResult:
-    """Every check of a scan, per dataset, as lazy DataFrames."""
+             baseline: DataFrame | None = None, state=None) -> ScanResult:
+    """Every check of a scan, per dataset, as lazy DataFrames.
+
+    With ``state`` (a :class:`~tessera.streaming.state.BatchState`) counts, scores and duplicates cover what earlier
+    batches brought of the same datasets as well; findings are those of ``df``.
+    """
     prof = get_profile(profile)
     sensitivity = prof.level(sensitivity)
     df = frame.with_dataset(df)
@@ -55,11 +59,15 @@ def run_scan(df: DataFrame, profile="cli", sensitivity: str = "medium", key: str
     pack_rules = FP.pack_rules(df, pack, **(pack_opts or {})) if pack else []
     base = df.groupBy(DATASET).agg(F.count(F.lit(1)).alias("n_total"), *Q.check_aggs(df, checks),
                                    *FP.pack_aggs(pack_rules, "pk"))
-    quality = Q.check_rows(Q.with_unique_counts(base, df, checks), checks)
+    uniques = Q.unique_groups(df, checks)
+    if state is None:
+        dups = G.duplicates(df, key, near=prof.near_duplicates)
+    else:
+        base, risk, uniques, dups = state.merge(df, key, base, risk, uniques, checks, prof.near_duplicates)
+    quality = Q.check_rows(Q.with_unique_counts(base, df, checks, uniques), checks)
     qsum = Q.summarize(quality)
     n_cols = len(frame.value_columns(df, key))
     shape = base.select(DATASET, F.col("n_total").alias("rows"), F.lit(n_cols).alias("columns"))
-    dups = G.duplicates(df, key, near=prof.near_duplicates)
     packs = penalty = None
     if pack:
         packs = FP.pack_rows(base, pack_rules, pack, "pk")

@@ -22,6 +22,7 @@ from ..operators import report as K
 from ..operators import scan as S
 from ..operators import score as I
 from ..sources import io as A
+from ..session import scratch_path
 from . import pipeline as PL
 
 
@@ -401,53 +402,79 @@ def gold_ds(spark, sf_dir) -> DataFrame:
     return runs[0].unionByName(runs[1])
 
 
+_GOLD: dict[tuple, str] = {}
+
+
+def gold_table(spark, sf_dir) -> J.GoldTable:
+    """The gold table of the two runs, written by one append per run; once written it is read by every J query of the session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _GOLD:
+        path = scratch_path(spark, "gold")
+        table_, rows = J.GoldTable(spark, path), gold_ds(spark, sf_dir)
+        for run, trigger in enumerate(("http_manual", "blob_automatic")):
+            table_.append(rows.where(F.col("trigger") == trigger), run)
+        _GOLD[at] = path
+    return J.GoldTable(spark, _GOLD[at])
+
+
 def _fmt_ts(df):
     return df.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
 def q_gold_rows(spark, sf_dir):
-    """The 15-column gold rows of two scan runs."""
-    return _fmt_ts(gold_ds(spark, sf_dir))
+    """A14 + A15: the 15-column gold rows of two scan runs, read back in order of time."""
+    return _fmt_ts(gold_table(spark, sf_dir).rows())
 
 
 def q_gold_summary(spark, sf_dir):
-    """Scans, averages, HIGH total, last score and trend."""
-    return J.summary(gold_ds(spark, sf_dir))
+    """Scans, averages, HIGH total, last score and trend, merged from the day states."""
+    return J.summary(gold_table(spark, sf_dir))
+
+
+def q_gold_appends(spark, sf_dir):
+    """A14 + J1-J6: the summary after each append of a run; the second changes it without a scan."""
+    rows = gold_table(spark, sf_dir).rows()
+    grown, out = J.GoldTable(spark, scratch_path(spark, "gold-grown")), []
+    for n, trigger in enumerate(("http_manual", "blob_automatic"), 1):
+        grown.append(rows.where(F.col("trigger") == trigger), n)
+        out.append(J.summary(J.GoldTable(spark, grown.path)).withColumn("appends", F.lit(n)))
+        out[-1] = spark.createDataFrame(out[-1].collect(), out[-1].schema)      # one row, as it is after this append
+    return out[0].unionByName(out[1])
 
 
 def q_gold_score_series(spark, sf_dir):
     """Health score over time with grade zone."""
-    return _fmt_ts(J.score_series(gold_ds(spark, sf_dir)))
+    return _fmt_ts(J.score_series(gold_table(spark, sf_dir).rows()))
 
 
 def q_gold_pii_exposure(spark, sf_dir):
     """PII exposure per file, long form."""
-    return J.pii_exposure(gold_ds(spark, sf_dir))
+    return J.pii_exposure(gold_table(spark, sf_dir))
 
 
 def q_gold_quality_series(spark, sf_dir):
     """Quality score per scan with colour band."""
-    return _fmt_ts(J.quality_series(gold_ds(spark, sf_dir)))
+    return _fmt_ts(J.quality_series(gold_table(spark, sf_dir).rows()))
 
 
 def q_gold_duplicate_series(spark, sf_dir):
     """Duplicate rate over time."""
-    return _fmt_ts(J.duplicate_series(gold_ds(spark, sf_dir)))
+    return _fmt_ts(J.duplicate_series(gold_table(spark, sf_dir).rows()))
 
 
 def q_gold_dimensions(spark, sf_dir):
     """Dimension scores in long form."""
-    return _fmt_ts(J.dimension_scores(gold_ds(spark, sf_dir)))
+    return _fmt_ts(J.dimension_scores(gold_table(spark, sf_dir).rows()))
 
 
 def q_gold_grades(spark, sf_dir):
     """Grade distribution."""
-    return J.grade_distribution(gold_ds(spark, sf_dir))
+    return J.grade_distribution(gold_table(spark, sf_dir))
 
 
 def q_gold_history(spark, sf_dir):
     """Display formatting of the history."""
-    return J.display_history(gold_ds(spark, sf_dir))
+    return J.display_history(gold_table(spark, sf_dir).rows())
 
 
 # ------------------------------------------------------------ other tables
@@ -482,7 +509,6 @@ def q_stream_scan(spark, sf_dir):
     replays are covered by the streaming tests.
     Returns the gold rows the stream appended (without the wall-clock timestamp).
     """
-    from ..session import scratch_path
     from ..streaming.autoscan import autoscan
     stage, out = scratch_path(spark, "stage"), scratch_path(spark, "autoscan")
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang", "n_chars")
@@ -497,7 +523,6 @@ def q_stream_scan(spark, sf_dir):
 
 def q_format_roundtrip(spark, sf_dir):
     """A1-A10: customer -> csv -> (all-string read, numeric promotion) -> parquet -> json -> read back."""
-    from ..session import scratch_path
     cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     p_csv, p_pq, p_js = (scratch_path(spark, n) for n in ("csv", "parquet", "json"))
     A.write_any(table(spark, sf_dir, "customer").select(*cols), p_csv, "csv")
@@ -545,6 +570,7 @@ QUERIES = {
     "protection_status": q_protection_status,
     "gold_rows": q_gold_rows,
     "gold_summary": q_gold_summary,
+    "gold_appends": q_gold_appends,
     "gold_score_series": q_gold_score_series,
     "gold_pii_exposure": q_gold_pii_exposure,
     "gold_quality_series": q_gold_quality_series,

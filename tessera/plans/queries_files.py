@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift as D
+from ..operators import report as K
 from ..session import scratch_path
+from ..sources import csvfiles as CSV
 from ..sources import io as A
-from .oracle_queries import CUSTOMER_CELLS, ORDERS_BEFORE, ORDERS_NOW
-from .queries import BASELINE_AT, table
+from ..streaming.autoscan import autoscan_folder
+from . import pipeline as PL
+from .oracle_queries import CUSTOMER_CELLS, ORDERS_BEFORE, ORDERS_NOW, QUALITY_STRICT
+from .queries import BASELINE_AT, customer_quality_ds, table
 
 
 def folder_name() -> Column:
@@ -89,6 +93,52 @@ def q_csv_file_drift_status(spark, sf_dir) -> DataFrame:
                      "alerts")
 
 
+def q_stream_mixed(spark, sf_dir) -> DataFrame:
+    """M1 + A6 + A11 + A14: customers arrive in three batches, in Parquet, CSV and at last JSON; the last score of each segment.
+
+    One stream over the folder takes every format; a segment's score after its third batch is that of all its rows.
+    """
+    rows = customer_quality_ds(spark, sf_dir)
+    incoming, out = scratch_path(spark, "incoming"), scratch_path(spark, "autoscan")
+    number = F.regexp_extract("name", "([0-9]+)$", 1).cast("bigint")
+    segments = [r[0] for r in rows.select("dataset").distinct().orderBy("dataset").collect()]
+    for batch in range(3):
+        for segment in segments:
+            own = rows.where((F.col("dataset") == segment) & (number % 3 == batch)).drop("dataset")
+            fmt = "csv" if segment == "AUTOMOBILE" else "json" if segment == "BUILDING" and batch == 2 else "parquet"
+            A.write_any(own, f"{incoming}/{segment}", fmt, mode="append")
+        autoscan_folder(spark, incoming, out, profile="function", sensitivity="medium", dataset=folder_name()).awaitTermination()
+    gold = spark.read.parquet(f"{out}/gold")
+    last = gold.groupBy("filename").agg(F.max("batch_id").alias("batch_id"))
+    return gold.join(last, ["filename", "batch_id"]).drop("timestamp", "batch_id")
+
+
+def q_preview_rows(spark, sf_dir) -> DataFrame:
+    """K5: the first 50 rows of every dataset in read order, of files whose rows lie in order of their keys."""
+    path = scratch_path(spark, "preview")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    o.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.partitionBy("o_orderstatus").parquet(path)
+    status = F.regexp_extract(F.col("_metadata.file_path"), "o_orderstatus=([^/]+)/", 1)
+    rows = A.read_ordered(spark, path, "parquet", dataset=status)
+    return K.preview(rows, 50, CSV.READ_ORDER).select("dataset", "row", "o_orderkey", "o_custkey")
+
+
+def q_scan_results(spark, sf_dir) -> DataFrame:
+    """A12 + A13 + I2 + I4: scan documents stored for two runs, listed newest first by file metadata, and the newest loaded."""
+    rows = customer_quality_ds(spark, sf_dir)
+    path = scratch_path(spark, "results")
+    for run, profile in enumerate(("cli", "function")):
+        res = PL.run_scan(rows, profile, "medium")
+        A.write_any(PL.scan_document(res, "medium", trigger=f"run {run}", input_format="parquet", output_format="json"),
+                    f"{path}/run-{run}", "json")
+    newest = A.results_index(spark, path).first()["path"].rsplit("/", 1)[0]
+    doc = A.load_result(spark, newest)
+    return doc.select("file", "trigger", "input_format", "output_format", F.col("shape.rows").alias("rows"), F.col("scores.overall").alias("overall"),
+                      F.col("scores.grade").alias("grade"), F.col("scores.quality").alias("quality_score"),
+                      F.col("quality.failed").alias("failed"), F.size("quality.results").alias("n_checks"),
+                      F.col("protection_status.high_risk_pii_masked_only").alias("masked_only"))
+
+
 def _type_sql(cells: str) -> str:
     """Types of a table (dataset, col, ordinal, val) of text cells."""
     return f"""SELECT dataset, col, ordinal, CASE
@@ -149,13 +199,35 @@ FROM (SELECT DISTINCT dataset FROM cur) d LEFT JOIN s USING (dataset)"""
 _TYPES_BEFORE = f"SELECT dataset, col, dtype FROM ({_type_sql(_BEFORE)})"
 _TYPES_NOW = f"SELECT dataset, col, dtype FROM ({_type_sql(_NOW)})"
 
+_FUNCTION_SCORES = f"""WITH r AS ({QUALITY_STRICT}), q AS (SELECT dataset, any_value(total) AS rows, count(*) AS n_checks, count_if(passed) AS passed,
+  CAST(trunc(count_if(passed)::DOUBLE / count(*) * 100.0::DOUBLE) AS INTEGER) AS quality FROM r GROUP BY dataset),
+ s AS (SELECT *, CAST(trunc(100 * 0.38::DOUBLE + quality * 0.38::DOUBLE + 100 * 0.18::DOUBLE) AS INTEGER) AS overall FROM q),
+ g AS (SELECT *, CASE WHEN overall >= 85 THEN 'A — Healthy' WHEN overall >= 70 THEN 'B — Acceptable' WHEN overall >= 55 THEN 'C — Needs attention'
+  WHEN overall >= 40 THEN 'D — At risk' ELSE 'F — Critical' END AS grade FROM s)"""
+STREAM_MIXED = f"""{_FUNCTION_SCORES}
+SELECT dataset AS filename, 'blob_automatic' AS trigger, CAST(rows AS BIGINT) AS rows, CAST(7 AS BIGINT) AS columns, overall AS health_score, grade,
+  100 AS privacy_score, quality AS quality_score, 100 AS completeness_score, 0 AS high_pii, 0 AS medium_pii, 0 AS low_pii,
+  CAST(n_checks - passed AS INTEGER) AS quality_failed, 0.0::DOUBLE AS duplicate_pct FROM g"""
+SCAN_RESULTS = f"""{_FUNCTION_SCORES}
+SELECT dataset AS file, 'run 1' AS trigger, 'parquet' AS input_format, 'json' AS output_format, CAST(rows AS BIGINT) AS rows,
+  CAST(overall AS BIGINT) AS overall, grade, CAST(quality AS BIGINT) AS quality_score, CAST(n_checks - passed AS BIGINT) AS failed,
+  CAST(n_checks AS INTEGER) AS n_checks, CAST(0 AS BIGINT) AS masked_only FROM g"""
+PREVIEW_ROWS = """SELECT dataset, CAST(row AS INTEGER) AS row, o_orderkey, o_custkey FROM (SELECT o_orderstatus AS dataset,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS row, o_orderkey, o_custkey FROM orders) WHERE row <= 50"""
+
 QUERIES = {
+    "stream_mixed": q_stream_mixed,
+    "preview_rows": q_preview_rows,
+    "scan_results": q_scan_results,
     "csv_file_rows": q_csv_file_rows,
     "csv_file_types": q_csv_file_types,
     "csv_file_drift": q_csv_file_drift,
     "csv_file_drift_status": q_csv_file_drift_status,
 }
 SQL = {
+    "stream_mixed": STREAM_MIXED,
+    "preview_rows": PREVIEW_ROWS,
+    "scan_results": SCAN_RESULTS,
     "drift_changes": drift_sql(ORDERS_BEFORE, ORDERS_NOW),
     "drift_status": drift_status_sql(ORDERS_BEFORE, ORDERS_NOW),
     "type_profile": f'SELECT dataset, col AS "column", ordinal, dtype, row_count FROM ({_type_sql(CUSTOMER_CELLS)})',

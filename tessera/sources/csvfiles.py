@@ -62,6 +62,11 @@ def file_name() -> Column:
     return F.col("_metadata.file_name")
 
 
+def plain_path(file_path: str) -> str:
+    """A path of file metadata (URI-encoded) as a reader takes it: decoded, glob characters escaped."""
+    return "".join("\\" + c if c in GLOB_CHARACTERS else c for c in unquote(file_path))
+
+
 def header_index(spark: SparkSession, paths, glob: str | None = None, dataset: Column | None = None) -> list[File]:
     """The files under ``paths`` with their datasets (default: file name) and headers, in path order."""
     r = spark.read
@@ -72,7 +77,7 @@ def header_index(spark: SparkSession, paths, glob: str | None = None, dataset: C
                      F.col("value"), F.monotonically_increasing_id().alias("at")))
     first = lines.groupBy("path").agg(F.min_by(F.struct(DATASET, "value"), "at").alias("first"))
     rows = sorted((r["path"], r["first"][DATASET], r["first"]["value"]) for r in first.collect())
-    return [File("".join("\\" + c if c in GLOB_CHARACTERS else c for c in unquote(p)), d, header_names(v)) for p, d, v in rows]
+    return [File(plain_path(p), d, header_names(v)) for p, d, v in rows]
 
 
 def null_tokens(df: DataFrame, columns=None, tokens=None) -> DataFrame:
@@ -83,8 +88,21 @@ def null_tokens(df: DataFrame, columns=None, tokens=None) -> DataFrame:
                        for c in df.columns])
 
 
-def string_rows(spark: SparkSession, files: list[File], dataset: Column | None = None, multi_line: bool = False) -> DataFrame:
-    """A1 + A2: the rows of ``files``, every column a string, each file read by its own header."""
+READ_ORDER = "read_order"
+
+
+def read_order() -> Column:
+    """Place of a row in its input: file, split of the file, place in the split - the same under any partitioning."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("place"))
+
+
+def string_rows(spark: SparkSession, files: list[File], dataset: Column | None = None, multi_line: bool = False,
+                ordered: bool = False) -> DataFrame:
+    """A1 + A2: the rows of ``files``, every column a string, each file read by its own header.
+
+    With ``ordered`` their ``read_order`` comes along.
+    """
     by = {}
     for f in files:
         by.setdefault(f.names, []).append(f.path)
@@ -94,11 +112,13 @@ def string_rows(spark: SparkSession, files: list[File], dataset: Column | None =
         rows = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multi_line)
                 .option("escape", '"').option("nullValue", None).csv(paths))
         ds = (file_name() if dataset is None else dataset).alias(DATASET)
-        parts.append(null_tokens(rows.select(*[col(n) for n in names], ds), names))
+        more = [read_order().alias(READ_ORDER)] if ordered else []
+        parts.append(null_tokens(rows.select(*[col(n) for n in names], ds, *more), names))
     if not parts:
         return spark.createDataFrame([], f"`{DATASET}` string")
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return whole.select(*[col(c) for c in whole.columns if c != DATASET], DATASET)
+    last = [DATASET] + [READ_ORDER] * ordered
+    return whole.select(*[col(c) for c in whole.columns if c not in last], *last)
 
 
 def type_counts(columns: list[str]) -> list[Column]:

@@ -9,10 +9,13 @@ all-or-nothing per file with one profiling aggregate (:mod:`.csvfiles`).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..frame import DATASET
+from ..frame import DATASET, col
 from . import csvfiles as CSV
 from .csvfiles import null_tokens  # noqa: F401  (part of this module's interface)
 
@@ -73,18 +76,22 @@ def read_any(spark: SparkSession, path, fmt: str | None = None, promote: bool =
     CSV files may differ in header; a column is numeric here if it is in every
     file that has it.  ``read_groups`` keeps the types of each file.
 
-    JSON: a single ``*.json`` file is read as one document (an array of
-    records, as exported by the original tool); a folder as JSON lines (as
-    Spark writes it).  ``multi_line`` overrides the choice; for CSV it
-    enables quoted fields spanning lines (unsplittable files).
+    JSON: of ``*.json`` files each is read by its own form (``json_forms``): an array
+    of records, as exported by the original tool, or one record per line; a
+    folder as JSON lines (as Spark writes it).  ``multi_line`` overrides the choice; for
+    CSV it enables quoted fields spanning lines (unsplittable files).
     """
     first = path[0] if isinstance(path, (list, tuple)) else path
     fmt = fmt or format_of(first)
     if fmt == "parquet":
         return _with_file_dataset(spark.read.parquet(*([path] if isinstance(path, str) else path)), dataset)
     if fmt == "json":
-        ml = first.lower().endswith(".json") if multi_line is None else multi_line
-        return _with_file_dataset(spark.read.option("multiLine", ml).json(path), dataset)
+        paths = [path] if isinstance(path, str) else list(path)
+        if multi_line is None and first.lower().endswith(".json"):
+            parts = [_with_file_dataset(spark.read.option("multiLine", ml).json(list(own)), dataset)
+                     for ml, own in sorted(json_forms(spark, paths).items())]
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return _with_file_dataset(spark.read.option("multiLine", bool(multi_line)).json(paths), dataset)
     if fmt == "excel":
         raise ValueError("excel is not supported by the Spark readers; convert the file to csv or parquet")
     files = CSV.header_index(spark, path, dataset=dataset)
@@ -92,15 +99,69 @@ def read_any(spark: SparkSession, path, fmt: str | None = None, promote: bool =
     return CSV.cast_to(rows, CSV.united_types(CSV.signatures(spark, files, dataset, bool(multi_line)))) if promote else rows
 
 
+def read_ordered(spark: SparkSession, path, fmt: str | None = None, dataset: Column | None = None) -> DataFrame:
+    """K5: the rows under ``path`` (CSV as text) with ``read_order``, their place in the input."""
+    first = path[0] if isinstance(path, (list, tuple)) else path
+    kind = fmt or format_of(first)
+    if kind == "csv":
+        return CSV.string_rows(spark, CSV.header_index(spark, path, dataset=dataset), dataset, ordered=True)
+    ds = (CSV.file_name() if dataset is None else dataset).alias(DATASET)
+    return spark.read.format(kind).load(path).select("*", ds, CSV.read_order().alias(CSV.READ_ORDER))
+
+
 def read_groups(spark: SparkSession, path, fmt: str | None = None, multi_line: bool | None = None,
                 dataset: Column | None = None) -> list[DataFrame]:
-    """A1-A6 with each file's own columns and types: one DataFrame per distinct schema (CSV; other formats carry theirs)."""
+    """A1-A6 with each file's own columns: one DataFrame per distinct schema.
+
+    CSV files keep their own types too; JSON files are told apart by the columns their dataset has
+    values in (a column that is null throughout a dataset is not there); Parquet is read with the schema it carries.
+    """
     first = path[0] if isinstance(path, (list, tuple)) else path
-    if (fmt or format_of(first)) == "csv":
+    kind = fmt or format_of(first)
+    if kind == "csv":
         return CSV.read_groups(spark, path, dataset, bool(multi_line))
+    if kind == "json":
+        return _json_groups(spark, path, multi_line, dataset)
     return [read_any(spark, path, fmt, multi_line=multi_line, dataset=dataset)]
 
 
+def json_forms(spark: SparkSession, paths, dataset: Column | None = None) -> dict[bool, dict[str, str]]:
+    """Of JSON files, path -> dataset by form: True if the text is one document (an array, or a record over several
+    lines), False if it is a record per line."""
+    lines = (spark.read.text(paths).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+             .select(F.col("_metadata.file_path").alias("path"), (CSV.file_name() if dataset is None else dataset).alias(DATASET),
+                     "value", F.monotonically_increasing_id().alias("at")))
+    first = lines.groupBy("path").agg(F.first(DATASET).alias(DATASET), F.trim(F.min_by("value", "at")).alias("v"))
+    whole = F.col("v").startswith("[") | F.col("v").isin("{")
+    by: dict[bool, dict[str, str]] = {}
+    for r in first.select("path", DATASET, whole.alias("whole")).orderBy("path").collect():      # one row per file, as the listing has
+        by.setdefault(r["whole"], {})[CSV.plain_path(r["path"])] = r[DATASET]
+    return by
+
+
+def _json_groups(spark: SparkSession, paths, multi_line: bool | None, dataset: Column | None) -> list[DataFrame]:
+    """JSON files by form and by the columns their dataset has values in."""
+    out = []
+    for form, files in sorted(json_forms(spark, paths, dataset).items()):
+        ml = form if multi_line is None else multi_line
+
+        def read(own, ml=ml):
+            return _with_file_dataset(spark.read.option("multiLine", ml).json(own), dataset)
+
+        rows = read(list(files))
+        columns = [c for c in rows.columns if c != DATASET]
+        had = rows.groupBy(DATASET).agg(F.lit(0).alias("_"), *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)])
+        by = {}
+        for r in had.collect():                                               # one row per dataset
+            by[r[DATASET]] = tuple(c for i, c in enumerate(columns) if r[f"n{i}"])
+        groups = {}
+        for path, ds in files.items():
+            if ds in by:
+                groups.setdefault(by[ds], []).append(path)
+        out += [read(own).select(*[col(c) for c in names], DATASET) for names, own in groups.items()]
+    return out
+
+
 def write_any(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
               partition_by: list[str] | None = None) -> None:
     """Write csv (header) / parquet / json (one record per line)."""
@@ -125,9 +186,28 @@ def convert(spark: SparkSession, src: str, dst: str, out_fmt: str, in_fmt: str |
     return df
 
 
-def save_clean(df: DataFrame, silver: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Silver (cleansed) data, partitioned by dataset."""
-    write_any(df, silver, fmt, mode=mode, partition_by=[DATASET])
+#: Bytes of cell text per silver file.
+SILVER_FILE_BYTES = 128 << 20
+
+
+def save_clean(df: DataFrame, silver: str, fmt: str = "parquet", mode: str = "append",
+               file_bytes: int = SILVER_FILE_BYTES, sizes: DataFrame | None = None) -> None:
+    """Silver (cleansed) data, partitioned by dataset, in files of about ``file_bytes``.
+
+    The bytes of each dataset decide how many files it gets: a large dataset
+    is dealt to as many tasks by a salt, a small one is written by one.  The number of files
+    is bounded by size, not by tasks x datasets.  ``sizes`` may name a cheaper frame with the same
+    datasets to take the bytes from.
+    """
+    src = df if sizes is None else sizes
+    cells = [F.coalesce(F.octet_length(col(f.name).cast("string")), F.lit(0)) + 1 for f in src.schema.fields
+             if f.name != DATASET and isinstance(f.dataType, (T.AtomicType, T.NullType))]
+    each = reduce(lambda a, b: a + b, cells, F.lit(1)).cast("bigint")
+    files = src.groupBy(DATASET).agg(F.ceil(F.sum(each) / file_bytes).cast("int").alias("_files"))
+    dealt = (df.join(files.withColumnRenamed(DATASET, "_of"), F.col(DATASET).eqNullSafe(F.col("_of")), "left")
+             .withColumn("_salt", F.floor(F.rand(7) * F.coalesce("_files", F.lit(1))).cast("int")).drop("_of", "_files"))
+    out = dealt.repartition(DATASET, "_salt").drop("_salt")
+    write_any(out, silver, fmt, mode=mode, partition_by=[DATASET])
 
 
 def save_results(results: DataFrame, path: str) -> None:
@@ -135,6 +215,19 @@ def save_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
 
 
+def results_index(spark: SparkSession, path: str) -> DataFrame:
+    """The stored scan results, newest first, from file metadata alone (no result is read)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(path)
+    return (files.select(F.col("modificationTime").alias("stored_at"), F.element_at(F.split("path", "/"), -1).alias("stored_file"),
+                         F.col("length").alias("bytes"), "path")
+            .where("bytes > 0").orderBy(F.desc("stored_at"), F.desc("stored_file")))
+
+
+def load_result(spark: SparkSession, path: str) -> DataFrame:
+    """The scan documents of one stored result (a ``path`` of ``results_index``)."""
+    return spark.read.json(path)
+
+
 def results_history(spark: SparkSession, path: str) -> DataFrame:
     """Stored scan documents, newest file first."""
     return (spark.read.json(path)

@@ -6,12 +6,18 @@ silver, alerts, gold), keyed by ``dataset`` = the file the rows came from.  Each
 writes into a ``batch_id=N`` partition with overwrite, so a replayed batch
 (after a failure, from the checkpoint) replaces its own output instead of
 appending twice.  The checkpoint lies under the output root, so a restarted
-stream goes on counting batches and keeps what earlier runs wrote.  The stream is
-stateless: a file always lands whole in one micro-batch.
+stream goes on counting batches and keeps what earlier runs wrote.  A file always lands whole
+in one micro-batch; a dataset of many files may come in several, its score state
+is merged (:mod:`.state`).
+
+``autoscan`` takes the files of one format and schema; ``autoscan_folder`` takes files of any
+supported format as they arrive.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +29,7 @@ from ..operators import remediate as R
 from ..operators import score as I
 from ..plans import pipeline as PL
 from ..sources import io as A
+from .state import BatchState
 
 CONF_SENSITIVITY = "spark.tessera.autoscan.sensitivity"
 CONF_OUTPUT_FORMAT = "spark.tessera.autoscan.outputFormat"
@@ -50,36 +57,65 @@ def run_options(spark: SparkSession, input_format: str, sensitivity=None, output
 def process_batch(batch: DataFrame, batch_id: int, out_root: str, opts: dict, profile="function",
                   key: str | None = None, promote: bool = False, trigger: str = "blob_automatic",
                   input_format: str = "csv") -> None:
-    """One micro-batch: scan, remediate and write every sink for this batch id."""
+    """One micro-batch of one schema: scan, remediate and write every sink for this batch id."""
     raw = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        batch = A.promote_numeric(raw) if promote else raw
-        # the surrogate row key is fixed once, on the persisted batch
-        batch, key = frame.with_row_key(batch, key)
-        res = PL.run_scan(batch, profile, opts["sensitivity"], key=key)
-        # the scores feed three sinks and the findings two: keep both for this batch
-        res.findings = res.findings.persist(StorageLevel.MEMORY_AND_DISK)
-        res.scores = res.scores.persist(StorageLevel.MEMORY_AND_DISK)
-        enc_key: Column | None = R.encryption_key(batch.sparkSession) if opts["encrypt"] else None
-        part = f"batch_id={batch_id}"
-        doc = PL.scan_document(res, opts["sensitivity"], trigger=trigger, input_format=input_format,
-                               output_format=opts["output_format"], encrypted=opts["encrypt"])
-        doc.write.mode("overwrite").json(f"{out_root}/results/{part}")                          # A12
-        PL.stored_findings(res).write.mode("overwrite").parquet(f"{out_root}/findings/{part}")  # D1, all of them
-        clean = R.remediate(batch, profile, opts["sensitivity"], key=key, encrypt_key=enc_key)
-        if key == frame.ROW_KEY:
-            clean = clean.drop(frame.ROW_KEY)
-        A.write_any(clean, f"{out_root}/silver/{part}", opts["output_format"], mode="overwrite",
-                    partition_by=[DATASET])                                                     # A11
-        I.alerts(res.scores, opts["threshold"]).write.mode("overwrite").parquet(f"{out_root}/alerts/{part}")  # K4
-        J.gold_rows(res.scores, trigger=trigger).write.mode("overwrite").parquet(f"{out_root}/gold/{part}")  # A14
+        process_groups([(input_format, A.promote_numeric(raw) if promote else raw)], batch_id, out_root, opts, profile, key, trigger)
     finally:
-        for d in ("findings", "scores"):
-            if "res" in locals():
-                getattr(res, d).unpersist()
         raw.unpersist()
 
 
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def process_groups(groups: list[tuple[str, DataFrame]], batch_id: int, out_root: str, opts: dict, profile="function",
+                   key: str | None = None, trigger: str = "blob_automatic") -> None:
+    """One micro-batch of (input format, frame) parts of any schemas: one scan each, one set of sinks for all.
+
+    Scores, alerts and gold rows cover all batches a dataset came with (``BatchState``); findings and silver
+    rows are those of this batch, silver without rows that an earlier batch held.
+    """
+    spark = groups[0][1].sparkSession
+    root, part = out_root.rstrip("/"), f"batch_id={batch_id}"
+    enc_key: Column | None = R.encryption_key(spark) if opts["encrypt"] else None
+    held, results, docs, silver = [], [], [], {}
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
+    try:
+        for i, (fmt, df) in enumerate(groups):
+            # the surrogate row key is fixed once, on the persisted batch
+            batch, k = frame.with_row_key(df, key if key in df.columns else None)
+            batch = hold(batch)
+            state = BatchState(f"{root}/_state", batch_id, i)
+            res = PL.run_scan(batch, profile, opts["sensitivity"], key=k, state=state)
+            # the scores feed three sinks and the findings two: keep both for this batch
+            res.findings, res.scores = hold(res.findings), hold(res.scores)
+            output = opts["output_format"] or fmt
+            docs.append(PL.scan_document(res, opts["sensitivity"], trigger=trigger, input_format=fmt,
+                                         output_format=output, encrypted=opts["encrypt"]))
+            clean = R.remediate(state.unseen(batch, k), profile, opts["sensitivity"], key=k, encrypt_key=enc_key)
+            silver.setdefault(output, []).append((clean.drop(frame.ROW_KEY) if k == frame.ROW_KEY else clean, batch))
+            results.append(res)
+        scores = _united([r.scores for r in results])
+        _united(docs).write.mode("overwrite").json(f"{root}/results/{part}")                                            # A12
+        found = _united([PL.stored_findings(r).withColumn("row_key", F.col("row_key").cast("string")) if len(results) > 1
+                         else PL.stored_findings(r) for r in results])
+        found.write.mode("overwrite").parquet(f"{root}/findings/{part}")                                                # D1, all
+        for output, parts in silver.items():
+            path = f"{root}/silver/{part}" if len(silver) == 1 else f"{root}/silver/{part}/format={output}"
+            A.save_clean(_united([c for c, _ in parts]), path, output, mode="overwrite",
+                         sizes=_united([b.drop(frame.ROW_KEY) for _, b in parts]))                                      # A11
+        I.alerts(scores, opts["threshold"]).write.mode("overwrite").parquet(f"{root}/alerts/{part}")                    # K4
+        J.GoldTable(spark, f"{root}/gold").append(J.gold_rows(scores, trigger=trigger), batch_id)                       # A14
+    finally:
+        for df in held:
+            df.unpersist()
+
+
 def autoscan(spark: SparkSession, incoming: str, out_root: str, input_format: str = "csv", schema=None,
              profile="function", key: str | None = None, dataset: Column | None = None,
              sensitivity=None, output_format=None, encrypt=None, available_now: bool = True,
@@ -91,12 +127,11 @@ def autoscan(spark: SparkSession, incoming: str, out_root: str, input_format: st
     (e.g. the partition column the dataset was taken from).  CSV is read all-string
     and promoted per micro-batch (A1-A3).  ``available_now`` processes what is
     there and stops; otherwise ``processing_time`` keeps polling.  Only files of
-    ``input_format`` are taken (``autoscan_folder`` runs one stream per format).
+    ``input_format`` are taken; CSV files must have one header (``autoscan_folder`` takes any).
     """
     opts = run_options(spark, input_format, sensitivity, output_format, encrypt)
     if schema is None:
-        schema = (A.read_csv_strings(spark, incoming, dataset_from_file=False, multi_line=multi_line,
-                                     glob=glob_of(input_format)).schema
+        schema = (A.read_csv_strings(spark, incoming, multi_line=multi_line, glob=glob_of(input_format)).drop(DATASET).schema
                   if input_format == "csv"
                   else spark.read.option("pathGlobFilter", glob_of(input_format)).format(input_format)
                   .load(incoming).schema)
@@ -122,11 +157,37 @@ def autoscan(spark: SparkSession, incoming: str, out_root: str, input_format: st
     return writer.start()
 
 
-def autoscan_folder(spark: SparkSession, incoming: str, out_root: str, **options) -> dict:
-    """M1 over a folder of mixed formats: one stream, and one output folder, for each format found in it."""
-    started = {}
-    for fmt in FORMATS:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", glob_of(fmt)).load(incoming)
-        if files.select("path").limit(1).collect():
-            started[fmt] = autoscan(spark, incoming, f"{out_root.rstrip('/')}/{fmt}", input_format=fmt, **options)
-    return started
+LISTING = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def autoscan_folder(spark: SparkSession, incoming: str, out_root: str, profile="function", key: str | None = None,
+                    dataset: Column | None = None, sensitivity=None, output_format=None, encrypt=None,
+                    available_now: bool = True, processing_time: str | None = None,
+                    max_files_per_trigger: int | None = None, checkpoint: str | None = None, multi_line: bool = False):
+    """M1 + A6 over a folder of any formats, whenever they arrive: one stream and one set of sinks.
+
+    The stream lists files (their contents are not read by it); within a batch the listed
+    paths go to the reader of their extension, CSV files each by its own header
+    and types.  ``dataset`` (default: the file's name) may be any expression of the file's
+    metadata, e.g. its folder; a dataset may come in any number of batches.
+    Returns the ``StreamingQuery``.
+    """
+    opts = run_options(spark, "", sensitivity, output_format, encrypt)
+    glob = "*.{" + ",".join(x for f in FORMATS for x in (f, f.upper())) + "}"
+    reader = spark.readStream.format("binaryFile").schema(LISTING).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        by = {}
+        for r in batch.select("path").where("length > 0").orderBy("path").collect():        # the batch's file listing
+            by.setdefault(A.format_of(r["path"]), []).append(A.CSV.plain_path(r["path"]))
+        groups = [(fmt, g) for fmt, paths in by.items()
+                  for g in A.read_groups(batch.sparkSession, paths, fmt, multi_line=multi_line or None, dataset=dataset)]
+        if groups:
+            process_groups(groups, batch_id, out_root, opts, profile, key)
+
+    writer = (reader.load(incoming).select("path", "length").writeStream
+              .option("checkpointLocation", checkpoint or f"{out_root.rstrip('/')}/_checkpoint").foreachBatch(run))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time or "1 minute")
+    return writer.start()

@@ -97,18 +97,112 @@ def test_restart_keeps_history_and_stores_every_finding(spark, tmp_path):
     assert (doc.input_format, doc.output_format, doc.protection_status.high_risk_pii_masked_only) == ("csv", "csv", 20)
 
 
-def test_mixed_folder_runs_one_stream_per_format(spark, tmp_path):
+def test_formats_that_arrive_later_are_scanned_into_one_gold_table(spark, tmp_path):
+    from tessera.operators.gold import GoldTable
     from tessera.streaming.autoscan import autoscan_folder
     inc, out = tmp_path / "in", str(tmp_path / "out")
     inc.mkdir()
     (inc / "a.csv").write_text("id,notes\n1,SSN 372-88-3412\n")
-    (inc / "b.json").write_text('{"k": 1, "remark": "call 415-555-0199", "more": 2}\n{"k": 2, "remark": "x", "more": 3}\n')
-    started = autoscan_folder(spark, str(inc), out, sensitivity="medium")
-    for q in started.values():
-        q.awaitTermination()
-    assert sorted(started) == ["csv", "json"]
-    gold = [(r.filename, r.rows, r.columns) for f in started for r in spark.read.parquet(f"{out}/{f}/gold").collect()]
-    assert sorted(gold) == [("a.csv", 1, 2), ("b.json", 2, 3)]
+    (inc / "b.csv").write_text("notes,more,id\nx,7,1\ny,unknown,2\n")
+    (inc / "notes.txt").write_text("no table")
+    q = autoscan_folder(spark, str(inc), out, sensitivity="medium", available_now=False, processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        (inc / "b.json").write_text('{"k": 1, "remark": "call 415-555-0199", "more": 2}\n{"k": 2, "remark": "x", "more": 3}\n')
+        (inc / "c.JSON").write_text('[{"k": 1, "remark": "a"},\n {"k": 2, "remark": "b"}, {"k": 3}]')
+        spark.range(4).coalesce(1).write.parquet(str(tmp_path / "staged"))
+        part = next(p for p in os.listdir(tmp_path / "staged") if p.endswith(".parquet"))
+        shutil.copy(tmp_path / "staged" / part, inc / "d.parquet")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    gold = GoldTable(spark, f"{out}/gold").rows().collect()
+    rows = sorted((r.filename, r.rows, r.columns) for r in gold)
+    assert [x for x in rows if x[0] != "d.parquet"] == [("a.csv", 1, 2), ("b.csv", 2, 3), ("b.json", 2, 3), ("c.JSON", 3, 2)]
+    assert [r.timestamp for r in gold] == sorted(r.timestamp for r in gold)
+    docs = {r.file: (r.input_format, r.output_format) for r in spark.read.json(f"{out}/results").collect()}
+    assert docs["a.csv"] == ("csv", "csv") and docs["b.json"] == ("json", "json") and docs["d.parquet"] == ("parquet", "parquet")
+
+
+def test_a_dataset_split_over_batches_scores_as_in_one(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tessera.plans.pipeline import run_scan
+    from tessera.streaming.autoscan import autoscan_folder, process_groups, run_options
+    rows = [(k % 11, f"P{k % 7}", "SSN 372-88-3412" if k % 9 == 0 else f" Row {k % 6} ", "bad" if k % 4 == 0 else "a@b.de", k % 5 - 1) for k in range(60)]
+    rows[30:36], rows[50:56] = rows[2:8], rows[24:30]                          # repeats within and across batches
+    whole = spark.createDataFrame(rows, "customer_id long, name string, notes string, email string, amount long").withColumn("dataset", F.lit("s"))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/[^/]+$", 1)
+    inc, out = tmp_path / "in", str(tmp_path / "out")
+    for k in range(3):
+        part = spark.createDataFrame(rows[k * 20:k * 20 + 20], whole.drop("dataset").schema)
+        part.coalesce(2).write.mode("append").format(("json", "parquet", "json")[k]).save(str(inc / "s"))
+        autoscan_folder(spark, str(inc), out, profile="cli", sensitivity="medium", dataset=folder).awaitTermination()
+    want = run_scan(whole, "cli", "medium").scores.first()
+    last = spark.read.parquet(f"{out}/gold").orderBy(F.desc("timestamp")).first()
+    assert last.filename == "s"
+    assert (last.rows, last.health_score, last.privacy_score, last.quality_score, last.completeness_score, last.high_pii, last.medium_pii,
+            last.quality_failed, last.duplicate_pct) == (60, want.overall, want.privacy, want.quality, want.completeness, want.pii_high,
+                                                         want.pii_medium, want.failed, want.duplicate_pct)
+    doc = spark.read.json(f"{out}/results").orderBy(F.desc("scanned_at")).first()
+    assert (doc.duplicates.exact_duplicates, doc.duplicates.near_duplicates) == (want.exact_duplicates, want.near_duplicates)
+    assert want.exact_duplicates == 12
+    # a replay of the last batch changes nothing
+    before = spark.read.parquet(f"{out}/gold").drop("timestamp").collect()
+    last_id = max(r.batch_id for r in before)
+    replay = spark.createDataFrame(rows[40:], whole.drop("dataset").schema).withColumn("dataset", F.lit("s"))
+    replay = replay.select(*sorted(c for c in replay.columns if c != "dataset"), "dataset")
+    process_groups([("json", replay)], last_id, out, run_options(spark, "json", sensitivity="medium"), "cli")
+    assert sorted(map(tuple, spark.read.parquet(f"{out}/gold").drop("timestamp").collect())) == sorted(map(tuple, before))
+
+
+def test_silver_files_are_bounded_by_size(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tessera.sources.io import save_clean
+    df = spark.range(4000, numPartitions=8).select(
+        F.when(F.col("id") < 3000, "big").otherwise(F.concat(F.lit("small"), (F.col("id") % 5).cast("string"))).alias("dataset"),
+        "id", F.lit("x" * 50).alias("text"))
+    path = str(tmp_path / "silver")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")         # else small files are put together further
+    try:
+        save_clean(df, path, file_bytes=60_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.format("binaryFile").load(path + "/*").select("path").collect()
+    by = {}
+    for r in files:
+        name = r.path.split("dataset=")[1].split("/")[0]
+        by[name] = by.get(name, 0) + 1
+    assert by.pop("big") in (3, 4) and by == {f"small{k}": 1 for k in range(5)}
+    assert spark.read.parquet(path).count() == 4000
+
+
+def test_gold_table_merges_states_and_survives_a_lost_one(spark, tmp_path):
+    import random
+    from tessera.operators.gold import GOLD_COLUMNS, GoldTable
+    rng = random.Random(2)
+    grades = ["A — Healthy", "B — Acceptable", "F — Critical"]
+    table, rows = GoldTable(spark, str(tmp_path / "gold")), []
+    schema = spark.read.option("header", True).csv(os.path.join(FIX, "metrics_check.csv")).columns
+    assert schema == GOLD_COLUMNS
+    kinds = ("timestamp string, filename string, trigger string, rows bigint, columns bigint, health_score int, grade string, privacy_score int, "
+             "quality_score int, completeness_score int, high_pii int, medium_pii int, low_pii int, quality_failed int, duplicate_pct double")
+    for batch in range(4):
+        own = [(f"2026-0{rng.randint(1, 3)}-1{rng.randint(0, 9)} 0{rng.randint(0, 9)}:00:{batch}{k}", f"f{rng.randint(0, 2)}.csv", "t", 5, 3, rng.randint(0, 100),
+                rng.choice(grades), 1, rng.randint(0, 100), 1, rng.randint(0, 4), 1, 0, 2, 1.5) for k in range(5)]
+        rows += own
+        frame = spark.createDataFrame(own, kinds).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        table.append(frame, batch)
+        table.append(frame, batch)                            # a replay
+        ordered = sorted(rows)
+        s = J.summary(table).first()
+        assert (s.total_scans, s.total_high_pii, s.last_score, s.trend) == (
+            len(rows), sum(r[10] for r in rows), ordered[-1][5], ordered[-1][5] - ordered[0][5])
+        assert s.avg_health_score == J.summary(table.rows()).first().avg_health_score
+    shutil.rmtree(str(tmp_path / "gold_days" / "batch_id=2"))                       # the states of one append were never written
+    assert J.summary(table).first() == J.summary(table.rows()).first()
+    assert J.grade_distribution(table).collect() == J.grade_distribution(table.rows()).collect()
+    assert sorted(J.pii_exposure(table).collect()) == sorted(J.pii_exposure(table.rows()).collect())
+    assert [r.timestamp for r in table.rows().collect()] == sorted(r.timestamp for r in table.rows().collect())
 
 
 def test_missing_rule_file_is_an_error(tmp_path):
