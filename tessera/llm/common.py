@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,14 @@ def text_bytes(col: str | Column = "text") -> Column:
 def same(a: Column, b: Column) -> Column:
     """Equality under which null equals null (still a hash or sort-merge join key)."""
     return a.eqNullSafe(b)
+
+
+def matching(docs: DataFrame, kept: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` equal a row of ``kept`` (its columns in order, null equal to null).
+
+    The columns of ``docs`` travel as one struct, so their names cannot clash with anything.
+    """
+    left = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *(k.alias(f"key{i}") for i, k in enumerate(keys)))
+    right = kept.toDF(*(f"kept{i}" for i in range(len(keys))))
+    on = reduce(lambda a, b: a & b, (same(F.col(f"key{i}"), F.col(f"kept{i}")) for i in range(len(keys))))
+    return left.join(right, on, "left_semi").select("row.*")

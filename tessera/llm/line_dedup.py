@@ -56,7 +56,7 @@ def covered_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 def line_dedup(docs: DataFrame, width: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, text without the repeated lines, n_lines, n_removed, and the columns ``keep``."""
     own = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"),
-                      F.struct(F.lit(0).alias("_"), *keep).alias("others"))
+                      (F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None)).alias("others"))
     hits = covered_lines(own.where(F.col("text").isNotNull()).select("id", "th", "text"), width).select(
         F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "starts")
     joined = own.join(hits, same(F.col("id"), F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")

@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, same
+from .common import matching, materialise, prepare
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
@@ -63,8 +63,9 @@ def telling_words(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     chosen = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "toxic")
               .orderBy("h", "doc_id").limit(train_rows)
               .select(F.col("doc_id").alias("l_id"), "toxic"))
-    rows = docs.where("text IS NOT NULL").join(chosen, F.col("doc_id") == F.col("l_id"))
-    split = rows.select("toxic", _words(F.col("text")).alias("words"))
+    rows = (docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+            .join(F.broadcast(chosen), F.col("id") == F.col("l_id")))                # train_rows pairs at most: no text is shuffled
+    split = materialise(rows.select("toxic", _words(F.col("text")).alias("words")), "mixing-training")
     words = (split.select(F.monotonically_increasing_id().alias("row"), "toxic", F.explode("words").alias("w")).where("length(w) > 2")
              .groupBy("row", "toxic", "w").agg(F.count("*").alias("times")))
     by = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"),
@@ -244,5 +245,5 @@ def keep_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     """``docs`` drawn once at most, at chances that bring the kept tokens to the targets (by a hash of the row)."""
     rows = _domains(docs, labels)
     drawn = F.pmod(F.xxhash64("id", "th", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    kept = rows.where(drawn < fit_chances(rows, targets or TARGETS)).select(F.col("id").alias("k_id"), F.col("th").alias("k_th")).distinct()
-    return docs.join(kept, same(docs["doc_id"], F.col("k_id")) & (F.xxhash64(docs["text"]) == F.col("k_th")), "left_semi")
+    kept = rows.where(drawn < fit_chances(rows, targets or TARGETS)).select("id", "th").distinct()
+    return matching(docs, kept, [docs["doc_id"], F.xxhash64(docs["text"])])

@@ -7,10 +7,12 @@ statistics, and each (language, source) group gets a minimum-covariance-determin
 estimate of centre and scatter; documents whose Mahalanobis distance exceeds
 ``CUTOFF`` are rejected.
 
-The estimate is made by concentration steps over all rows, as Spark aggregates: start from
-medians and median deviations, keep the ``KEEP`` share of rows nearest to the
+The estimate is made by concentration steps over all rows, as Spark aggregates: from each of three
+deterministic starts (medians with median deviations; means with covariances; medians with
+sign correlations) keep the ``KEEP`` share of rows nearest to the
 current estimate (their distance quantile is a mergeable sketch), take the mean
-and covariance of those, repeat.  Every step is a map-side combined aggregate
+and covariance of those, and repeat, ``STEPS`` times in all; a step never raises the determinant.  Of the three the
+one whose covariance has the least determinant is the estimate.  Every step is a map-side combined aggregate
 per group, so a source with a third of all rows is summed in parts; no group's
 rows ever meet in one task.  Groups under ``MIN_ROWS`` rows use the estimate of their
 language, and if that is small too the one of the whole table; with fewer than that in
@@ -34,14 +36,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import materialise, prepare, same, text_bytes
+from .common import matching, materialise, prepare, same, text_bytes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP = 0.75
 STEPS = 3
+SHRINK = 0.9                   # of sign correlations
 MIN_ROWS = 200
 #: Squared robust distance above which a document is rejected.  Five normal statistics exceed 50 once in 10^9;
 #: real statistics have longer tails, and a clean document must not go, hence twice that.
@@ -132,29 +135,62 @@ def _distance():
     return reduce(lambda a, b: a + b, (d[i] * d[j] * F.col("inverse")[i * DIMS + j] for i in range(DIMS) for j in range(DIMS)))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _inverse(cov: pd.Series) -> pd.Series:
+SHAPE = StructType([StructField("inverse", ArrayType(DoubleType())), StructField("logdet", DoubleType())])
+
+
+@F.pandas_udf(SHAPE)
+def _shape(cov: pd.Series) -> pd.DataFrame:
+    """Inverse and log determinant of scatter matrices (with the floor added)."""
     floor = np.diag(np.square(FLOOR))
-    return cov.map(lambda c: np.linalg.inv(np.asarray(c, float).reshape(DIMS, DIMS) + floor).ravel())
+    made = [np.asarray(c, float).reshape(DIMS, DIMS) + floor for c in cov]
+    return pd.DataFrame({"inverse": [np.linalg.inv(m).ravel() for m in made], "logdet": [float(np.linalg.slogdet(m)[1]) for m in made]})
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """level, g_lang, g_source, start, rows, centre, cov: the three starts of every group.
+
+    0: medians and median deviations; 1: means and covariances; 2: medians, median deviations and the signs'
+    correlations (sin of half pi times the mean product of signs), shrunk to a definite matrix.
+    """
+    xs = [f"x{i}" for i in range(DIMS)]
+    pairs = [(i, j) for i in range(DIMS) for j in range(DIMS)]
+    first = rows.groupBy(*GROUP).agg(F.count("*").alias("rows"), F.array(*(F.percentile_approx(x, 0.5) for x in xs)).alias("median"),
+                                     F.array(*(F.avg(x) for x in xs)).alias("mean"), F.array(*(F.covar_pop(xs[i], xs[j]) for i, j in pairs)).alias("cov"))
+    sign = [F.signum(F.col(x) - F.col("median")[i]) for i, x in enumerate(xs)]
+    dev = _with(rows, first).groupBy(*GROUP, "rows", "median", "mean", "cov").agg(
+        F.array(*(F.percentile_approx(F.abs(F.col(x) - F.col("median")[i]), 0.5) for i, x in enumerate(xs))).alias("mad"),
+        F.array(*(F.avg(sign[i] * sign[j]) for i, j in pairs)).alias("signs"))
+    scale = [F.col("mad")[i] * 1.4826 for i in range(DIMS)]
+    plain = F.array(*(F.pow(scale[i], 2) if i == j else F.lit(0.0) for i, j in pairs))
+    signed = F.array(*(F.pow(scale[i], 2) if i == j else SHRINK * scale[i] * scale[j] * F.sin(F.col("signs")[DIMS * i + j] * (np.pi / 2)) for i, j in pairs))
+    made = F.array(*(F.struct(F.lit(k).alias("start"), c.alias("centre"), v.alias("cov"))
+                     for k, (c, v) in enumerate(((F.col("median"), plain), (F.col("mean"), F.col("cov")), (F.col("median"), signed)))))
+    return dev.select(*GROUP, "rows", F.explode(made).alias("s")).select(*GROUP, "s.start", "rows", "s.centre", "s.cov")
 
 
 def fit(rows: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
-    """level, g_lang, g_source, rows, centre, inverse, scale: one robust estimate per group."""
+    """level, g_lang, g_source, rows, centre, inverse, scale: one robust estimate per group.
+
+    Every start of a group is concentrated ``steps`` times; the one whose scatter then has the least
+    determinant is the estimate.  All groups and starts go through each step together.
+    """
     rows = materialise(_levels(rows), "quality-vectors")
     xs = [f"x{i}" for i in range(DIMS)]
+    key = [*GROUP, "start", "rows"]
     flat = lambda f: F.array(*(f(xs[i], xs[j]) for i in range(DIMS) for j in range(DIMS)))
-    start = rows.groupBy(*GROUP).agg(F.count("*").alias("rows"), F.array(*(F.percentile_approx(x, 0.5) for x in xs)).alias("centre"))
-    dev = _with(rows, start).groupBy(*GROUP, "rows", "centre").agg(
-        F.array(*(F.percentile_approx(F.abs(F.col(x) - F.col("centre")[i]), 0.5) for i, x in enumerate(xs))).alias("mad"))
-    spread = F.flatten(F.array(*(F.array(*(F.pow(F.col("mad")[i] * 1.4826, 2) if i == j else F.lit(0.0) for j in range(DIMS)))
-                                 for i in range(DIMS))))
-    model = materialise(dev.select(*GROUP, "rows", "centre", _inverse(spread).alias("inverse")), "quality-model")
+
+    def model_of(df: DataFrame) -> DataFrame:
+        return materialise(df.withColumn("shape", _shape("cov")).select(*key, "centre", F.col("shape.inverse").alias("inverse"),
+                                                                        F.col("shape.logdet").alias("logdet")), "quality-model")
+
+    model = model_of(_starts(rows))
     for _ in range(steps):
-        cut = _with(rows, model).groupBy(*GROUP, "rows", "centre", "inverse").agg(F.percentile_approx(_distance(), keep).alias("cut"))
+        cut = _with(rows, model).groupBy(*key, "centre", "inverse").agg(F.percentile_approx(_distance(), keep).alias("cut"))
         near = _with(rows, cut).where(_distance() <= F.col("cut"))
-        cov = near.groupBy(*GROUP, "rows").agg(F.array(*(F.avg(x) for x in xs)).alias("centre"), flat(F.covar_pop).alias("cov"))
-        model = materialise(cov.select(*GROUP, "rows", "centre", _inverse("cov").alias("inverse")), "quality-model")
-    half = _with(rows, model).groupBy(*GROUP, "rows", "centre", "inverse").agg(F.percentile_approx(_distance(), 0.5).alias("half"))
+        model = model_of(near.groupBy(*key).agg(F.array(*(F.avg(x) for x in xs)).alias("centre"), flat(F.covar_pop).alias("cov")))
+    best = model.groupBy(*GROUP, "rows").agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("b"))
+    best = materialise(best.select(*GROUP, "rows", "b.centre", "b.inverse"), "quality-model")
+    half = _with(rows, best).groupBy(*GROUP, "rows", "centre", "inverse").agg(F.percentile_approx(_distance(), 0.5).alias("half"))
     # the half nearest to the centre makes the scatter too small: scale distances to the median they should have
     return materialise(half.select(*GROUP, "rows", "centre", "inverse",
                                    F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "quality-model")
@@ -184,8 +220,5 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns unchanged."""
-    kept = quality(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"),
-                                              F.col("lang").alias("k_lang"), F.col("source").alias("k_source"))
-    on = (same(docs["doc_id"], F.col("k_id")) & (F.xxhash64(docs["text"]) == F.col("k_th"))
-          & same(docs["lang"].cast("string"), F.col("k_lang")) & same(docs["source"].cast("string"), F.col("k_source")))
-    return docs.join(kept, on, "left_semi")
+    kept = quality(docs).where("kept").select("doc_id", "th", "lang", "source")
+    return matching(docs, kept, [docs["doc_id"], F.xxhash64(docs["text"]), docs["lang"].cast("string"), docs["source"].cast("string")])

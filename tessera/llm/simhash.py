@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, text_bytes
+from .common import matching, materialise, prepare, text_bytes
 
 SHINGLE = 3
 RADIUS = 2
@@ -67,16 +67,17 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint, as a signed long, of every row of ``docs``."""
+    """(doc_id, th, fp): hash of the text and fingerprint, as a signed long, of every row of ``docs``."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, width) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes("text").alias("raw")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), text_bytes("text").alias("raw")).mapInArrow(
+        run, f"doc_id {kind}, th bigint, fp bigint")
 
 
 def _planes(fp: np.ndarray, extra: int) -> np.ndarray:
@@ -220,22 +221,36 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs`` (doc_id, text)."""
+def _named(docs: DataFrame, width: int, radius: int, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """Prints (doc_id, th, fp) of every row, and for every fingerprint (``of``) its component: root and least id."""
     prints = materialise(fingerprints(docs, width), "simhash-prints")
     groups = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
     roots = components(links(groups.select("fp"), radius, heavy), "simhash-links")
     named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = materialise(named.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "simhash-table")
+    return prints, materialise(named.join(least, "root").select(F.col("fp").alias("of"), "root", "component_id"), "simhash-table")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs`` (doc_id, text)."""
+    prints, table = _named(docs, width, radius, heavy)
     return prints.join(table, prints.fp == table.of).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names their component; a null id, and one of repeated rows, is kept too."""
-    found = near_duplicates(docs, width, radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    unnamed = docs.where(F.col("doc_id").isNull())
-    return named.unionByName(unnamed)
+    """One row of ``docs`` per component: the one with the smallest id (a null id last), of several the smallest text hash.
+
+    Of rows that are alike in id and text any one stays, whatever their other columns hold.
+    """
+    prints, table = _named(docs, width, radius, HEAVY)
+    rows = prints.join(table.select("of", "root"), prints.fp == table.of).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    best = materialise(rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "th", "n"), order).alias("b")).select("b.*"), "simhash-kept")
+    keys = [docs["doc_id"], F.xxhash64(docs["text"])]
+    alone = matching(docs, best.where("n = 1").select("doc_id", "th"), keys)
+    repeated = matching(docs, best.where("n > 1").select("doc_id", "th"), keys)
+    row = F.struct(*[repeated[f"`{c}`"] for c in repeated.columns]).alias("row")
+    one = (repeated.select(row, repeated["doc_id"].alias("id"), F.xxhash64(repeated["text"]).alias("th"))
+           .dropDuplicates(["id", "th"]).select("row.*"))
+    return alone.unionByName(one)

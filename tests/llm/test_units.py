@@ -143,7 +143,7 @@ def test_minhash_estimates_jaccard():
 
 def test_quality_counts():
     text = "a b c\na b c\n\n \nd é# a b c\n$ x"
-    assert quality.counts(text.encode()) == (11, 12, 2, 1, 9)
+    assert quality.counts(text.encode()) == (13, 14, 2, 1, 9)
     assert quality.counts(b"") == (0, 0, 0, 0, 0)
 
 
