@@ -120,6 +120,12 @@ def sort_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(pii.risk_rank(F.col("risk")), "column", "row_key", "match_idx")
 
 
+def ranked_findings(findings: DataFrame) -> DataFrame:
+    """D2 as a column: ``position`` of each finding in the report order of its dataset."""
+    w = Window.partitionBy(DATASET).orderBy(pii.risk_rank(F.col("risk")), "column", "row_key", "match_idx")
+    return findings.withColumn("position", F.row_number().over(w))
+
+
 def count_by_type(findings: DataFrame) -> DataFrame:
     """D3 + D4: instances per type and the dominant (worst) risk of the type."""
     return (findings.groupBy(DATASET, "pii_type")
