@@ -1,21 +1,19 @@
 """Adaptive context-mixing range coder for token ids.
 
 A block of ids is coded on its own: all model state is reset at its start, and
-its header holds a checksum of its ids.  Ids under 65,536 are coded one by one:
+its header holds a checksum of its ids.  Ids under 65,536 are coded one by one.
+Three predictions are mixed, each with a weight that follows how often it has been right:
 
 * order 2 and order 1 look up the id that followed the last two ids, or the last
   one, in small hashed tables, each entry with a confidence;
-* an order's chance of being right follows from the confidence, and the orders
-  are mixed by adaptive weights that follow which of them has been right lately;
-  what the mixture leaves goes to order 0, the ids seen lately whatever came
-  before them, kept in a table by their low bits;
-* an id that order 0 offers is coded by its place in the table, any other by its
-  16 bits; how likely order 0 is right is learned too.
+* order 0 gives every id met in the block a probability by how often it has been met: counts in
+  hashed slots, summed in three levels (a tree of 16 x 8 x 8 slots).
 
+What the mixture leaves is the escape: an id new to the block, coded by its 16 bits.
 The probabilities drive a carry-less range coder with a 48-bit low and 16-bit
 output words.  Blocks do not depend on each other, so many of them ("lanes") are coded
 and decoded in step, one numpy operation for all; coding one lane or a thousand gives
-the same bytes.  All arithmetic is in integers.
+the same bytes.  Counts are whole numbers in 32-bit floats, whose sums are exact; all other arithmetic is in integers.
 """
 
 from __future__ import annotations
@@ -27,9 +25,14 @@ import numpy as np
 
 MAGIC = b"TCMR"
 HEADER = struct.Struct("<4sIII")           # magic, ids, crc32 of the ids as little-endian 32-bit, crc32 of the words
-TABLE = 9                                  # bits of the order-1, order-2 and recent-id tables
+TABLE = 9                                  # bits of the order-1 and order-2 tables, and of the parts of a 16-bit unit
+# order 0: 16 parts of a block's slots, 8 of a part, 8 slots of those
+SLOTS = 1024
+MOST = 1 << 12                             # ids of a block at most: order 0's share of the range holds them all
 ONE = 4096                                 # a probability or weight of one
 RIGHT = np.array([3500 * (c + 1) // (c + 4) for c in range(16)], np.int32)     # chance of a prediction by its confidence
+ONCE = np.float32(1)
+OVER = np.triu(np.ones((16, 16), np.float32), 1)                       # counts @ OVER: the sums before each place
 LOW = np.uint64((1 << 48) - 1)
 TOP, BOTTOM = np.uint64(1 << 32), np.uint64(1 << (16 + TABLE))
 SHIFT = np.uint64(16)
@@ -100,17 +103,21 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
     lanes, steps = len(sizes), int(sizes.max(initial=0))
     rows = np.arange(lanes, dtype=np.int64) << TABLE
     one, two = np.zeros(lanes << TABLE, np.int32), np.zeros(lanes << TABLE, np.int32)     # id | confidence << 16
-    recent = np.full(lanes << TABLE, -1, np.int32)
-    chance = np.full(lanes, ONE // 4, np.int32)                        # that order 0 is right where the others are not
+    holder = np.full(lanes * SLOTS, -1, np.int32)                      # order 0: the id of a slot
+    # how often the ids of a slot were met, and the same summed by the two levels above
+    levels = [np.zeros(k * lanes, np.float32) for k in (16, 128, SLOTS)]
+    total = np.zeros(lanes, np.int32)
+    chance = np.full(lanes, ONE // 4, np.int32)                        # weight of order 0 in what the others leave
     weight1, weight2 = np.full(lanes, ONE // 3, np.int32), np.full(lanes, ONE // 3, np.int32)
     p1, p2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     decoded = None if ids is not None else np.zeros((steps, lanes), "<u2")
     left = np.searchsorted(-sizes, -np.arange(steps), "left")          # lanes with more than t ids
     mask, whole = (1 << TABLE) - 1, np.uint64(16 + TABLE)
+    every = np.arange(lanes, dtype=np.int64)
     for t in range(steps):
         n = int(left[t])
         s = slice(0, n)
-        q1, row, w1, w2, z = p1[s], rows[s], weight1[s], weight2[s], chance[s]
+        q1, row, w1, w2, z, lane = p1[s], rows[s], weight1[s], weight2[s], chance[s], every[s]
         mixed = q1 * 40503
         i1 = row + (mixed >> 5 & mask)
         i2 = row + ((mixed ^ (p2[s] * 30103)) >> 5 & mask)
@@ -118,27 +125,39 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
         c1, n1, c2, n2 = e1 & 0xFFFF, e1 >> 16, e2 & 0xFFFF, e2 >> 16
         b1 = w2 * RIGHT.take(n2) >> 8
         b2 = b1 + (w1 * RIGHT.take(n1) >> 8) * (c1 != c2)
-        b3 = b2 + np.maximum((65536 - b2 >> 4) * z >> 8, 1)
+        b3 = b2 + np.maximum((65536 - b2 >> 4) * z >> 8, MOST >> TABLE)
+        unit = (b3 - b2 << TABLE) // np.maximum(total[s], 1)           # of the range, per time met
         if ids is not None:
             x = ids[t, s].astype(np.int32)
-            low = x & mask
-            slot = row + low
             h2, h1 = c2 == x, c1 == x
             k0, k1 = h2 & (b1 > 0), h1 & (b2 > b1)        # an order whose weight is spent offers nothing
-            k2 = (recent.take(slot) == x) & ~(k0 | k1)
+            slot = _slot(x)
+            k2 = (holder.take(lane * SLOTS + slot) == x) & ~(k0 | k1)
             k3 = ~(k0 | k1 | k2)
-            inner = low * k2
+            before = _before(levels[0].reshape(-1, 16)[s], slot >> 6)
+            before += _before(levels[1].reshape(-1, 8).take(lane * 16 + (slot >> 6), axis=0), slot >> 3 & 7)
+            before += _before(levels[2].reshape(-1, 8).take(lane * 128 + (slot >> 3), axis=0), slot & 7)
+            before, times = before.astype(np.int32), levels[2].take(lane * SLOTS + slot).astype(np.int32)
         else:
             v = coder.value(s, whole).astype(np.int32)
             u = v >> TABLE
             k3, k2 = u >= b3, u >= b2
             k1 = (u >= b1) & ~k2
             k2 &= ~k3
-            inner = (v - (b2 << TABLE)) // (b3 - b2) * k2
-            x = np.where(k2, recent.take(row + inner), np.where(k1, c1, c2))
-        start = np.where(k3, b3, np.where(k2, b2, b1 * k1))
-        size = np.where(k3, 65536, np.where(k2, b3, np.where(k1, b2, b1))) - start
-        coder.narrow(s, ((start << TABLE) + inner * size).astype(np.uint64), (size << np.where(k2, 0, TABLE)).astype(np.uint64), whole)
+            r = np.clip((v - (b2 << TABLE)) // unit, 0, np.maximum(total[s] - 1, 0)).astype(np.float32)
+            part, before = _find(levels[0].reshape(-1, 16)[s], r)
+            base = lane * 16 + part
+            for level in levels[1:]:
+                part, low = _find(level.reshape(-1, 8).take(base, axis=0), r - before)
+                before += low
+                base = (base << 3) + part
+            before, times = before.astype(np.int32), levels[2].take(base).astype(np.int32)
+            x = np.where(k2, holder.take(base), np.where(k1, c1, c2))
+        start = np.where(k3, b3, b1 * k1) << TABLE
+        size = np.where(k3, 65536 - b3, np.where(k1, b2 - b1, b1)) << TABLE
+        start = np.where(k2, (b2 << TABLE) + before * unit, start)
+        size = np.where(k2, times * unit, size)
+        coder.narrow(s, start.astype(np.uint64), size.astype(np.uint64), whole)
         far = np.flatnonzero(k3)
         if ids is not None:
             coder.narrow(far, x[far].astype(np.uint64), np.uint64(1), np.uint64(16))
@@ -147,9 +166,15 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
             coder.narrow(far, sym, np.uint64(1), np.uint64(16))
             x[far] = sym
             decoded[t, s] = x
-            slot = row + (x & mask)
             h2, h1 = c2 == x, c1 == x
-        recent[slot] = x
+            slot = _slot(x)
+        at = lane * SLOTS + slot
+        more = np.where(holder.take(at) == x, ONCE, ONCE - levels[2].take(at))      # a new id takes the slot over
+        holder[at] = x
+        for level in reversed(levels):
+            level[at] += more
+            at >>= 3
+        total[s] += more.astype(np.int32)
         z += ((k2 * 4000 - z) >> 5) * (k2 | k3)
         share, some = 4093 - 2047 * (h1 & h2), h1 | h2
         w1 += ((h1 * share - w1) >> 5) * some
@@ -162,6 +187,25 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
     return decoded
 
 
+def _before(counts: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each row of counts the sum of the ``place`` first."""
+    width = counts.shape[1]
+    return (counts @ OVER[:width, :width]).take(np.arange(len(place)) * width + place)
+
+
+def _find(counts: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of counts the place that holds unit ``r``, and the sum before it."""
+    width = counts.shape[1]
+    sums = counts @ OVER[:width, :width]
+    place = np.bitwise_count((sums <= r[:, None]).view(np.uint64)).sum(axis=1, dtype=np.int64) - 1 if width > 8 else \
+        np.bitwise_count((sums <= r[:, None]).view(np.uint64))[:, 0].astype(np.int64) - 1
+    return place, sums.take(np.arange(len(r)) * width + place)
+
+
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (x * 40503 & 0xFFFF) >> 6
+
+
 def _order(sizes: list[int]) -> np.ndarray:
     return np.argsort(-np.array(sizes, np.int64), kind="stable")
 

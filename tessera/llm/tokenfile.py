@@ -35,12 +35,16 @@ from .common import prepare
 END = 2
 BLOCK = 1024
 #: Blocks coded or decoded in step.
-LANES = 4096
+LANES = 8192
+#: Bytes of text per file: enough blocks to code many in step.
+FILE_BYTES = 32 << 20
 
 
-def write_ids(docs: DataFrame, path: str, vocabulary: str = tokens.VOCABULARY) -> None:
-    """Write the ids of ``docs`` (doc_id, text) under ``path``."""
+def write_ids(docs: DataFrame, path: str, vocabulary: str = tokens.VOCABULARY, file_bytes: int = FILE_BYTES) -> None:
+    """Write the ids of ``docs`` (doc_id, text) under ``path``, in files of about ``file_bytes`` of text."""
     prepare(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // file_bytes))
     end = np.array([END], "<u2").tobytes()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -92,7 +96,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = tokens.VOCABULARY) -
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     key = F.xxhash64("text")
-    (rows.repartitionByRange("doc_id", key).sortWithinPartitions("doc_id", key)
+    (rows.repartitionByRange(files, "doc_id", key).sortWithinPartitions("doc_id", key)
      .mapInArrow(run, f"block bigint, coded binary, docs array<{kind}>, lens array<bigint>, number bigint")
      .withColumn("file", F.spark_partition_id())
      .write.option("compression", "none").parquet(path))
