@@ -207,8 +207,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     own = shared.join(roots, shared.cid == roots.node, "left").select("band", "key", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = own.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").drop("mixed")
     left = own.join(mixed, ["band", "key"])
-    other = left.select("band", "key", F.col("cid").alias("b"), F.col("root").alias("other"))
-    across = left.join(other, ["band", "key"]).where("root < other").select(F.col("cid").alias("a"), "b").distinct()
+    # pairs of components first, then their members: members of one component never meet
+    mine = left.select("band", "key", "root").distinct()
+    pairs = mine.join(mine.select("band", "key", F.col("root").alias("other")), ["band", "key"]).where("root < other")
+    others = left.select("band", "key", F.col("cid").alias("b"), F.col("root").alias("other"))
+    across = (left.select("band", "key", F.col("cid").alias("a"), "root").join(pairs, ["band", "key", "root"])
+              .join(others, ["band", "key", "other"]).select("a", "b").distinct())
     found = materialise(star.union(_verified(across, sets, similarity)), "minhash-pairs")
     roots = components(found, "minhash-links")
     named = table.join(roots, table.cid == roots.node, "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))

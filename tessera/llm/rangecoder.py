@@ -217,6 +217,8 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = _order([len(b) for b in blocks])
     sizes = np.array([len(blocks[k]) for k in order], np.int64)
     steps = int(sizes.max())
+    if steps > MOST:
+        raise ValueError(f"a block holds at most {MOST} ids")
     ids = np.zeros((len(blocks), steps), "<u2")
     for k, o in enumerate(order.tolist()):
         ids[k, :len(blocks[o])] = blocks[o]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tessera.llm import divergence, factorisation, line_dedup, mixing, packing, prefixtrie, quality, simhash, tokens
+from tessera.llm import divergence, factorisation, line_dedup, minhash, mixing, packing, prefixtrie, quality, simhash, tokens
 
 from test_operators import DOCS, ROWS, prose
 
@@ -237,6 +237,30 @@ def test_keep_one_leaves_one_row_per_component(spark):
     assert {(r.doc_id, r.text) for r in kept} == {(3, text), (5, other), (3, rows[6][1]), (None, "alone and unnamed"), (1, "")}
 
 
+def test_minhash_components_against_brute_force_jaccard(spark):
+    rng = random.Random(21)
+    base = [prose(rng.randint(30, 90), rng).split() for _ in range(12)]
+    texts = []
+    for words in base:
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 6)):                        # chains of copies with ever more words changed
+            words = list(words)
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = prose(1, rng)
+            texts.append(" ".join(words))
+    texts += ["", None, "one two", "one two", texts[0].upper()]
+    grams = [frozenset(tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(grams[a] & grams[b])
+            if grams[a] == grams[b] or (both and both >= 0.8 * (len(grams[a]) + len(grams[b]) - both)):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id bigint, text string, band int, key string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(root)) and 1 < len(set(root)) < len(texts)
+
+
 # ------------------------------------------------------------------ the robust estimate in plain Python
 def plain_estimate(x, keep=quality.KEEP, steps=quality.STEPS):
     """Centre, inverse, scale by concentration from three starts, least determinant."""
