@@ -19,6 +19,8 @@ of any size into components in linear work; then, in buckets that still hold sev
 components, members of different components are compared.  A bucket of mutual near copies
 is thus never expanded into pairs, and no link that joins two components is lost.
 
+Ids must be whole numbers.
+
 Defined results: null text is the empty text; equal texts have equal fingerprints
 (all ``f`` for no shingle), with likeness 1; repeated rows and equal ids are ordered by a hash of the
 text and follow one another; null ids come first; the only row of a table is followed by itself; an empty table gives

@@ -21,6 +21,8 @@ at once in each round; the others are split in numpy, many at a time, each whole
 **Ends.**  Ids of the members that end at a node are joined in sorted ranges to pieces of
 about ``PIECE`` characters before the pieces of a node meet in one task, which hashes them one after the other.
 
+Ids must be whole numbers.
+
 Defined results: a null role or text is empty; turns are ordered by turn (null first), then role, then the text's first
 64 characters, then a digest of the text; repeated turns each count; rows whose conv_id is null (or no whole number) belong to no
 conversation; a conversation left without turns is a member of the root; an empty table

@@ -22,6 +22,10 @@ can reach (its context).
 
 The texts are shuffled once; both joins with them share the exchange.
 
+In step 1 a context counts as met before if its gram and its whole context have equal 64-bit rolling hashes; the bytes are
+not compared again, so that two different contexts of one gram are taken for one with a chance of 2^-64 per
+pair.  Ids must be whole numbers.
+
 Defined results: null text has no bytes; texts under ``MATCH`` bytes lose nothing; matches never cross documents;
 rows with the same id and text are one document and get the same
 result, rows with the same id and another text are ordered by start, then by a checksum; a null id counts as the
