@@ -9,8 +9,8 @@ of two fingerprints is the share of equal places, an estimate of the Jaccard sim
 
 ``neighbours`` gives each document the text that follows it in ascending
 ``doc_id`` order with one shuffle of the texts: rows are dealt to ranges whose bounds are rows of
-the table (from a sample of ids; the sample decides only where ranges begin), and the first row of a range is dealt to
-the range before it as well.
+the table (from a sample of ids and sizes, so that ranges hold about ``RANGE_BYTES``; the sample decides only where they
+begin), each range is one partition, and the first row of a range is dealt to the range before it as well.
 
 ``near_duplicates`` cuts signatures into bands joined in Spark and verifies Jaccard
 similarity on the exact shingle sets.  First every member of a band's bucket is
@@ -30,7 +30,8 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -54,9 +55,9 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 #: Words whose hashes a worker remembers, and shingles handled at once.
 REMEMBERED = 400_000
 BLOCK = 1024
-#: Ids sampled to place the ranges of ``neighbours``, and ranges per shuffle partition.
+#: Ids sampled to place the ranges of ``neighbours``, and bytes of text in a range.
 SAMPLE = 20_000
-RANGES = 4
+RANGE_BYTES = 16 << 20
 
 _known: dict[bytes, int] = {}
 
@@ -107,13 +108,20 @@ def neighbours(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("th"), "text")
-    every = max(1, -(-docs.select("doc_id").count() // SAMPLE))
-    keys = rows.select("id", "th")
-    some = keys.where(F.pmod(F.hash("id", "th"), F.lit(every)) == 0).distinct().orderBy("id", "th").limit(4 * SAMPLE).collect()
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint")).alias("bytes")).first()
+    every = max(1, -(-size["n"] // SAMPLE))
+    keys = rows.select("id", "th", F.octet_length("text").cast("bigint").alias("size"))
+    some = (keys.where(F.pmod(F.hash("id", "th"), F.lit(every)) == 0).groupBy("id", "th").agg(F.sum("size").alias("size"))
+            .orderBy("id", "th").limit(4 * SAMPLE).collect())
     first = keys.agg(F.min(F.struct("id", "th")).alias("k")).first()["k"]
-    sample = sorted({(r[0] is not None, r[0], r[1]) for r in some + [first] if r is not None})
-    parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({sample[len(sample) * k // parts] for k in range(parts)}) if sample else []
+    weigh = {(r[0] is not None, r[0], r[1]): r[2] for r in some}
+    if first is not None:
+        weigh.setdefault((first[0] is not None, first[0], first[1]), 0)
+    sample = sorted(weigh)
+    parts = max(spark.sparkContext.defaultParallelism, -(-(size["bytes"] or 0) // RANGE_BYTES))
+    # ranges of about equal bytes: a bound where the sampled texts before it pass the next share
+    ends = list(accumulate(weigh[k] + 1 for k in sample))
+    bounds = sorted({sample[min(bisect_left(ends, ends[-1] * k // parts + 1), len(sample) - 1)] for k in range(parts)} | {sample[0]}) if sample else []
 
     @F.pandas_udf(LongType())
     def code(ids: pd.Series, th: pd.Series) -> pd.Series:
@@ -132,7 +140,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
                     ).otherwise(F.array(F.struct(part.alias("part"), F.lit(True).alias("own"))))
     dealt = (rows.select("*", code("id", "th").alias("code"))
              .select(F.explode(copies).alias("c"), "id", "th", "text").select("c.part", "c.own", "id", "th", "text"))
-    return dealt.repartition("part").sortWithinPartitions("part", F.desc("own"), "id", "th")
+    return dealt.repartitionById(max(len(bounds), 1), F.col("part").cast("int")).sortWithinPartitions("part", F.desc("own"), "id", "th")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
