@@ -62,13 +62,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows of a table just read when it has fewer splits than cores.
 
     Text scans are CPU-bound; a table stored as one large row group would run
-    as one task.  With more splits than cores nothing is added.  Only for a
+    as one task.  With as many splits as cores or more nothing is added.  Only for a
     fresh read: counting the splits of a plan with shuffles would run them.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    except Exception:  # pragma: no cover - e.g. connect sessions
-        pass
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

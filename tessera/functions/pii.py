@@ -113,20 +113,20 @@ def mask(pii_type: str, v: Column, profile: "str | Profile" = "cli") -> Column:
     """Partial mask of one matched value of a known type."""
     prof = get_profile(profile)
     if pii_type == "SSN":
-        return F.regexp_replace(v, java_regex(r"^\d{3}-\d{2}-"), P.MASK_SSN_PREFIX)
+        return F.regexp_replace(v, java_regex(P.MASK_SSN_REGEX), P.MASK_SSN_PREFIX)
     if pii_type == "CREDIT_CARD":
-        digits = F.regexp_replace(v, java_regex(r"[^\d]"), "")
+        digits = F.regexp_replace(v, java_regex(P.MASK_CARD_REGEX), "")
         return (F.when(F.length(digits) >= 4, F.concat(F.lit(P.MASK_CARD_PREFIX), F.substring(digits, -4, 4)))
                 .otherwise(F.lit(P.MASK_CARD_NO_DIGITS)))
     if pii_type == "PHONE":
-        return F.regexp_replace(v, java_regex(r"^\+?1?[\-.\s]?\(?\d{3}\)?[\-.\s]\d{3}"), P.MASK_PHONE_PREFIX)
+        return F.regexp_replace(v, java_regex(P.MASK_PHONE_REGEX), P.MASK_PHONE_PREFIX)
     if pii_type == "EMAIL":
         parts = F.split(v, "@")
         return (F.when(F.size(parts) == 2,
                        F.concat(F.substring(parts.getItem(0), 1, 2), F.lit("***@"), parts.getItem(1)))
                 .otherwise(F.lit(P.MASK_EMAIL_BAD)))
     if pii_type == "DATE_OF_BIRTH":
-        return F.regexp_replace(v, java_regex(r"^\d{1,2}[\/\-]\d{1,2}[\/\-]"), F.lit(prof.dob_mask_prefix))
+        return F.regexp_replace(v, java_regex(P.MASK_DOB_REGEX), F.lit(prof.dob_mask_prefix))
     if pii_type == "PASSPORT":
         return F.concat(F.substring(v, 1, 2), F.lit(P.MASK_PASSPORT_SUFFIX))
     if prof.pad_fallback_mask:

@@ -82,6 +82,7 @@ def load_baseline(spark, path: str) -> DataFrame:
     return latest_baseline(spark.read.parquet(path))
 
 
+# FIXED VALUES -- change types, severities and messages of ``drift_changes`` and the statuses of ``drift_status``.
 def drift_changes(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """H1-H4: one row per added / removed / retyped column (datasets with a baseline only)."""
     cur = current.select(DATASET, "column", F.col("dtype").alias("after"))

@@ -23,6 +23,7 @@ from ..profiles import get_profile
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
+# FIXED VALUES -- names and detail texts of the checks.
 CHECK_NAMES = {
     "exist": "column to exist",
     "not_null": "column values to not be null",

@@ -178,3 +178,12 @@ def remediation_preview(findings: DataFrame) -> DataFrame:
     """What will change -- risk, column, row, will-become, for actionable findings."""
     return actionable(findings).select(DATASET, "risk", "column", "row_key",
                                        F.col("masked").alias("will_become"))
+
+
+def remediation_counts(findings: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Rows before and after dedup, and values to be changed, per dataset (datasets without findings included)."""
+    todo = actionable(findings).groupBy(DATASET).agg(
+        F.count(F.lit(1)).alias("values"), F.count_distinct("row_key").alias("rows_changed"))
+    return (duplicates.select(DATASET, F.col("total_rows").alias("rows_before"),
+                              (F.col("total_rows") - F.col("exact_duplicates")).alias("rows_after"))
+            .join(todo, DATASET, "left").fillna(0, ["values", "rows_changed"]))

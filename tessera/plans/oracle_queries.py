@@ -337,6 +337,10 @@ DOC_FINDINGS_MEDIUM = O.findings_sql(DOC_CELLS, "cli", "medium")
 PREVIEW = f"""WITH f AS ({DOC_FINDINGS_MEDIUM})
 SELECT dataset, risk, "column", row_key, masked AS will_become FROM f WHERE risk IN ('HIGH', 'MEDIUM')"""
 
+DUP_DOC_SCAN = dup_sql("SELECT source AS dataset, text, lang, n_chars FROM documents", ["text", "lang", "n_chars"], ["text", "lang"])
+REMEDIATION_COUNTS = f"""SELECT d.dataset, d.total_rows AS rows_before, d.total_rows - d.exact_duplicates AS rows_after,
+  coalesce(v.n, 0) AS values, coalesce(v.r, 0) AS rows_changed FROM ({DUP_DOC_SCAN}) d
+LEFT JOIN (SELECT dataset, count(*) AS n, count(DISTINCT row_key) AS r FROM ({PREVIEW}) GROUP BY dataset) v USING (dataset)"""
 GOLD = f"""WITH s1 AS ({SCORES}), s2 AS ({SCORES_F}),
 fd AS (SELECT source AS dataset, CAST(min(doc_id) AS INTEGER) AS first_doc FROM documents GROUP BY source),
 runs AS (
@@ -441,6 +445,7 @@ SQL.update({
     "alerts": ALERTS,
     "duplicate_band": DUP_BAND,
     "remediation_preview": PREVIEW,
+    "remediation_counts": REMEDIATION_COUNTS,
     "protection_status": PROTECTION,
     **GOLD_SQL,
 })

@@ -379,6 +379,12 @@ def q_remediation_preview(spark, sf_dir):
     return S.remediation_preview(doc_scan(spark, sf_dir).findings)
 
 
+def q_remediation_counts(spark, sf_dir):
+    """Rows before -> after dedup and values to be changed, per source."""
+    res = doc_scan(spark, sf_dir)
+    return S.remediation_counts(res.findings, res.duplicates)
+
+
 def q_protection_status(spark, sf_dir):
     """HIGH findings protected by encryption vs masked only."""
     r = R.protection_status(doc_scan(spark, sf_dir).scores, encrypted=True)
@@ -567,6 +573,7 @@ QUERIES = {
     "alerts": q_alerts,
     "duplicate_band": q_duplicate_band,
     "remediation_preview": q_remediation_preview,
+    "remediation_counts": q_remediation_counts,
     "protection_status": q_protection_status,
     "gold_rows": q_gold_rows,
     "gold_summary": q_gold_summary,

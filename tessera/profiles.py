@@ -98,6 +98,12 @@ CONF_DEFAULT = 0.50
 RISK_HIGH_AT = 0.75
 RISK_MEDIUM_AT = 0.40
 
+# mask patterns (what the mask replaces, from the start of the value)
+MASK_SSN_REGEX = r"^\d{3}-\d{2}-"
+MASK_CARD_REGEX = r"[^\d]"
+MASK_PHONE_REGEX = r"^\+?1?[\-.\s]?\(?\d{3}\)?[\-.\s]\d{3}"
+MASK_DOB_REGEX = r"^\d{1,2}[\/\-]\d{1,2}[\/\-]"
+
 # mask texts
 MASK_SSN_PREFIX = "XXX-XX-"
 MASK_CARD_PREFIX = "XXXX-XXXX-XXXX-"

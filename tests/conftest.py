@@ -25,13 +25,17 @@ def sample(spark):
     return read_any(spark, os.path.join(FIXTURES, "sample_customers.csv"))
 
 
+#: Loans of a library: what each row holds beside its key is listed in ``LOAN_FACTS`` of test_function_profile.
+LOANS = [
+    (11, "loan-11", "mara.k@lib.example", 8, 0, "538-20-7714", "returned, card 4556 7375 8689 9855 left on desk"),
+    (12, "loan-12", "no address", 131, 3, "A-77", "identity checked: 219-09-9999 (passport shown)"),
+    (13, None, "t@lib.example", 44, -2, "415 555 0132 7", "ring 212-555-0187 before noon"),
+    (14, "loan-14", None, 17, 12, None, "joined 7/4/1998"),
+    (15, "loan-15", "p@lib", -1, 5, "B-12", None),
+]
+
+
 @pytest.fixture
-def unit_frame(spark):
-    """4 x 7 frame of the function-engine unit tests."""
-    rows = [(1.0, "Alice", "alice@test.com", 25, 100, "372-88-3412", "SSN: 372-88-3412"),
-            (2.0, "Bob", "bad-email", -3, 200, "SN-002", "Call 415-555-0199"),
-            (3.0, "Carol", "carol@test.com", 34, -50, "SN-003", "Regular customer"),
-            (None, "Dave", "dave@test.com", 150, 300, "SN-004", "DOB: 03/15/1985")]
-    schema = ("customer_id double, name string, email string, age bigint, revenue bigint, "
-              "serial_number string, notes string, row_key bigint")
-    return spark.createDataFrame([r + (i,) for i, r in enumerate(rows)], schema)
+def loans(spark):
+    schema = "row_key bigint, loan_id string, user_email string, reader_age bigint, fee_amount bigint, item_code string, desk_notes string"
+    return spark.createDataFrame(LOANS, schema)
