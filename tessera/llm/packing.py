@@ -4,7 +4,7 @@ Documents are cut into pieces of at most ``LIMIT`` tokens, and pieces are packed
 into sequences of ``LIMIT`` tokens.  The plan depends only on how many pieces there are of
 each length, at most ``LIMIT`` numbers whatever the input.  From the longest length down, the gap a
 piece leaves is filled exactly: by one length, by a pair, or by a triple whose
-sum is the gap, found in indexes of the lengths still available; each
+sum is the gap, found in an index of the single, pair and triple sums of the lengths still available; each
 find is consumed as often as the counts allow.  What has no exact complement is
 packed best-fit: the longest available length that fits, until nothing does.  Each step uses
 up at least one length, so the plan has a number of patterns bounded by ``LIMIT``, not by the input.
@@ -63,31 +63,75 @@ def pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str = tokens.VOCABUL
         run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
-def _pair(have: np.ndarray, total: int) -> tuple[int, int] | None:
-    """The pair of available lengths with this sum whose longer one is longest."""
-    if total < 2:
+class Sums:
+    """Index of single, pair and triple sums of the lengths still available.
+
+    Under each sum the lengths that make it up stand in order of the longest, with a pointer past those that are used up:
+    counts only fall, so what the pointer has passed never comes back, and a find costs no search of the lengths. One
+    piece of a length can be held, as the one to be completed; ``have`` is without it.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have, self.held = have, np.zeros_like(have)
+        self.pairs: dict[int, list[int]] = {}              # sum -> shorter lengths, the shortest first
+        self.triples: dict[int, list[int]] = {}            # sum -> longest lengths, the longest first
+        self.passed: dict[tuple[int, int], int] = {}       # (parts, sum) -> entries used up
+
+    def hold(self, length: int, n: int = 1) -> None:
+        self.have[length] -= n
+        self.held[length] += n
+
+    def _left(self, short: int, total: int, counts: np.ndarray) -> bool:
+        return bool(counts[short] and counts[total - short] and (2 * short != total or counts[short] > 1))
+
+    def _open_pairs(self, total: int) -> tuple[list[int], int]:
+        """The entries of a pair sum, and the first one that is not used up."""
+        every = self.have + self.held
+        if total not in self.pairs:
+            short = np.arange(1, total // 2 + 1)
+            ok = (every[short] > 0) & (every[total - short] > 0) & ((2 * short != total) | (every[short] > 1))
+            self.pairs[total] = short[ok].tolist()
+        found, at = self.pairs[total], self.passed.get((2, total), 0)
+        while at < len(found) and not self._left(found[at], total, every):
+            at += 1
+        self.passed[2, total] = at
+        return found, at
+
+    def pair(self, total: int) -> list[int] | None:
+        """The pair with this sum whose longer length is longest."""
+        if total < 2:
+            return None
+        found, at = self._open_pairs(total)
+        return next(([total - s, s] for s in found[at:] if self._left(s, total, self.have)), None)
+
+    def triple(self, total: int) -> list[int] | None:
+        """The triple with this sum whose longest length is longest."""
+        every = self.have + self.held
+        if total not in self.triples:
+            longest = np.flatnonzero(every[:max(total - 1, 0)])[::-1]
+            self.triples[total] = longest[3 * longest >= total].tolist()
+        found, at = self.triples[total], self.passed.get((3, total), 0)
+        while at < len(found) and not (every[found[at]] and self._any_pair(total - found[at])):
+            at += 1
+        self.passed[3, total] = at
+        for longest in found[at:]:
+            if self.have[longest] and self._any_pair(total - longest):
+                self.hold(longest)
+                two = self.pair(total - longest)
+                self.hold(longest, -1)
+                if two:
+                    return [longest, *two]
         return None
-    short = np.arange(1, total // 2 + 1)
-    ok = (have[short] > 0) & (have[total - short] > 0) & ((2 * short != total) | (have[short] > 1))
-    k = int(np.argmax(ok))
-    return (total - int(short[k]), int(short[k])) if ok.any() else None
-
-
-def _complement(have: np.ndarray, gap: int) -> list[int] | None:
-    """Available lengths that fill ``gap`` exactly: one, two or three."""
-    if have[gap]:
-        return [gap]
-    if two := _pair(have, gap):
-        return list(two)
-    for longest in np.flatnonzero(have[:gap - 1])[::-1]:
-        if 3 * longest < gap:
-            break
-        have[longest] -= 1
-        two = _pair(have, gap - int(longest))
-        have[longest] += 1
-        if two:
-            return [int(longest), *two]
-    return None
+
+    def _any_pair(self, total: int) -> bool:
+        if total < 2:
+            return False
+        found, at = self._open_pairs(total)
+        return at < len(found)
+
+    def complement(self, gap: int) -> list[int] | None:
+        """Available lengths that fill ``gap`` exactly: one, two or three."""
+        return [gap] if self.have[gap] else self.pair(gap) or self.triple(gap)
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[int], int]]:
@@ -96,6 +140,7 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[int], in
     for length, n in counts.items():
         have[length] = n
     out: list[tuple[list[int], int]] = []
+    sums = Sums(have)
 
     def take(lengths: list[int]) -> None:
         kinds = np.bincount(lengths, minlength=limit + 1)
@@ -110,9 +155,9 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[int], in
             if length == limit:
                 take([length])
                 continue
-            have[length] -= 1
-            rest = _complement(have, limit - length)
-            have[length] += 1
+            sums.hold(length)
+            rest = sums.complement(limit - length)
+            sums.hold(length, -1)
             if rest is None:
                 alone[length], have[length] = have[length], 0
             else:

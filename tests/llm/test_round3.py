@@ -394,6 +394,54 @@ def test_pipeline_run_against_plain_python(spark, tmp_path):
         assert [o for o, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= 2048
 
 
+def searched_plan(counts, limit):
+    """The first step of the plan by plain search: exact complements from the longest length down."""
+    have, out = [counts.get(k, 0) for k in range(limit + 1)], []
+    left = dict(counts)
+    for length in range(limit, 0, -1):
+        while have[length]:
+            have[length] -= 1
+            gap, rest = limit - length, None
+            options = [[gap]] if gap and have[gap] else []
+            options = options or [[a, gap - a] for a in range(gap - 1, (gap - 1) // 2, -1)
+                                  if have[a] and have[gap - a] and (2 * a != gap or have[a] > 1)][:1]
+            if gap and not options:
+                for a in range(gap - 2, 0, -1):
+                    if have[a] and 3 * a >= gap and not options:
+                        have[a] -= 1
+                        g = gap - a
+                        options = [[a, b, g - b] for b in range(g - 1, (g - 1) // 2, -1)
+                                   if have[b] and have[g - b] and (2 * b != g or have[b] > 1)][:1]
+                        have[a] += 1
+            rest = options[0] if options else ([] if not gap else None)
+            have[length] += 1
+            if rest is None:
+                have[length] = 0
+                continue
+            kinds = Counter([length, *rest])
+            times = min(have[k] // n for k, n in kinds.items())
+            for k, n in kinds.items():
+                have[k] -= n * times
+                left[k] -= n * times
+            out.append(([length, *rest], times))
+    return out, left
+
+
+def test_sum_index_finds_what_a_search_finds():
+    rng = random.Random(2)
+    for _ in range(80):
+        limit = rng.choice([8, 17, 60])
+        counts = {k: rng.choice([1, 1, 2, 9]) for k in range(1, limit + 1) if rng.random() < rng.choice([0.2, 0.6, 1])}
+        want, left = searched_plan(counts, limit)
+        got = packing.plan(counts, limit)
+        assert got[:len(want)] == want
+        rest = Counter()
+        for lengths, times in got[len(want):]:
+            assert sum(lengths) <= limit
+            rest.update({k: n * times for k, n in Counter(lengths).items()})
+        assert {k: n for k, n in left.items() if n} == dict(rest)
+
+
 def test_stages_on_empty_tables(spark):
     import corpus_pipeline
     nothing = spark.createDataFrame([], DOCS)
