@@ -68,38 +68,6 @@ def _replacement(m: Column, conf: Column, key: Column | None) -> Column:
     return F.when(conf >= P.RISK_HIGH_AT, pii.encrypt_token(m["raw_value"], key)).otherwise(m["masked"])
 
 
-def remediated(name: str, dtype: T.DataType, cell: Column, matches: Column, profile="cli",
-               key: Column | None = None) -> Column:
-    """D7 / D8 for one cell given its matches: actionable matches replaced by masks,
-    or HIGH ones by tokens.  The confidence is only evaluated for cells with matches."""
-    prof = get_profile(profile)
-    text = pii.as_text(cell, dtype)
-    conf = pii.confidence_for(name, text, prof)
-    if pii.text_kind(dtype) == "number":
-        # a number has no typed masked form: an actionable card number is
-        # removed (null) and the column keeps its type (D-3)
-        return (F.when(F.size(matches) == 0, cell).when(conf >= P.RISK_MEDIUM_AT, F.lit(None).cast(dtype))
-                .otherwise(cell))
-    # the confidence rides in the accumulator: evaluated once per cell, not once per match
-    folded = F.aggregate(
-        matches, F.struct(text.alias("t"), conf.alias("c")),
-        lambda acc, m: F.struct(F.replace(acc["t"], m["raw_value"], _replacement(m, acc["c"], key)).alias("t"),
-                                acc["c"].alias("c")),
-        lambda acc: acc["t"])
-    # LOW findings are never touched (D-5)
-    return F.when(F.size(matches) == 0, text).when(conf >= P.RISK_MEDIUM_AT, folded).otherwise(text)
-
-
-def remediate_cell(name: str, dtype: T.DataType, cell: Column, profile="cli", sensitivity="medium",
-                   key: Column | None = None) -> Column:
-    """D7 / D8 for one cell as a single expression (see ``mask_frame`` for the staged form)."""
-    prof = get_profile(profile)
-    types = _mask_types(name, dtype, prof, sensitivity)
-    if not types:
-        return cell
-    return remediated(name, dtype, cell, pii.match_structs(pii.as_text(cell, dtype), types, prof), prof, key)
-
-
 def mask_frame(df: DataFrame, profile="cli", sensitivity="medium", key: str | None = None,
                columns: list[str] | None = None, encrypt_key: Column | None = None) -> DataFrame:
     """D7 (and D8 with ``encrypt_key``): the table with actionable PII replaced in place.

@@ -86,3 +86,43 @@ def test_saved_catalogs_keep_the_types_of_each_file(spark, folder, tmp_path):
     got = {(r.dataset, r.column): r.dtype for r in D.load_baseline(spark, path).collect()}
     assert got["a.csv", "age"] == "int64" and got["b.csv", "age"] == "object" and ("c.csv", "age") not in got
     assert D.load_baseline(spark, path).where(F.col("dataset") == "d.csv").isEmpty()
+
+
+def test_preview_is_the_same_under_any_partitioning(spark, tmp_path):
+    from tessera.operators import report as K
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.csv").write_text("k,v\n" + "".join(f"{name}{i},{'x' * (i % 50)}\n" for i in range(3000)))
+    want = {(f"{n}.csv", i + 1, f"{n}{i}") for n in "ab" for i in range(50)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "20k", "3k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = A.read_ordered(spark, str(tmp_path / "*.csv"), "csv")
+            shown = K.preview(rows, 50, C.READ_ORDER)
+            assert {(r.dataset, r.row, r.k) for r in shown.collect()} == want
+            assert "WindowGroupLimit" in shown._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_json_files_are_read_by_their_form(spark, tmp_path):
+    (tmp_path / "array.json").write_text('\n [{"k": 1, "v": "a"},\n{"k": 2, "v": null}]')
+    (tmp_path / "lines.json").write_text('{"k": 3, "w": 1.5}\n{"k": 4}\n')
+    (tmp_path / "one.json").write_text('{\n "k": 5,\n "v": "z"\n}')
+    rows = A.read_any(spark, str(tmp_path / "*.json"), "json").select("dataset", "k", "v", "w").collect()
+    assert {tuple(r) for r in rows} == {("array.json", 1, "a", None), ("array.json", 2, None, None), ("lines.json", 3, None, 1.5),
+                                        ("lines.json", 4, None, None), ("one.json", 5, "z", None)}
+    groups = {g.first().dataset: sorted(c for c in g.columns if c != "dataset") for g in A.read_groups(spark, str(tmp_path / "*.json"), "json")}
+    assert groups["lines.json"] == ["k", "w"] and ["k", "v"] in groups.values()
+
+
+def test_results_are_listed_newest_first_without_being_read(spark, tmp_path):
+    import os
+    for k, name in enumerate(("old", "new", "broken")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "scan.json").write_text('{"file": "%s"}' % name if k < 2 else "{not json")
+        os.utime(tmp_path / name / "scan.json", (1_700_000_000 + k * 60,) * 2)
+    (tmp_path / "new" / "_SUCCESS").write_text("")
+    index = A.results_index(spark, str(tmp_path)).collect()
+    assert [r.path.split("/")[-2] for r in index] == ["broken", "new", "old"]
+    assert A.load_result(spark, index[1].path).first().file == "new"

@@ -7,7 +7,6 @@ import pytest
 from conftest import LOANS
 from pyspark.sql import functions as F
 
-from tessera import frame
 from tessera.functions import pii
 from tessera.operators import duplicates as G
 from tessera.operators import quality as Q
@@ -141,22 +140,3 @@ def test_legacy_profile(spark, sample):
     s = r.scores.first()
     assert (s.overall, s.privacy, s.quality, s.pii_high, s.pii_medium, s.pii_low) == (42, 74, 0, 2, 2, 2)
     assert {q.check for q in r.quality.collect()} == {"not null", "email format", "age range 0-120", "non-negative (revenue)"}
-
-
-@pytest.mark.parametrize("encrypt", [False, True])
-def test_single_cells_are_remediated_like_whole_rows(spark, sample, loans, encrypt):
-    for df, profile, level in ((sample, "cli", "medium"), (loans, "function", "high")):
-        key = secret(spark) if encrypt else None
-        d, k = frame.with_row_key(frame.with_dataset(df))
-        kinds = {f.name: f.dataType for f in d.schema.fields}
-        names = frame.value_columns(d, k)
-        rows = {r[k]: r for r in R.mask_frame(d, profile, level, key=k, encrypt_key=key).collect()}
-        cells = d.select(k, *[R.remediate_cell(c, kinds[c], F.col(f"`{c}`"), profile, level, key=key).alias(c) for c in names]).collect()
-        risky = {(r.row_key, r.column): r.raw_value for r in S.scan_pii(d, profile, level, key=k).collect() if r.risk == "HIGH"}
-        assert risky
-        for r in cells:
-            for c in names:
-                if not encrypt:
-                    assert r[c] == rows[r[k]][c]
-                elif (r[k], c) in risky:
-                    assert risky[r[k], c] not in str(r[c]) and risky[r[k], c] not in str(rows[r[k]][c])
