@@ -80,7 +80,7 @@ def value_groups(df: DataFrame, key: str | None, near: bool) -> tuple[DataFrame,
 
 
 def cell_text(c, dtype: T.DataType) -> "F.Column":
-    """A cell as text, equal where the cells are equal; ``n`` for null."""
+    """A cell as text with its length in front, equal where the cells are equal; null for null."""
     if isinstance(dtype, (T.StringType, T.BinaryType)):
         t = F.hex(compact(c, dtype))
     elif isinstance(dtype, (T.FloatType, T.DoubleType)):
@@ -89,19 +89,20 @@ def cell_text(c, dtype: T.DataType) -> "F.Column":
         t = F.to_json(F.struct(c.alias("v")))
     else:
         t = c.cast("string")
-    return F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("n"))
+    return F.concat(F.length(t).cast("string"), F.lit(":"), t)
 
 
 def row_digest(df: DataFrame, key: str | None) -> "F.Column":
     """A digest equal for rows that are exact duplicates, whichever batch they come with."""
-    cells = [cell_text(col(c), df.schema[c].dataType) for c in frame.value_columns(df, key)]
-    return F.unhex(F.sha2(F.concat(*cells) if cells else F.lit(""), 256))
+    # by name, as files of other formats may have their columns in another order; a null cell counts like an absent column
+    cells = [F.concat(F.lit(f"{len(c)}:{c}="), cell_text(col(c), df.schema[c].dataType)) for c in sorted(frame.value_columns(df, key))]
+    return F.unhex(F.sha2(F.concat_ws(" ", *cells) if cells else F.lit(""), 256))
 
 
 def row_states(df: DataFrame, key: str | None = None, near: bool = True) -> DataFrame:
     """dataset, exact, near, n: one row per different row, to be merged with those of other batches."""
     df = frame.with_dataset(df)
-    vals = frame.value_columns(df, key)
+    vals = sorted(frame.value_columns(df, key))
     texts = [c for c in vals if isinstance(df.schema[c].dataType, T.StringType)] if near else []
     parts = [p for c in texts for p in (F.length(token(col(c))).cast("string"), token(col(c)))]
     near_key = F.unhex(F.sha2(F.concat_ws(" ", *parts), 256)) if texts else F.lit(None).cast("binary")
