@@ -197,3 +197,10 @@ def test_wide_table_masks_every_column(spark):
     assert dict(m.dtypes)["amount"] == "double" and row["amount"] == 7.0
     f = S.scan_pii(base, "cli", "high", key="k")
     assert f.count() == 50 * n
+
+
+def test_encrypted_rows_are_not_broadcast(spark):
+    """The round trip puts findings and encrypted rows together by key; neither side may reach the driver, however small the file."""
+    from tessera.plans.queries import q_encrypt_roundtrip
+    plan = q_encrypt_roundtrip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [row_key" in plan and "BroadcastHashJoin [row_key" not in plan
