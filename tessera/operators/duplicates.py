@@ -99,15 +99,20 @@ def row_digest(df: DataFrame, key: str | None) -> "F.Column":
     return F.unhex(F.sha2(F.concat_ws(" ", *cells) if cells else F.lit(""), 256))
 
 
-def row_states(df: DataFrame, key: str | None = None, near: bool = True) -> DataFrame:
-    """dataset, exact, near, n: one row per different row, to be merged with those of other batches."""
+def row_states(df: DataFrame, key: str | None = None, near: bool = True, digest: str | None = None) -> DataFrame:
+    """dataset, exact, near, n: one row per different row, to be merged with those of other batches.
+
+    ``digest`` names a column that holds the rows' digests already.
+    """
     df = frame.with_dataset(df)
-    vals = sorted(frame.value_columns(df, key))
+    vals = sorted(frame.value_columns(df, key, (digest,)))
     texts = [c for c in vals if isinstance(df.schema[c].dataType, T.StringType)] if near else []
     parts = [p for c in texts for p in (F.length(token(col(c))).cast("string"), token(col(c)))]
     near_key = F.unhex(F.sha2(F.concat_ws(" ", *parts), 256)) if texts else F.lit(None).cast("binary")
-    return (df.select(DATASET, row_digest(df, key).alias("exact"), near_key.alias("near"))
-            .groupBy(DATASET, "exact").agg(F.first("near").alias("near"), F.count(F.lit(1)).alias("n")))
+    exact = row_digest(df, key) if digest is None else col(digest)
+    # rows with one ``exact`` have one ``near``: both are grouped on, as a binary aggregate would sort every row
+    return (df.select(DATASET, exact.alias("exact"), near_key.alias("near"))
+            .groupBy(DATASET, "exact", "near").agg(F.count(F.lit(1)).alias("n")))
 
 
 def token(c) -> "F.Column":

@@ -16,9 +16,10 @@ supported format as they arrive.
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from ..operators import remediate as R
 from ..operators import score as I
 from ..plans import pipeline as PL
 from ..sources import io as A
-from .state import BatchState
+from .state import BatchState, EarlierState
 
 CONF_SENSITIVITY = "spark.tessera.autoscan.sensitivity"
 CONF_OUTPUT_FORMAT = "spark.tessera.autoscan.outputFormat"
@@ -69,6 +70,13 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _together(spark: SparkSession, writes: list) -> list:
+    """Results of parts of a batch that do not need each other, run at once: one is planned while another's tasks run."""
+    inherits = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return [f.result() for f in [pool.submit(inherits(w)) for w in writes]]
+
+
 def process_groups(groups: list[tuple[str, DataFrame]], batch_id: int, out_root: str, opts: dict, profile="function",
                    key: str | None = None, trigger: str = "blob_automatic") -> None:
     """One micro-batch of (input format, frame) parts of any schemas: one scan each, one set of sinks for all.
@@ -79,37 +87,45 @@ def process_groups(groups: list[tuple[str, DataFrame]], batch_id: int, out_root:
     spark = groups[0][1].sparkSession
     root, part = out_root.rstrip("/"), f"batch_id={batch_id}"
     enc_key: Column | None = R.encryption_key(spark) if opts["encrypt"] else None
-    held, results, docs, silver = [], [], [], {}
+    held, silver = [], {}
+    earlier = EarlierState(spark, f"{root}/_state", batch_id)
 
     def hold(df: DataFrame) -> DataFrame:
         held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return held[-1]
 
+    def scan(i: int, fmt: str, df: DataFrame):
+        # the surrogate row key is fixed once, on the persisted batch; few files are dealt to all cores
+        batch, k = frame.with_row_key(df, key if key in df.columns else None)
+        state = BatchState(f"{root}/_state", batch_id, i, earlier)
+        batch = state.hold_digests(frame.spread(batch), k, hold)
+        res = PL.run_scan(batch, profile, opts["sensitivity"], key=k, state=state)
+        # the scores feed three sinks and the findings two: keep both for this batch
+        res.findings, res.scores = hold(res.findings), hold(res.scores)
+        output = opts["output_format"] or fmt
+        doc = PL.scan_document(res, opts["sensitivity"], trigger=trigger, input_format=fmt,
+                               output_format=output, encrypted=opts["encrypt"])
+        clean = R.remediate(state.unseen(batch, k), profile, opts["sensitivity"], key=k, encrypt_key=enc_key)
+        return res, doc, output, clean.drop(frame.ROW_KEY) if k == frame.ROW_KEY else clean, batch.drop(frame.ROW_KEY)
+
     try:
-        for i, (fmt, df) in enumerate(groups):
-            # the surrogate row key is fixed once, on the persisted batch
-            batch, k = frame.with_row_key(df, key if key in df.columns else None)
-            batch = hold(batch)
-            state = BatchState(f"{root}/_state", batch_id, i)
-            res = PL.run_scan(batch, profile, opts["sensitivity"], key=k, state=state)
-            # the scores feed three sinks and the findings two: keep both for this batch
-            res.findings, res.scores = hold(res.findings), hold(res.scores)
-            output = opts["output_format"] or fmt
-            docs.append(PL.scan_document(res, opts["sensitivity"], trigger=trigger, input_format=fmt,
-                                         output_format=output, encrypted=opts["encrypt"]))
-            clean = R.remediate(state.unseen(batch, k), profile, opts["sensitivity"], key=k, encrypt_key=enc_key)
-            silver.setdefault(output, []).append((clean.drop(frame.ROW_KEY) if k == frame.ROW_KEY else clean, batch))
-            results.append(res)
+        scans = _together(spark, [partial(scan, i, fmt, df) for i, (fmt, df) in enumerate(groups)])
+        results = [s[0] for s in scans]
         scores = _united([r.scores for r in results])
-        _united(docs).write.mode("overwrite").json(f"{root}/results/{part}")                                            # A12
         found = _united([PL.stored_findings(r).withColumn("row_key", F.col("row_key").cast("string")) if len(results) > 1
                          else PL.stored_findings(r) for r in results])
-        found.write.mode("overwrite").parquet(f"{root}/findings/{part}")                                                # D1, all
-        for output, parts in silver.items():
+        for _, _, output, clean, batch in scans:
+            silver.setdefault(output, []).append((clean, batch))
+
+        def write_silver(output: str, parts: list) -> None:
             path = f"{root}/silver/{part}" if len(silver) == 1 else f"{root}/silver/{part}/format={output}"
-            A.save_clean(_united([c for c, _ in parts]), path, output, mode="overwrite",
-                         sizes=_united([b.drop(frame.ROW_KEY) for _, b in parts]))                                      # A11
-        I.alerts(scores, opts["threshold"]).write.mode("overwrite").parquet(f"{root}/alerts/{part}")                    # K4
+            A.save_clean(_united([c for c, _ in parts]), path, output, mode="overwrite", sizes=_united([b for _, b in parts]))
+
+        _together(spark, [
+            lambda: _united([s[1] for s in scans]).write.mode("overwrite").json(f"{root}/results/{part}"),              # A12
+            lambda: found.write.mode("overwrite").parquet(f"{root}/findings/{part}"),                                   # D1, all
+            *[partial(write_silver, output, parts) for output, parts in silver.items()],                                # A11
+            lambda: I.alerts(scores, opts["threshold"]).write.mode("overwrite").parquet(f"{root}/alerts/{part}")])      # K4
         J.GoldTable(spark, f"{root}/gold").append(J.gold_rows(scores, trigger=trigger), batch_id)                       # A14
     finally:
         for df in held:

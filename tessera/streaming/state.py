@@ -3,7 +3,8 @@
 A batch leaves, per dataset, what a score is made of in a form that merges:
 
 * ``sums``: row, check and risk counts, and how many of its rows (and of their normal forms) no earlier batch held;
-* ``rows``: one digest per different row, against which later batches are compared;
+* ``rows``: one digest per different row, against which later batches are compared (by merge joins: there are as many as
+  rows, and a broadcast would send them through the driver);
 * ``unique``: counts per value of the columns under a unique rule.
 
 Each is written under ``batch_id=N/part=K`` with overwrite, and a batch is merged only with
@@ -15,13 +16,15 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import DATASET
 from ..operators import duplicates as G
 from ..operators.quality import Check
 
+DIGEST = "_exact"
 RISKS = ["pii_high", "pii_medium", "pii_low"]
 
 
@@ -31,11 +34,37 @@ def check_id(ch: Check) -> str:
     return hashlib.md5(what.encode()).hexdigest()[:16]
 
 
+class EarlierState:
+    """What batches before ``batch_id`` left under ``root``: listed once, before any part of this batch is written."""
+
+    NAMES = {"rows": f"{DATASET} string, exact binary, near binary, n bigint",
+             "sums": f"{DATASET} string",
+             "unique": f"{DATASET} string, column string, key binary, n bigint"}
+
+    def __init__(self, spark: SparkSession, root: str, batch_id: int):
+        self.root, self.batch_id = root.rstrip("/"), int(batch_id)
+        self.frames = {name: self._read(spark, name, empty) for name, empty in self.NAMES.items()}
+
+    def _read(self, spark: SparkSession, name: str, empty: str) -> DataFrame:
+        try:
+            rows = spark.read.option("mergeSchema", True).parquet(f"{self.root}/{name}")
+        except AnalysisException as none:
+            if none.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return spark.createDataFrame([], empty)
+        return rows.where(F.col("batch_id") < self.batch_id).drop("batch_id", "part")
+
+
 class BatchState:
-    """The state under ``root`` as batch ``batch_id`` sees it; ``part`` keeps frames of one batch apart."""
+    """The state under ``root`` as batch ``batch_id`` sees it; ``part`` keeps frames of one batch apart.
+
+    Parts of one batch may be merged at the same time if they are given the same ``earlier``.
+    """
 
-    def __init__(self, root: str, batch_id: int, part: int = 0):
+    def __init__(self, root: str, batch_id: int, part: int = 0, earlier: EarlierState | None = None):
         self.root, self.batch_id, self.part = root.rstrip("/"), int(batch_id), part
+        self.earlier = earlier
+        self.digested: DataFrame | None = None
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={self.batch_id}/part={self.part}")
@@ -43,8 +72,9 @@ class BatchState:
 
     def _read(self, spark, name: str, datasets: DataFrame | None = None) -> DataFrame:
         """Rows of earlier batches (of ``datasets``)."""
-        rows = spark.read.option("mergeSchema", True).parquet(f"{self.root}/{name}").where(F.col("batch_id") < self.batch_id)
-        rows = rows.drop("batch_id", "part")
+        if self.earlier is None:
+            self.earlier = EarlierState(spark, self.root, self.batch_id)
+        rows = self.earlier.frames[name]
         return rows if datasets is None else rows.join(datasets, DATASET, "left_semi")
 
     def merge(self, df: DataFrame, key: str | None, base: DataFrame, risk: DataFrame, uniques: DataFrame | None,
@@ -53,18 +83,20 @@ class BatchState:
         spark = df.sparkSession
         names = {f"{k}{i}": f"{k}_{check_id(ch)}" for i, ch in enumerate(checks) for k in ("nn", "u")}
         kept = {c: names.get(c, c) for c in base.columns if c != DATASET}
-        rows = self._write(G.row_states(df, key, near), "rows")
+        rows = self._write(G.row_states(self._digested(df, key), key, near, DIGEST), "rows")
         datasets = rows.select(DATASET).distinct()
         earlier = self._read(spark, "rows", datasets)
 
         def fresh(column: str, alias: str) -> DataFrame:
-            now = rows.select(DATASET, column).where(F.col(column).isNotNull()).distinct()
-            new = now.join(earlier.select(DATASET, column).distinct(), [DATASET, column], "left_anti")
+            now = rows.select(DATASET, column).where(F.col(column).isNotNull())
+            now = now if column == "exact" else now.distinct()                  # of "exact" each is there once
+            new = now.join(earlier.select(DATASET, column).hint("merge"), [DATASET, column], "left_anti")
             return new.groupBy(DATASET).agg(F.count(F.lit(1)).alias(alias))
 
         sums = base.select(DATASET, *[F.col(c).alias(n) for c, n in kept.items()]).join(risk.select(DATASET, *RISKS), DATASET, "left")
-        for part in (fresh("exact", "new_rows"), fresh("near", "new_near")):
-            sums = sums.join(part, DATASET, "left")
+        sums = sums.join(fresh("exact", "new_rows"), DATASET, "left")
+        sums = (sums.join(fresh("near", "new_near"), DATASET, "left") if near
+                else sums.withColumn("new_near", F.lit(None).cast("bigint")))
         sums = self._write(sums, "sums")
         whole = sums.unionByName(self._read(spark, "sums", datasets), allowMissingColumns=True)
         total = whole.groupBy(DATASET).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns if c != DATASET])
@@ -87,5 +119,13 @@ class BatchState:
 
     def unseen(self, df: DataFrame, key: str | None) -> DataFrame:
         """The rows of ``df`` that no earlier batch held (call after ``merge``)."""
-        earlier = self._read(df.sparkSession, "rows").select(DATASET, F.col("exact").alias("_exact")).distinct()
-        return df.withColumn("_exact", G.row_digest(df, key)).join(earlier, [DATASET, "_exact"], "left_anti").select(*df.columns)
+        earlier = self._read(df.sparkSession, "rows").select(DATASET, F.col("exact").alias(DIGEST)).hint("merge")
+        return self._digested(df, key).join(earlier, [DATASET, DIGEST], "left_anti").select(*df.columns)
+
+    def hold_digests(self, df: DataFrame, key: str | None, hold) -> DataFrame:
+        """``df`` as ``hold`` keeps it (e.g. persisted), its digests beside it: they are computed once for all uses of this state."""
+        self.digested = hold(df.withColumn(DIGEST, G.row_digest(df, key)))
+        return self.digested.drop(DIGEST)
+
+    def _digested(self, df: DataFrame, key: str | None) -> DataFrame:
+        return self.digested if self.digested is not None else df.withColumn(DIGEST, G.row_digest(df, key))

@@ -223,3 +223,35 @@ def test_batch_replay_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"{out}/gold").count() == 1
     assert spark.read.csv(f"{out}/silver", header=True).count() == 10
     assert spark.read.json(f"{out}/results").count() == 1
+
+
+def test_row_states_are_hashed_and_earlier_rows_are_merged(spark, tmp_path):
+    """One row per different row without a sort for it; later batches meet earlier rows by shuffles, never by a broadcast."""
+    from tessera.operators import duplicates as G
+    from tessera.plans.pipeline import run_scan
+    from tessera.streaming.state import BatchState
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(1, "a", "Ann "), (2, "a", "Ann "), (3, "a", "ann"), (4, "b", None), (5, "b", "")], "id long, dataset string, name string")
+    states = G.row_states(rows, "id")
+    assert "SortAggregate" not in plan(states)
+    got = states.collect()
+    assert sorted((r.dataset, r.n) for r in got) == [("a", 1), ("a", 2), ("b", 1), ("b", 1)]
+    assert {d: len({r.near for r in got if r.dataset == d}) for d in "ab"} == {"a": 1, "b": 1}
+    later = spark.createDataFrame([(6, "a", "Ann "), (7, "b", "new")], rows.schema)
+    for i, df in enumerate((rows, later)):
+        state = BatchState(str(tmp_path), i)
+        scores = run_scan(df, "cli", "medium", key="id", state=state).scores.collect()
+        assert [r.rows for r in sorted(scores, key=lambda r: r.dataset)] == ([3, 2], [4, 3])[i]
+    unseen = state.unseen(later, "id")
+    assert "BroadcastHashJoin" not in plan(unseen) and [r.id for r in unseen.collect()] == [7]
+
+
+def test_parts_of_a_batch_run_together_with_one_digest_each(spark):
+    """A batch of one file is dealt to all cores, and its row digests are computed once, in the rows it keeps."""
+    from tessera.streaming.state import BatchState
+    rows = spark.createDataFrame([(1, "a", "Ann"), (2, "a", "Bob")], "id long, dataset string, name string")
+    kept = []
+    state = BatchState("unused", 0)
+    batch = state.hold_digests(rows, "id", lambda df: kept.append(df) or df)
+    assert batch.columns == rows.columns and len(kept) == 1
+    assert state._digested(batch, "id") is kept[0]
