@@ -13,7 +13,8 @@ What the mixture leaves is the escape: an id new to the block, coded by its 16 b
 The probabilities drive a carry-less range coder with a 48-bit low and 16-bit
 output words.  Blocks do not depend on each other, so many of them ("lanes") are coded
 and decoded in step, one numpy operation for all; coding one lane or a thousand gives
-the same bytes.  Counts are whole numbers in 32-bit floats, whose sums are exact; all other arithmetic is in integers.
+the same bytes.  A lane's model takes about 8 KB.  Counts are summed as whole numbers in 32-bit floats, whose sums are exact; all
+other arithmetic is in integers.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SLOTS = 1024
 MOST = 1 << 12                             # ids of a block at most: order 0's share of the range holds them all
 ONE = 4096                                 # a probability or weight of one
 RIGHT = np.array([3500 * (c + 1) // (c + 4) for c in range(16)], np.int32)     # chance of a prediction by its confidence
-ONCE = np.float32(1)
+ONCE = np.int32(1)
 OVER = np.triu(np.ones((16, 16), np.float32), 1)                       # counts @ OVER: the sums before each place
 LOW = np.uint64((1 << 48) - 1)
 TOP, BOTTOM = np.uint64(1 << 32), np.uint64(1 << (16 + TABLE))
@@ -46,18 +47,18 @@ class _Coder:
         self.range = np.full(lanes, LOW, np.uint64)
         self.at = np.zeros(lanes, np.int64)
         if words is None:
-            self.width = 2 * steps + 8
-            self.out = np.zeros(lanes * self.width, "<u2")
-            self.base = np.arange(lanes, dtype=np.int64) * self.width
+            # word by word, all lanes of a word together: the room for words that are not written is never touched
+            self.out = np.zeros(lanes * (2 * steps + 8), "<u2")
+            self.base, self.apart = np.arange(lanes, dtype=np.int64), lanes
         else:
             size = np.array([len(w) for w in words], np.int64)
-            self.base = np.cumsum(size + 4) - size - 4
+            self.base, self.apart = np.cumsum(size + 4) - size - 4, 1
             self.out = np.zeros(int((size + 4).sum()), "<u2")
             for b, w in zip(self.base.tolist(), words, strict=True):
                 self.out[b:b + len(w)] = w
             self.code = np.zeros(lanes, np.uint64)
             for _ in range(3):
-                self.code = self.code << SHIFT | self.out[self.base + self.at]
+                self.code = self.code << SHIFT | self.out[self.base + self.at * self.apart]
                 self.at += 1
         self.decoding = words is not None
 
@@ -73,7 +74,7 @@ class _Coder:
             low, rng = self.low[todo], self.range[todo]
             apart = (low ^ ((low + rng) & LOW)) >= TOP
             rng = np.where(apart, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), rng)
-            place = self.base[todo] + self.at[todo]
+            place = self.base[todo] + self.at[todo] * self.apart
             if self.decoding:
                 self.code[todo] = ((self.code[todo] << SHIFT) & LOW) | self.out[place]
             else:
@@ -92,10 +93,10 @@ class _Coder:
 
     def finish(self) -> list[np.ndarray]:
         for _ in range(3):
-            self.out[self.base + self.at] = self.low >> np.uint64(32)
+            self.out[self.base + self.at * self.apart] = self.low >> np.uint64(32)
             self.low = (self.low << SHIFT) & LOW
             self.at += 1
-        return [self.out[b:b + n] for b, n in zip(self.base.tolist(), self.at.tolist(), strict=True)]
+        return [self.out[b:b + n * self.apart:self.apart] for b, n in zip(self.base.tolist(), self.at.tolist(), strict=True)]
 
 
 def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarray | None:
@@ -103,9 +104,9 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
     lanes, steps = len(sizes), int(sizes.max(initial=0))
     rows = np.arange(lanes, dtype=np.int64) << TABLE
     one, two = np.zeros(lanes << TABLE, np.int32), np.zeros(lanes << TABLE, np.int32)     # id | confidence << 16
-    holder = np.full(lanes * SLOTS, -1, np.int32)                      # order 0: the id of a slot
+    holder = np.zeros(lanes * SLOTS, np.uint16)                        # order 0: the id of a slot that was met
     # how often the ids of a slot were met, and the same summed by the two levels above
-    levels = [np.zeros(k * lanes, np.float32) for k in (16, 128, SLOTS)]
+    levels = [np.zeros(k * lanes, np.uint16) for k in (16, 128, SLOTS)]
     total = np.zeros(lanes, np.int32)
     chance = np.full(lanes, ONE // 4, np.int32)                        # weight of order 0 in what the others leave
     weight1, weight2 = np.full(lanes, ONE // 3, np.int32), np.full(lanes, ONE // 3, np.int32)
@@ -132,12 +133,13 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
             h2, h1 = c2 == x, c1 == x
             k0, k1 = h2 & (b1 > 0), h1 & (b2 > b1)        # an order whose weight is spent offers nothing
             slot = _slot(x)
-            k2 = (holder.take(lane * SLOTS + slot) == x) & ~(k0 | k1)
+            times = levels[2].take(lane * SLOTS + slot).astype(np.int32)
+            k2 = (holder.take(lane * SLOTS + slot) == x) & (times > 0) & ~(k0 | k1)
             k3 = ~(k0 | k1 | k2)
             before = _before(levels[0].reshape(-1, 16)[s], slot >> 6)
             before += _before(levels[1].reshape(-1, 8).take(lane * 16 + (slot >> 6), axis=0), slot >> 3 & 7)
             before += _before(levels[2].reshape(-1, 8).take(lane * 128 + (slot >> 3), axis=0), slot & 7)
-            before, times = before.astype(np.int32), levels[2].take(lane * SLOTS + slot).astype(np.int32)
+            before = before.astype(np.int32)
         else:
             v = coder.value(s, whole).astype(np.int32)
             u = v >> TABLE
@@ -172,9 +174,9 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
         more = np.where(holder.take(at) == x, ONCE, ONCE - levels[2].take(at))      # a new id takes the slot over
         holder[at] = x
         for level in reversed(levels):
-            level[at] += more
+            level[at] = level.take(at) + more
             at >>= 3
-        total[s] += more.astype(np.int32)
+        total[s] += more
         z += ((k2 * 4000 - z) >> 5) * (k2 | k3)
         share, some = 4093 - 2047 * (h1 & h2), h1 | h2
         w1 += ((h1 * share - w1) >> 5) * some
@@ -190,13 +192,13 @@ def _code(sizes: np.ndarray, coder: _Coder, ids: np.ndarray | None) -> np.ndarra
 def _before(counts: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Of each row of counts the sum of the ``place`` first."""
     width = counts.shape[1]
-    return (counts @ OVER[:width, :width]).take(np.arange(len(place)) * width + place)
+    return (counts.astype(np.float32) @ OVER[:width, :width]).take(np.arange(len(place)) * width + place)
 
 
 def _find(counts: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each row of counts the place that holds unit ``r``, and the sum before it."""
     width = counts.shape[1]
-    sums = counts @ OVER[:width, :width]
+    sums = counts.astype(np.float32) @ OVER[:width, :width]
     place = np.bitwise_count((sums <= r[:, None]).view(np.uint64)).sum(axis=1, dtype=np.int64) - 1 if width > 8 else \
         np.bitwise_count((sums <= r[:, None]).view(np.uint64))[:, 0].astype(np.int64) - 1
     return place, sums.take(np.arange(len(r)) * width + place)
@@ -222,8 +224,9 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((len(blocks), steps), "<u2")
     for k, o in enumerate(order.tolist()):
         ids[k, :len(blocks[o])] = blocks[o]
+    ids = np.ascontiguousarray(ids.T)
     coder = _Coder(len(blocks), steps)
-    _code(sizes, coder, np.ascontiguousarray(ids.T))
+    _code(sizes, coder, ids)
     out: list[bytes] = [b""] * len(blocks)
     for o, words in zip(order.tolist(), coder.finish(), strict=True):
         raw = words.tobytes()

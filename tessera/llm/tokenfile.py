@@ -34,8 +34,8 @@ from .common import prepare
 
 END = 2
 BLOCK = 1024
-#: Blocks coded or decoded in step.
-LANES = 8192
+#: Blocks coded or decoded in step: a file of usual text in two rounds, each of about 80 MB in the worker.
+LANES = 6144
 #: Bytes of text per file: enough blocks to code many in step.
 FILE_BYTES = 32 << 20
 
@@ -51,12 +51,12 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = tokens.VOCABULARY, f
     def run(batches):
         encode = tokens.ids(vocabulary)
         raw, size = [], 0                                   # ids not yet in a block
-        docs_, lens = [], []                                # documents in ``raw``: id, ids left
+        docs_, lens = [], []                                # documents in ``raw``: id, ids left (copies: a slice would hold its batch of texts)
         block, number = 0, 0                                # of the file's next block and its first document
 
         def cut(last):
             nonlocal raw, size, docs_, lens, block, number
-            ids = np.frombuffer(b"".join(raw), "<u2")
+            ids, raw = np.frombuffer(b"".join(raw), "<u2"), []
             n = len(ids) if last else len(ids) // BLOCK * BLOCK
             parts = [ids[k:k + BLOCK] for k in range(0, n, BLOCK)]
             rows, k = [], 0
@@ -83,14 +83,16 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = tokens.VOCABULARY, f
                 ["block", "coded", "docs", "lens", "number"])
 
         for b in batches:
+            own = b.column(0).take(pa.array(range(b.num_rows), pa.int32()))
             for k, text in enumerate(b.column(1).to_pylist()):
                 got = encode(text or "") + end
                 raw.append(got)
                 size += len(got) // 2
-                docs_.append(b.column(0).slice(k, 1))
+                docs_.append(own.slice(k, 1))
                 lens.append(len(got) // 2)
                 if size >= LANES * BLOCK:
                     yield cut(False)
+        encode.forget()
         if size:
             yield cut(True)
 
@@ -133,8 +135,8 @@ def _lanes(batches):
         held.append(b)
         rows += b.num_rows
         if rows >= LANES:
-            yield pa.concat_batches(held)
-            held, rows = [], 0
+            whole, held, rows = pa.concat_batches(held), [], 0
+            yield whole
     if rows:
         yield pa.concat_batches(held)
 

@@ -41,18 +41,26 @@ class Ids:
         self.older: dict[str, bytes] = {}          # what ``words`` held before it was last emptied
         self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
+    def forget(self) -> None:
+        """Empty the dictionaries, so that a worker that goes on to other work does not hold them."""
+        for known in (self.words, self.older, self.pieces):
+            known.clear()
+
+    def _piece(self, piece: str, word: bool = False) -> bytes:
+        """Ids of a piece; one that is a word itself is remembered as a word only."""
+        got = self.pieces.get(piece) or self.words.get(piece) or self.older.get(piece)
         if got is None:
             if len(self.pieces) >= REMEMBERED:
                 self.pieces.clear()
             mapped = piece if piece.isascii() else "".join(map(self.byte.__getitem__, piece.encode()))
-            got = self.pieces[piece] = array("H", [t.id for t in self.merge(mapped)]).tobytes()
+            got = array("H", [t.id for t in self.merge(mapped)]).tobytes()
+            if not word:
+                self.pieces[piece] = got
         return got
 
     def _word(self, word: str) -> bytes:
         if word.isalpha() and word.isascii():
-            return self._piece(word.lower())
+            return self._piece(word.lower(), word.islower())
         if PLAIN.fullmatch(word) and "<|" not in word:
             pieces = PIECES.findall(word.lower())
             return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))

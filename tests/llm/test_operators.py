@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -202,6 +203,19 @@ def test_token_files(docs, nothing, spark):
     assert tokenfile.encode_and_read(nothing).count() == 0
 
 
+def test_written_token_files_leave_no_words_in_the_workers(docs, spark, tmp_path):
+    tokenfile.write_ids(docs, str(tmp_path / "ids"))
+
+    def held(batches):
+        from tessera.llm import tokens
+        for _ in batches:
+            pass
+        n = sum(len(x) for encode in tokens._loaded.values() for x in (encode.words, encode.older, encode.pieces))
+        yield pa.RecordBatch.from_pydict({"id": pa.array([n], pa.int64())})
+
+    assert {r.id for r in spark.range(0, 64, 1, 8).mapInArrow(held, "id bigint").collect()} == {0}
+
+
 def test_quality(docs, nothing, spark):
     got = {}
     for r in quality.quality(docs).collect():

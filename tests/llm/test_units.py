@@ -1,6 +1,7 @@
 """Parts of the operators that need no Spark, against plain versions of themselves."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -49,6 +50,38 @@ def test_range_coder_beats_zlib_on_real_ids():
         assert all((a == b).all() for a, b in zip(blocks, rangecoder.decode(coded), strict=True))
 
 
+def test_coder_memory_of_a_lane():
+    rng = np.random.default_rng(2)
+    blocks = [rng.zipf(1.4, tokenfile.BLOCK).clip(1, 65535).astype("<u2") for _ in range(512)]
+
+    def peak(work):
+        tracemalloc.start()
+        got = work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most / len(blocks)
+
+    coded, most = peak(lambda: rangecoder.encode(blocks))
+    assert most < 17_000
+    decoded, most = peak(lambda: rangecoder.decode(coded))
+    assert most < 17_000
+    assert all((a == b).all() for a, b in zip(blocks, decoded, strict=True))
+
+
+def test_words_are_remembered_once():
+    text = "tree tree, Tree (tree) it's 's naïve Naïve naïve! ß"
+    own = tokens.Ids(public_tokenizers.path(tokens.VOCABULARY))
+    whole = own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own(text), "<u2").tolist() == whole
+    own.forget()
+    own("tree")
+    own("tree, Tree")
+    assert "tree" in own.words and "tree" not in own.pieces
+    own.forget()
+    assert not own.words and not own.older and not own.pieces
+    assert np.frombuffer(own(text), "<u2").tolist() == whole
+
+
 def test_order_0_counts_follow_a_shuffled_block():
     """No order-1 or order-2 context repeats usefully in a shuffled block: what is saved, order 0 saves."""
     rng = np.random.default_rng(1)
